@@ -6,11 +6,15 @@ from logkeep.operators.ordering import BUCKET_ROWS, previous_within
 
 
 def latest_state(job_events, with_deleted=False):
-    """Last event of each job; jobs whose last event is a tombstone drop out."""
+    """Last event of each job and the time of its first one.
+
+    Jobs whose last event is a tombstone drop out.
+    """
     payload = [c for c in job_events.columns if c not in ("job_id", "seq")]
     last = job_events.groupBy("job_id").agg(
-        F.max_by(F.struct("seq", *payload), "seq").alias("_last")
-    ).select("job_id", "_last.*")
+        F.max_by(F.struct("seq", *payload), "seq").alias("_last"),
+        F.min("ts").alias("created_at"),
+    ).select("job_id", "_last.*", "created_at")
     return last if with_deleted else last.where(~F.col("deleted"))
 
 
@@ -35,12 +39,6 @@ def list_jobs(states, kind, phase=None, source_id=None, storage_id=None,
     return _between(out, "created_at", created_from, created_to)
 
 
-def with_created(job_events, states):
-    """Adds each job's first event time."""
-    created = job_events.groupBy("job_id").agg(F.min("ts").alias("created_at"))
-    return states.join(created, "job_id")
-
-
 def filter_backups(backups, since=None, until=None, topics=None):
     """Backups in a time range that hold any of the topics."""
     out = _between(backups, "timestamp", since, until)

@@ -27,7 +27,7 @@ def segment_starts(log, size, wait_us, slice_rows=None, width=BUCKET_ROWS):
     narrow = log.select(*KEYS, "offset", F.unix_micros("timestamp").alias("at"))
     numbered = checkpoint(number_within(narrow, KEYS, ["offset"], "row", width))
 
-    row, home = F.col("row"), F.floor(F.col("row") / slice_rows).cast("bigint")
+    row, home = F.col("row"), bucket_of("row", slice_rows)
     tail = (row % slice_rows) >= slice_rows - size
     sliced = numbered.withColumn(
         "slice", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home)))
@@ -213,5 +213,8 @@ def _emit_starts(table, entry, size, wait_us, slice_rows):
 
 
 def assign(log, starts, width=BUCKET_ROWS):
-    """Attach the segment of the newest start at or before each offset."""
-    return last_marker(log, starts, KEYS, "offset", ["segment"], bucket_of, width)
+    """Attach the segment of the newest start at or before each offset.
+
+    The starts, one small row per segment, are computed once and kept.
+    """
+    return last_marker(log, checkpoint(starts), KEYS, "offset", ["segment"], bucket_of, width)

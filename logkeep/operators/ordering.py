@@ -10,17 +10,16 @@ the join with the small table use the same clustering.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logkeep.operators.joins import join_small
-from logkeep.session import scratch_path
+from logkeep.operators.joins import join_small, local_if_small
+from logkeep.session import checkpoint, scratch_path
 
 BUCKET_ROWS = 1 << 20
 
 
 def bucket_of(order, width=BUCKET_ROWS):
     """Bucket number along an integer order such as an offset."""
-    return F.floor(F.col(order) / F.lit(width)) if isinstance(order, str) else F.floor(
-        order / F.lit(width)
-    )
+    column = F.col(order) if isinstance(order, str) else order
+    return F.call_function("div", column, F.lit(int(width)))
 
 
 def _before(keys, buckets):
@@ -62,7 +61,10 @@ def previous_within(df, keys, order, columns, prefix="prev_", width=BUCKET_ROWS)
     """Values of the row before, inside each key, as ``prev_<column>``."""
     df = df.withColumn("_bucket", bucket_of(order, width))
     group = [*keys, "_bucket"]
-    state = F.struct(F.col(order).alias("_at"), *columns)
+    if columns == [order]:
+        state = F.col(order)  # a plain number aggregates by hash, a struct by sort
+    else:
+        state = F.struct(F.col(order).alias("_at"), *columns)
     tails = (
         df.groupBy(*group)
         .agg(F.max(state).alias("_tail"))
@@ -78,17 +80,21 @@ def previous_within(df, keys, order, columns, prefix="prev_", width=BUCKET_ROWS)
     before = F.coalesce("_prev", "_carry")
     return joined.select(
         *[c for c in df.columns if c != "_bucket"],
-        *[before[c].alias(prefix + c) for c in columns],
+        *[(before if columns == [order] else before[c]).alias(prefix + c) for c in columns],
     )
 
 
-def last_marker(df, markers, keys, order, columns, buckets_of, width, salts=1, spread=None):
+def last_marker(df, markers, keys, order, columns, buckets_of, width, spread=None,
+                group_rows=BUCKET_ROWS):
     """As-of join: newest marker at or before each row, inside its key.
 
     ``markers`` holds ``keys``, ``order`` and ``columns``, and is unique on
     ``(keys, order)``. Rows and markers meet per (key, bucket); the last marker of
-    earlier buckets is carried in through one small row per bucket. ``salts``
-    splits the rows of a bucket further and copies only its markers.
+    earlier buckets is carried in through one small row per bucket.
+
+    Where many rows can share one place in the order, name a column to ``spread``
+    them by: buckets of more than ``group_rows`` rows are counted first and cut
+    into pieces, and only their markers are copied to each piece.
     """
     value = F.struct(F.col(order).alias("_at"), *columns)
     rows = df.withColumn("_bucket", buckets_of(F.col(order), width))
@@ -105,10 +111,12 @@ def last_marker(df, markers, keys, order, columns, buckets_of, width, salts=1, s
         .where(F.col("_mark").isNotNull())
         .select(*keys, "_bucket", "_mark", F.lit(None).cast(df.schema[order].dataType).alias(order))
     )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    marks = marks.unionByName(carries).withColumn("_salt", copies)
-    salt = F.lit(0) if salts == 1 else F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    both = rows.withColumn("_salt", salt).withColumn("_is_row", F.lit(True)).unionByName(
+    marks = marks.unionByName(carries)
+    if spread is None:
+        rows, marks = rows.withColumn("_salt", F.lit(0)), marks.withColumn("_salt", F.lit(0))
+    else:
+        rows, marks = _cut_large_buckets(rows, marks, [*keys, "_bucket"], spread, group_rows)
+    both = rows.withColumn("_is_row", F.lit(True)).unionByName(
         marks.withColumn("_is_row", F.lit(False)), allowMissingColumns=True
     )
     so_far = (
@@ -123,6 +131,25 @@ def last_marker(df, markers, keys, order, columns, buckets_of, width, salts=1, s
     )
 
 
+def _cut_large_buckets(rows, marks, group, spread, group_rows):
+    pieces = F.ceil(F.col("_n") / F.lit(group_rows)).cast("int").alias("_pieces")
+    large = (
+        rows.groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > group_rows)
+        .select(*group, pieces)
+    )
+    large = local_if_small(large) or checkpoint(large)
+    count = F.coalesce("_pieces", F.lit(1))
+    rows = join_small(rows, large, group, spread, how="left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), count).cast("int")
+    )
+    marks = marks.join(large, group, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), count - 1))
+    )
+    return rows.drop("_pieces"), marks.drop("_pieces")
+
+
 def number_rows(df, keys, order, out, path=None):
     """Gap-free numbers per key for rows that have no offset yet.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logkeep.functions.messages import fingerprint
+from logkeep.operators.joins import join_small
 from logkeep.operators.ordering import (
     BUCKET_ROWS,
     bucket_of,
@@ -140,16 +141,22 @@ def skip_existing(rows, target, width=BUCKET_ROWS):
 
 
 def missing_backups(requests, backups):
-    """Restore requests that name a backup which does not exist."""
+    """Restore requests that name a backup which does not exist.
+
+    Each named id is looked up once, however many requests name it.
+    """
     named = requests.where(F.col("backup_id").isNotNull())
-    return named.join(backups.select("backup_id").distinct(), "backup_id", "left_anti")
+    unknown = named.select("backup_id").distinct().join(
+        backups.select("backup_id"), "backup_id", "left_anti"
+    )
+    return join_small(named, unknown, ["backup_id"], spread="request_id")
 
 
-def _day(column, width):
-    return F.floor(F.unix_seconds(column) / F.lit(width))
+def _period(column, width):
+    return bucket_of(F.unix_seconds(column), width)
 
 
-def backup_as_of(requests, backups, keys=("storage_id",), salts=16, width=86_400 * 7):
+def backup_as_of(requests, backups, keys=("storage_id",), width=86_400 * 7, **more):
     """Newest backup at or before each request's time, per storage.
 
     Requests hold ``request_id``, ``ts`` and the keys. Requests without a fitting
@@ -157,13 +164,12 @@ def backup_as_of(requests, backups, keys=("storage_id",), salts=16, width=86_400
     """
     newest = (
         backups.groupBy(*keys, F.col("timestamp").alias("ts"))
-        .agg(F.max("backup_id").alias("backup_id"), F.lit(1).alias("_one"))
+        .agg(F.max("backup_id").alias("backup_id"))
         .withColumn("backup_ts", F.col("ts"))
-        .drop("_one")
     )
     return last_marker(
-        requests, newest, list(keys), "ts", ["backup_id", "backup_ts"], _day, width,
-        salts=salts, spread="request_id",
+        requests, newest, list(keys), "ts", ["backup_id", "backup_ts"], _period, width,
+        spread="request_id", **more,
     )
 
 

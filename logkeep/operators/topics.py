@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logkeep.functions.hashing import seeded_bucket
 from logkeep.functions.patterns import matches_any
+from logkeep.operators.joins import join_small, local_if_small
 
 
 def watermarks(log):
@@ -97,5 +98,12 @@ def topics_by_worker(topics, workers, seed):
 
 
 def rows_of_worker(log, worker, workers, seed):
-    """Rows of the topics that belong to one worker."""
-    return assign_workers(log, workers, seed).where(F.col("worker_id") == worker)
+    """Rows of the topics that belong to one worker.
+
+    The few names are hashed once and by themselves; a filter on the hash of the
+    log's own column would be evaluated for every row.
+    """
+    names = log.select("topic").distinct()
+    names = local_if_small(names) or names
+    mine = assign_workers(names, workers, seed).where(F.col("worker_id") == worker)
+    return join_small(log, mine, ["topic"], spread="offset")

@@ -23,13 +23,13 @@ def chosen_backup(spark, job):
 def restored_rows(spark, job, target=None, deduplicate=False):
     """Rows to replay, with ``target_topic``.
 
-    Backup, topic and partition predicates prune folders. ``target`` is the log
+    Topic and partition predicates prune folders. ``target`` is the log
     of the target cluster, needed when existing messages are to be kept.
     """
     backup_id = chosen_backup(spark, job)
     if backup_id is None:
         raise LookupError(f"no backup for restore {job.restore_id}")
-    rows = read_archive(spark, job.root).where(F.col("backup_id") == backup_id)
+    rows = read_archive(spark, job.root, backup_id)
     rows = topics.select_for_restore(rows, job.selectors)
     rows = replay.filter_partitions(rows, job.partition_filter)
     if job.backup_timestamp is not None:

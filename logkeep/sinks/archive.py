@@ -8,7 +8,7 @@ from logkeep.functions.messages import message_size, row_hash
 from logkeep.operators.manifests import full_manifest
 from logkeep.operators.ordering import BUCKET_ROWS, bucket_of
 from logkeep.schemas import ARCHIVE_SCHEMA
-from logkeep.sources.archive import data_path, read_archive
+from logkeep.sources.archive import backup_path, read_archive
 
 FOLDERS = ("backup_id", "batch")
 
@@ -34,13 +34,15 @@ def clustered(rows, width=BUCKET_ROWS):
 
 def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd"):
     """Write one batch of a backup; a repeated batch replaces itself."""
-    folder = f"{data_path(root)}/backup_id={checked_id(backup_id)}/batch={int(batch)}"
+    folder = f"{backup_path(root, checked_id(backup_id))}/batch={int(batch)}"
     stored = segmented.withColumn("size_bytes", message_size()).withColumn(
         "row_hash", row_hash()
     )
     columns = [c for c in ARCHIVE_SCHEMA.fieldNames() if c not in FOLDERS]
     if cluster:
         stored = clustered(stored)
+    else:
+        stored = stored.sortWithinPartitions("topic", "partition", "offset")
     (
         stored.select(*columns)
         .write.mode("overwrite")
@@ -52,7 +54,7 @@ def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd"):
 
 def write_manifest(spark, root, backup_id, prefix="", compressed=True, deduplicate=False):
     """Segment manifest of a backup, from stored sizes and hashes only."""
-    rows = read_archive(spark, root, deduplicate).where(F.col("backup_id") == backup_id)
+    rows = read_archive(spark, root, backup_id, deduplicate)
     manifest = full_manifest(rows, prefix, compressed)
     path = f"{root}/segments/backup_id={checked_id(backup_id)}"
     manifest.drop("backup_id").write.mode("overwrite").parquet(path)

@@ -7,8 +7,14 @@ def data_path(root):
     return f"{root}/data"
 
 
-def read_archive(spark, root, deduplicate=False):
-    """Archived rows; backup, batch, topic and partition are folders and prune.
+def backup_path(root, backup_id):
+    return f"{data_path(root)}/backup_id={backup_id}"
+
+
+def read_archive(spark, root, backup_id=None, deduplicate=False):
+    """Archived rows; batch, topic and partition are folders and prune.
+
+    With a ``backup_id`` only that backup's folder is listed.
 
     ``deduplicate`` drops copies left by replayed stream batches. Copies share
     topic, partition and offset, so they spread over as many tasks as rows do.
@@ -16,7 +22,7 @@ def read_archive(spark, root, deduplicate=False):
     rows = (
         spark.read.schema(ARCHIVE_SCHEMA)
         .option("basePath", data_path(root))
-        .parquet(data_path(root))
+        .parquet(data_path(root) if backup_id is None else backup_path(root, backup_id))
     )
     if deduplicate:
         rows = rows.dropDuplicates(["backup_id", "topic", "partition", "offset"])

@@ -4,14 +4,17 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from logkeep.functions.messages import measured
 from logkeep.functions.patterns import TopicSelector
 from logkeep.operators import catalog, replay, segments, status
+from logkeep.operators.ordering import number_rows
 from logkeep.plans import restore
 from logkeep.plans.jobs import BackupJob, RestoreJob
 from logkeep.session import scratch_path
 from logkeep.sources.archive import read_archive, read_segments
 from logkeep.sources.filelog import read_log, stream_log
 from logkeep.streaming.backup import finish_run, start_backup
+from logkeep.streaming.totals import latest_totals, start_totals
 from workload import logs
 from workload import sqlparts as sql
 from workload.registry import query
@@ -105,8 +108,6 @@ def skip_existing(spark, sf_dir):
 
 def copies_log(spark, sf_dir):
     """The events as a log in which many messages are equal."""
-    from logkeep.operators.ordering import number_rows
-
     e = logs.table(spark, sf_dir, "events")
     key = (
         F.when(F.col("value") < 30, F.lit(None).cast("string"))
@@ -260,8 +261,7 @@ def catalog_page(spark, sf_dir):
 
 
 def states(spark, sf_dir):
-    events = logs.job_events(spark, sf_dir)
-    return catalog.with_created(events, catalog.latest_state(events))
+    return catalog.latest_state(logs.job_events(spark, sf_dir))
 
 
 @query("list_backups", f"""WITH {sql.LATEST}
@@ -365,13 +365,11 @@ per_topic AS (SELECT backup_id, topic, bool_and(segment < 20) AS whole, sum(CASE
 SELECT backup_id, count(*) AS topics_discovered, CAST(count_if(whole) AS BIGINT) AS topics_backed_up,
   CAST(sum(n) AS BIGINT) AS messages, CAST(sum(b) AS BIGINT) AS bytes, max(t) AS last_backup_time FROM per_topic GROUP BY backup_id""")
 def backup_totals(spark, sf_dir):
-    from logkeep.functions.messages import message_size
-
-    rows = segments.by_count(logs.log(spark, sf_dir, "lineitem"), 100)
+    rows = segments.by_count(measured(logs.log(spark, sf_dir, "lineitem"), "timestamp"), 100)
     manifest = (
         rows.groupBy(F.concat(F.lit("bk-"), F.col("partition").cast("string")).alias("backup_id"),
                      "topic", "segment")
-        .agg(F.count(F.lit(1)).alias("message_count"), F.sum(message_size()).alias("size_bytes"),
+        .agg(F.count(F.lit(1)).alias("message_count"), F.sum("size_bytes").alias("size_bytes"),
              F.max("timestamp").alias("written_at"))
         .withColumn("done", F.col("segment") < 20)
     )
@@ -556,8 +554,6 @@ def stream_manifest(spark, sf_dir):
 SELECT topic, count(*) AS messages, CAST(sum({sql.size_sql()}) AS BIGINT) AS bytes, max("timestamp") AS last_message
 FROM lineitem_log GROUP BY topic""")
 def stream_totals(spark, sf_dir):
-    from logkeep.streaming.totals import latest_totals, start_totals
-
     out = scratch_path(spark, "totals")
     source = stream_log(spark, logs.log_path(spark, sf_dir, "lineitem"), 2)
     start_totals(source, out, scratch_path(spark, "checkpoint")).awaitTermination()

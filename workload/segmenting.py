@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logkeep.functions.messages import message_json
+from logkeep.functions.messages import measured, message_json
 from logkeep.functions.paths import parse_key, storage_key, topic_metadata_key
 from logkeep.functions.patterns import TopicSelector
 from logkeep.operators import manifests, segments, topics
@@ -46,7 +46,8 @@ def as_text(rows, *more):
 
 
 def cut(log, batch, backup_id):
-    return segments.by_count(log, batch).withColumn("backup_id", F.lit(backup_id))
+    """Sizes and places of a log, cut by count; all a manifest needs."""
+    return segments.by_count(measured(log), batch).withColumn("backup_id", F.lit(backup_id))
 
 
 @query("segment_by_count", f"""WITH {sql.GAPPED}
@@ -307,7 +308,7 @@ def manifest_vs_objects(spark, sf_dir):
     whole = cut(logs.log(spark, sf_dir, "events"), 100, "nightly")
     kept = logs.gapped(spark, sf_dir).where(F.col("topic") != "events.error")
     objects = manifests.segment_manifest(
-        segments.by_absolute_offset(kept, 100).withColumn("backup_id", F.lit("nightly"))
+        segments.by_absolute_offset(measured(kept), 100).withColumn("backup_id", F.lit("nightly"))
     ).select("storage_key", "size_bytes")
     strangers = logs.table(spark, sf_dir, "pages").select(
         F.col("url").alias("storage_key"), F.length("url").cast("bigint").alias("size_bytes")
@@ -325,13 +326,16 @@ SELECT 'nightly' AS backup_id, topic, "partition", segment, count(*) AS message_
   hex(bit_xor(('0x' || substr(md5({CHECK_TEXT}), 1, 15))::BIGINT)) AS checksum
 FROM segmented GROUP BY topic, "partition", segment""")
 def segment_checksum(spark, sf_dir):
-    rows = cut(logs.log(spark, sf_dir, "events"), 100, "nightly")
+    log = logs.log(spark, sf_dir, "events")
     text = F.concat_ws(
         "|", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"),
         F.decode("key", "UTF-8"), F.coalesce(F.decode("value", "UTF-8"), F.lit("-")),
     )
     value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    return manifests.segment_checksums(rows, value)
+    rows = segments.by_count(log.select(*PLACE, value.alias("check")), 100)
+    return manifests.segment_checksums(
+        rows.withColumn("backup_id", F.lit("nightly")), F.col("check")
+    )
 
 
 @query("storage_key_uncompressed", f"""WITH {sql.ORDERS}
