@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
 from logkeep.sinks import archive as sink
+from logkeep.sinks import catalog
 from logkeep.sources.archive import read_segments
 
 
@@ -27,6 +28,18 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
     writer moves them only when segmenting did not.
     """
     spark = log.sparkSession
+    catalog.record(spark, job.root, job.backup_id, "backup", "Running", backup_id=job.backup_id)
+    try:
+        totals = _write(spark, log, job, topic_facts, timestamp)
+    except Exception as error:
+        catalog.record(spark, job.root, job.backup_id, "backup", "Failed",
+                       backup_id=job.backup_id, error=str(error)[:500])
+        raise
+    catalog.record(spark, job.root, job.backup_id, "backup", "Completed", backup_id=job.backup_id)
+    return totals
+
+
+def _write(spark, log, job, topic_facts, timestamp):
     rows = segmented(log, job)
     sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
     sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)

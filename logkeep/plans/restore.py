@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from logkeep.operators import replay, topics
+from logkeep.operators import replay, status, topics
+from logkeep.sinks import catalog
 from logkeep.sources import kafka
-from logkeep.sources.archive import read_archive, read_backups, read_topics
+from logkeep.sources.archive import read_archive, read_backups, read_segments, read_topics
+from logkeep.sources.filelog import read_log
 
 
 def chosen_backup(spark, job):
@@ -52,6 +54,57 @@ def restore_to_files(rows, path):
     ).write.mode("overwrite").parquet(path)
 
 
+def progress(spark, job, backup_id, path):
+    """Planned and restored partitions and messages of each target topic.
+
+    A partition is done when it holds the messages its manifest names; a
+    point-in-time cut may leave any number.
+    """
+    planned = read_segments(spark, job.root).where(F.col("backup_id") == backup_id)
+    planned = topics.select_for_restore(planned, job.selectors)
+    planned = replay.filter_partitions(planned, job.partition_filter)
+    planned = (
+        replay.rename_topics(planned, job.mapping)
+        .groupBy(F.col("target_topic").alias("topic"), "partition")
+        .agg(F.sum("message_count").alias("_expected"))
+    )
+    found = read_log(spark, path).groupBy("topic", "partition").agg(
+        F.count(F.lit(1)).alias("_found")
+    )
+    any_count = job.backup_timestamp is not None or not job.overwrite_existing
+    messages = F.coalesce("_found", F.lit(0))
+    complete = F.lit(True) if any_count else messages == F.col("_expected")
+    facts = planned.join(found, ["topic", "partition"], "left").select(
+        F.lit(job.restore_id).alias("job_id"), "topic", "partition",
+        messages.alias("messages"),
+        F.when(complete, "ok").otherwise("failed").alias("status"),
+    )
+    return status.topic_progress(facts.select("job_id", "topic", "partition"), facts)
+
+
+def run_restore(spark, job, path, target=None):
+    """Restore into files and record the job's states; gives the progress rows."""
+    about = {"backup_id": job.backup_id, "target_id": path}
+    catalog.record(spark, job.root, job.restore_id, "restore", "Running", **about)
+    try:
+        backup_id = chosen_backup(spark, job)
+        restore_to_files(restored_rows(spark, job, target), path)
+        rows = progress(spark, job, backup_id, path)
+        done = F.col("partitions_completed")
+        counts = rows.agg(
+            F.sum("partitions_total").alias("planned"), F.sum(done).alias("done"),
+            F.sum(F.col("partitions_total") - done).alias("failed"),
+        )
+        phase = status.job_phase(counts.na.fill(0)).first()["phase"]
+        phase = "Completed" if phase == "Pending" else phase  # nothing was planned
+    except Exception as error:
+        catalog.record(spark, job.root, job.restore_id, "restore", "Failed",
+                       error=str(error)[:500], **about)
+        raise
+    catalog.record(spark, job.root, job.restore_id, "restore", phase, **about)
+    return rows
+
+
 def restore_to_kafka(rows, cluster, segments_per_wave=10_000):
     """Replay into Kafka in waves of consecutive segments.
 

@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from logkeep.functions.messages import message_json
-from logkeep.functions.paths import storage_key
+from logkeep.functions.paths import storage_key, topic_metadata_key
 
 RESULT = (
     "backup_id string, topic string, partition int, segment bigint, start_offset bigint, "
@@ -54,6 +54,45 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None):
     )
 
 
+def topic_metadata_objects(topics, backup_id):
+    """Key and JSON text of the per-topic metadata objects."""
+    body = F.to_json(
+        F.struct(
+            F.col("name").alias("Name"),
+            F.col("partitions").alias("Partitions"),
+            F.col("replication_factor").alias("ReplicationFactor"),
+            F.col("config").alias("Config"),
+        )
+    )
+    return topics.select(
+        topic_metadata_key(F.lit(backup_id), F.col("name")).alias("storage_key"),
+        body.alias("text"),
+    )
+
+
+def write_texts(objects, root):
+    """Write (storage_key, text) rows as one small object each; lazy as above."""
+    address = root.replace("s3a://", "s3://", 1)
+
+    def write(batches):
+        filesystem, base = fs.FileSystem.from_uri(address)
+        for batch in batches:
+            for row in batch.to_pylist():
+                _put(filesystem, f"{base}/{row['storage_key']}", row["text"].encode())
+            yield batch.select(["storage_key"])
+
+    return objects.select("storage_key", "text").mapInArrow(write, "storage_key string")
+
+
+def _put(filesystem, path, data):
+    folder, name = path.rsplit("/", 1)
+    filesystem.create_dir(folder, recursive=True)
+    staged = f"{folder}/.{name}.{_attempt()}"
+    with filesystem.open_output_stream(staged, compression=None) as sink:
+        sink.write(data)
+    filesystem.move(staged, path)
+
+
 class _Object:
     """One open object; it appears under its key when finished."""
 

@@ -11,6 +11,7 @@ from logkeep.operators.ordering import number_rows
 from logkeep.plans import restore
 from logkeep.plans.jobs import BackupJob, RestoreJob
 from logkeep.session import scratch_path
+from logkeep.sinks.catalog import read_events
 from logkeep.sources.archive import read_archive, read_segments
 from logkeep.sources.filelog import read_log, stream_log
 from logkeep.streaming.backup import finish_run, start_backup
@@ -197,6 +198,21 @@ def restore_partitions(spark, sf_dir):
     return restored(spark, source, backup_id=source.backup_id, partition_filter=wanted)
 
 
+@query("restore_job", f"""WITH {sql.ORDERS}, kept AS (SELECT 'orders.back' AS topic, "partition" FROM orders_log WHERE topic <> 'orders.p')
+SELECT 'restore-1' AS job_id, topic, count(DISTINCT "partition") AS partitions_total, count(DISTINCT "partition") AS partitions_completed,
+  count(*) AS messages, 'completed' AS status, 'Completed' AS phase FROM kept GROUP BY topic""")
+def restore_job(spark, sf_dir):
+    source = archived(spark, sf_dir, "orders", 500)
+    job = RestoreJob(
+        restore_id="restore-1", root=source.root, backup_id=source.backup_id,
+        selectors=(TopicSelector("regex", "[.][fo]$"),),
+        mapping={"orders.f": "orders.back", "orders.o": "orders.back"},
+    )
+    progress = restore.run_restore(spark, job, scratch_path(spark, "restored"))
+    states = catalog.latest_state(read_events(spark, source.root))
+    return progress.join(states.select("job_id", "phase"), "job_id")
+
+
 REQUESTS_SQL = """requests AS (SELECT 'rq-' || o_custkey || '-' || o_orderkey AS request_id,
   CASE WHEN o_totalprice < 20000 THEN NULL ELSE 'bk-' || (o_orderkey + CASE WHEN o_totalprice > 450000 THEN 1000000000 ELSE 0 END) END AS backup_id
   FROM orders)"""

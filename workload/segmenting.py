@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from logkeep.functions.messages import measured, message_json
-from logkeep.functions.paths import parse_key, storage_key, topic_metadata_key
+from logkeep.functions.paths import parse_key, storage_key
 from logkeep.functions.patterns import TopicSelector
 from logkeep.operators import manifests, segments, topics
 from logkeep.plans.backup import run_backup
 from logkeep.plans.jobs import BackupJob
 from logkeep.session import scratch_path
-from logkeep.sinks.segmentfiles import write_objects
+from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
 from logkeep.sources import segmentfiles
 from logkeep.sources.archive import read_archive, read_segments, read_topics
 from logkeep.sources.storage import list_segments
@@ -234,10 +234,21 @@ SELECT topic AS name, CAST(count(DISTINCT "partition") AS INTEGER) AS partitions
 FROM orders_log GROUP BY topic""")
 def topic_metadata(spark, sf_dir):
     job = archived(spark, sf_dir, "orders", 500, segmentation="offset")
-    config = F.concat(F.lit("retention="), F.col("config")["retention"])
-    return read_topics(spark, job.root).select(
-        "name", "partitions", "replication_factor", config.alias("config"),
-        topic_metadata_key(F.col("backup_id"), F.col("name")).alias("storage_key"),
+    objects = topic_metadata_objects(read_topics(spark, job.root), job.backup_id)
+    written = scratch_path(spark, "written")
+    write_texts(objects, job.root).write.parquet(written)
+    read = (
+        spark.read.schema(
+            "Name string, Partitions int, ReplicationFactor smallint, Config map<string,string>"
+        )
+        .option("recursiveFileLookup", "true")
+        .json(f"{job.root}/backups/{job.backup_id}/metadata/topics")
+    )
+    return read.select(
+        F.col("Name").alias("name"), F.col("Partitions").alias("partitions"),
+        F.col("ReplicationFactor").alias("replication_factor"),
+        F.concat(F.lit("retention="), F.col("Config")["retention"]).alias("config"),
+        F.regexp_extract("_metadata.file_path", "(backups/.*)$", 1).alias("storage_key"),
     )
 
 
