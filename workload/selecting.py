@@ -185,6 +185,6 @@ def topic_describe(spark, sf_dir):
 
 
 @query("offset_range_scan", f"""WITH {sql.LINEITEM}
-SELECT {PLACE_SQL} FROM lineitem_log WHERE "offset" >= 200 AND "offset" < 900""")
+SELECT {PLACE_SQL} FROM lineitem_log WHERE "offset" >= 50 AND "offset" < 900""")
 def offset_range_scan(spark, sf_dir):
-    return between_offsets(logs.log(spark, sf_dir, "lineitem"), 200, 900).select(*PLACE)
+    return between_offsets(logs.log(spark, sf_dir, "lineitem"), 50, 900).select(*PLACE)
