@@ -50,7 +50,7 @@ def message_text():
 def fingerprint():
     """Identity of a message content, for multiset comparison."""
     # Never null, so that no join or filter evaluates it a second time.
-    return F.coalesce(F.sha2(message_text(), 256), F.lit(""))
+    return F.coalesce(F.unhex(F.sha2(message_text(), 256)), F.lit(b""))
 
 
 def measured(rows, *more):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from logkeep.operators.ordering import BUCKET_ROWS, bucket_of, last_marker, number_within
-from logkeep.session import checkpoint
+from logkeep.session import stored
 
 SLICE_ROWS = 1 << 18
 KEYS = ["topic", "partition"]
@@ -25,7 +25,7 @@ def segment_starts(log, size, wait_us, slice_rows=None, width=BUCKET_ROWS):
     """(topic, partition, segment, offset) of each segment's first message."""
     slice_rows = max(slice_rows or SLICE_ROWS, 2 * size)
     narrow = log.select(*KEYS, "offset", F.unix_micros("timestamp").alias("at"))
-    numbered = checkpoint(number_within(narrow, KEYS, ["offset"], "row", width))
+    numbered = stored(number_within(narrow, KEYS, ["offset"], "row", width))
 
     row, home = F.col("row"), bucket_of("row", slice_rows)
     tail = (row % slice_rows) >= slice_rows - size
@@ -217,4 +217,4 @@ def assign(log, starts, width=BUCKET_ROWS):
 
     The starts, one small row per segment, are computed once and kept.
     """
-    return last_marker(log, checkpoint(starts), KEYS, "offset", ["segment"], bucket_of, width)
+    return last_marker(log, stored(starts), KEYS, "offset", ["segment"], bucket_of, width)

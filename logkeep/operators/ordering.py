@@ -11,9 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logkeep.operators.joins import join_small, local_if_small
-from logkeep.session import checkpoint, scratch_path
+from logkeep.session import scratch_path, stored
 
-BUCKET_ROWS = 1 << 20
+# About 256 MB of messages of 1 KB: one sort group, and one file of the archive.
+BUCKET_ROWS = 1 << 18
 
 
 def bucket_of(order, width=BUCKET_ROWS):
@@ -139,7 +140,7 @@ def _cut_large_buckets(rows, marks, group, spread, group_rows):
         .where(F.col("_n") > group_rows)
         .select(*group, pieces)
     )
-    large = local_if_small(large) or checkpoint(large)
+    large = local_if_small(large) or stored(large)
     count = F.coalesce("_pieces", F.lit(1))
     rows = join_small(rows, large, group, spread, how="left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread), count).cast("int")

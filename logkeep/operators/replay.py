@@ -50,13 +50,23 @@ def up_to(rows, moment):
     return rows.where(F.col("timestamp") <= F.lit(moment))
 
 
+REPLAY_ORDER = ["target_topic", "partition", "topic", "segment", "offset"]
+
+
 def in_replay_order(rows):
-    """Rows laid out for replay: ranges of (target, partition, segment, offset).
+    """Rows of each task in replay order; nothing is shuffled.
+
+    The archive keeps ranges of a partition together, so a task holds whole runs.
+    """
+    return rows.sortWithinPartitions(*REPLAY_ORDER)
+
+
+def in_total_order(rows):
+    """Tasks that follow each other in replay order; a hot partition spans several.
 
-    A hot partition spans several ranges, and the ranges follow each other.
+    Costs a second scan, which finds the ranges, and a shuffle.
     """
-    order = ["target_topic", "partition", "topic", "segment", "offset"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(*REPLAY_ORDER).sortWithinPartitions(*REPLAY_ORDER)
 
 
 def with_replay_position(rows, width=BUCKET_ROWS):

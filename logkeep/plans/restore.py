@@ -46,9 +46,10 @@ def restored_rows(spark, job, target=None, deduplicate=False):
     return rows
 
 
-def restore_to_files(rows, path):
-    """Replay into files; the file order is the replay order."""
-    replay.in_replay_order(rows).select(
+def restore_to_files(rows, path, total_order=False):
+    """Replay into files, each in replay order; on request also one after another."""
+    ordered = replay.in_total_order(rows) if total_order else replay.in_replay_order(rows)
+    ordered.select(
         F.col("target_topic").alias("topic"), "partition", "offset", "key", "value",
         "timestamp", "headers",
     ).write.mode("overwrite").parquet(path)

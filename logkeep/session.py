@@ -39,8 +39,6 @@ def shared_dir(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="run-")
         os.environ["LOGKEEP_LOCAL_DIR"] = named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -49,10 +47,14 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df):
-    """Cut lineage through reliable storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df, name="stored"):
+    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+
+    The table survives lost executors, and its size is known to later joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _is_local(context):

@@ -42,7 +42,7 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None):
         ).alias("storage_key"),
     )
     group = ["topic", "partition", "segment"]
-    address = root.replace("s3a://", "s3://", 1)
+    address = _address(root)
 
     def write(batches):
         return _write(batches, address, compressed)
@@ -54,6 +54,13 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None):
     )
 
 
+def _address(root):
+    """A Hadoop style root as Arrow's file systems spell it."""
+    if root.startswith("file:/") and not root.startswith("file://"):
+        return "file://" + root[len("file:") :]
+    return root.replace("s3a://", "s3://", 1)
+
+
 def topic_metadata_objects(topics, backup_id):
     """Key and JSON text of the per-topic metadata objects."""
     body = F.to_json(
@@ -72,7 +79,7 @@ def topic_metadata_objects(topics, backup_id):
 
 def write_texts(objects, root):
     """Write (storage_key, text) rows as one small object each; lazy as above."""
-    address = root.replace("s3a://", "s3://", 1)
+    address = _address(root)
 
     def write(batches):
         filesystem, base = fs.FileSystem.from_uri(address)
