@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
+from logkeep.session import stored
 from logkeep.sinks import archive as sink
 from logkeep.sinks import catalog
-from logkeep.sources.archive import read_segments
+from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
+from logkeep.sources import segmentfiles
+from logkeep.sources.archive import read_segments, read_topics
+from logkeep.sources.storage import list_segments
 
 
 def segmented(log, job):
@@ -41,12 +45,20 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
 
 def _write(spark, log, job, topic_facts, timestamp):
     rows = segmented(log, job)
-    sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
-    sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)
+    if job.layout == "objects":
+        # The objects are written by the action that stores their manifest.
+        objects = write_objects(rows, job.root, job.backup_id, job.compression)
+        sink.store_manifest(objects, job.root, job.backup_id)
+    else:
+        sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
+        sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)
     totals = topic_manifest(
         read_segments(spark, job.root).where(F.col("backup_id") == job.backup_id)
     )
     sink.write_topics(with_facts(totals, topic_facts), job.root, job.backup_id)
+    if job.layout == "objects":
+        described = read_topics(spark, job.root).where(F.col("backup_id") == job.backup_id)
+        write_texts(topic_metadata_objects(described, job.backup_id), job.root).count()
     moment = timestamp or dt.datetime.now(dt.timezone.utc)
     config = {"batch_size": job.batch_size, "segmentation": job.segmentation,
               "workers": job.workers, "seed": job.seed, **job.config}
@@ -54,6 +66,33 @@ def _write(spark, log, job, topic_facts, timestamp):
     return totals
 
 
+def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
+    """Catalog entries for segment objects that another tool wrote.
+
+    Counts and offsets come from one scan of the objects, sizes from their
+    listing; unreadable objects get no entry.
+    """
+    folder = f"{root}/backups/{backup_id}/topics"
+    place = ["topic", "partition", "segment"]
+    counts = segmentfiles.messages(segmentfiles.scan(spark, folder)).groupBy(*place).agg(
+        F.min("offset").alias("start_offset"),
+        F.max("offset").alias("end_offset"),
+        F.count(F.lit(1)).alias("message_count"),
+    )
+    listed = list_segments(spark, folder).select(*place, "size_bytes", "storage_key", "compressed")
+    manifest = stored(
+        counts.join(listed, place).select(
+            F.lit(backup_id).alias("backup_id"), *place, "start_offset", "end_offset",
+            "message_count", "size_bytes", "storage_key",
+            F.lit(None).cast("string").alias("checksum"), "compressed",
+        )
+    )
+    compressed = bool(manifest.agg(F.max("compressed")).first()[0])
+    sink.store_manifest(manifest.drop("compressed"), root, backup_id)
+    sink.write_topics(with_facts(topic_manifest(manifest), topic_facts), root, backup_id)
+    sink.write_backup_entry(spark, root, backup_id, timestamp, compressed, {"layout": "objects"})
+
+
 def with_facts(totals, topic_facts):
     """Topic rows with replication and config from a supplied topics table."""
     seen = totals.select(F.col("topic").alias("name"), "partitions")

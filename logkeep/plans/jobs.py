@@ -5,6 +5,11 @@ from dataclasses import dataclass, field
 from logkeep.functions.patterns import TopicSelector
 
 
+def _check_layout(layout):
+    if layout not in ("archive", "objects"):
+        raise ValueError(f"unknown layout: {layout}")
+
+
 @dataclass(frozen=True)
 class BackupJob:
     backup_id: str
@@ -15,6 +20,7 @@ class BackupJob:
     batch_size: int = 1000
     interval_seconds: float = 30.0
     segmentation: str = "count"  # count, offset or interval
+    layout: str = "archive"  # archive (Parquet) or objects (one JSON array per segment)
     compression: bool = True
     config: dict = field(default_factory=dict)
 
@@ -29,6 +35,7 @@ class BackupJob:
             raise ValueError("batch size must be at least 1")
         if self.segmentation not in ("count", "offset", "interval"):
             raise ValueError(f"unknown segmentation: {self.segmentation}")
+        _check_layout(self.layout)
 
 
 @dataclass(frozen=True)
@@ -43,11 +50,13 @@ class RestoreJob:
     workers: int = 1
     create_topics: bool = True
     overwrite_existing: bool = True
+    layout: str = "archive"
 
     def __post_init__(self):
         if not self.root:
             raise ValueError("source storage is required")
         if not self.backup_id and self.backup_timestamp is None:
             raise ValueError("either backup ID or timestamp is required")
+        _check_layout(self.layout)
         if self.workers < 1:
             raise ValueError("at least one worker is required")

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from logkeep.operators import replay, status, topics
+from logkeep.operators.joins import local_if_small
 from logkeep.sinks import catalog
-from logkeep.sources import kafka
+from logkeep.sources import kafka, segmentfiles
 from logkeep.sources.archive import read_archive, read_backups, read_segments, read_topics
 from logkeep.sources.filelog import read_log
+from logkeep.sources.storage import list_segments
 
 
 def chosen_backup(spark, job):
@@ -31,7 +33,10 @@ def restored_rows(spark, job, target=None, deduplicate=False):
     backup_id = chosen_backup(spark, job)
     if backup_id is None:
         raise LookupError(f"no backup for restore {job.restore_id}")
-    rows = read_archive(spark, job.root, backup_id)
+    if job.layout == "objects":
+        rows = _rows_of_objects(spark, job, backup_id)
+    else:
+        rows = read_archive(spark, job.root, backup_id)
     rows = topics.select_for_restore(rows, job.selectors)
     rows = replay.filter_partitions(rows, job.partition_filter)
     if job.backup_timestamp is not None:
@@ -46,6 +51,31 @@ def restored_rows(spark, job, target=None, deduplicate=False):
     return rows
 
 
+def _rows_of_objects(spark, job, backup_id):
+    """Rows of segment objects; only folders of chosen topics are read.
+
+    Unreadable objects are left out here; ``unreadable_objects`` lists them.
+    """
+    return segmentfiles.messages(_scan_objects(spark, job, backup_id))
+
+
+def unreadable_objects(spark, job, backup_id):
+    return segmentfiles.quarantine(_scan_objects(spark, job, backup_id))
+
+
+def _scan_objects(spark, job, backup_id):
+    root = f"{job.root}/backups/{backup_id}/topics"
+    if not job.selectors:
+        return segmentfiles.scan(spark, root)
+    names = list_segments(spark, root).select("topic").distinct()
+    chosen = topics.select_for_restore(names, job.selectors)
+    found = local_if_small(chosen)
+    if found is None:  # more folders than are worth naming one by one
+        return segmentfiles.scan(spark, root)
+    folders = segmentfiles.topic_folders(job.root, backup_id, [r.topic for r in found.collect()])
+    return segmentfiles.scan(spark, folders or root)
+
+
 def restore_to_files(rows, path, total_order=False):
     """Replay into files, each in replay order; on request also one after another."""
     ordered = replay.in_total_order(rows) if total_order else replay.in_replay_order(rows)

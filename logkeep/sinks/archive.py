@@ -55,19 +55,22 @@ def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd"):
 def write_manifest(spark, root, backup_id, prefix="", compressed=True, deduplicate=False):
     """Segment manifest of a backup, from stored sizes and hashes only."""
     rows = read_archive(spark, root, backup_id, deduplicate)
-    manifest = full_manifest(rows, prefix, compressed)
-    path = f"{root}/segments/backup_id={checked_id(backup_id)}"
+    store_manifest(full_manifest(rows, prefix, compressed), root, backup_id)
+
+
+def store_manifest(manifest, root, backup_id):
+    path = f"{root}/catalog/segments/backup_id={checked_id(backup_id)}"
     manifest.drop("backup_id").write.mode("overwrite").parquet(path)
 
 
 def write_topics(topics, root, backup_id):
-    path = f"{root}/topics/backup_id={checked_id(backup_id)}"
+    path = f"{root}/catalog/topics/backup_id={checked_id(backup_id)}"
     topics.write.mode("overwrite").parquet(path)
 
 
 def write_backup_entry(spark, root, backup_id, timestamp, compression, config, version="1"):
     """One row of the backup catalog."""
-    path = f"{root}/backups/backup_id={checked_id(backup_id)}"
+    path = f"{root}/catalog/backups/backup_id={checked_id(backup_id)}"
     pairs = [F.lit(str(x)) for pair in config.items() for x in pair]
     settings = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     spark.range(1).select(

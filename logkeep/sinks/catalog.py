@@ -8,7 +8,7 @@ from logkeep.schemas import BACKUP_PHASES, JOB_EVENTS_SCHEMA, RESTORE_PHASES
 
 
 def jobs_path(root):
-    return f"{root}/jobs"
+    return f"{root}/catalog/jobs"
 
 
 def record(spark, root, job_id, kind, phase, deleted=False, **fields):

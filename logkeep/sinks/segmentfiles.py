@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from logkeep.functions.messages import message_json
+from logkeep.sinks.archive import checked_id
 from logkeep.functions.paths import storage_key, topic_metadata_key
 
 RESULT = (
@@ -33,6 +34,7 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None):
     The result is lazy: an action on it writes. A repeated task writes the same
     bytes to the same key.
     """
+    checked_id(backup_id)
     rows = segmented.select(
         F.lit(backup_id).alias("backup_id"), "topic", "partition", "segment", "offset",
         (message_json() if json is None else json).alias("json"),

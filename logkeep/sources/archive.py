@@ -30,12 +30,12 @@ def read_archive(spark, root, backup_id=None, deduplicate=False):
 
 
 def read_segments(spark, root):
-    return spark.read.schema(SEGMENTS_SCHEMA).parquet(f"{root}/segments")
+    return spark.read.schema(SEGMENTS_SCHEMA).parquet(f"{root}/catalog/segments")
 
 
 def read_topics(spark, root):
-    return spark.read.schema("backup_id string, " + TOPICS_SCHEMA).parquet(f"{root}/topics")
+    return spark.read.schema("backup_id string, " + TOPICS_SCHEMA).parquet(f"{root}/catalog/topics")
 
 
 def read_backups(spark, root):
-    return spark.read.schema(BACKUPS_SCHEMA).parquet(f"{root}/backups")
+    return spark.read.schema(BACKUPS_SCHEMA).parquet(f"{root}/catalog/backups")

@@ -12,7 +12,7 @@ from logkeep.functions.patterns import TopicSelector
 from logkeep.functions.paths import parse_key, storage_key
 from logkeep.operators import manifests, replay, segments
 from logkeep.plans import restore
-from logkeep.plans.backup import run_backup
+from logkeep.plans.backup import adopt_objects, run_backup
 from logkeep.plans.jobs import BackupJob, RestoreJob
 from logkeep.schemas import LOG_COLUMNS
 from logkeep.session import scratch_path
@@ -92,6 +92,51 @@ def test_renamed_and_collision(spark, log, job):
     assert found == {"all": (3, True), "a.segment-1": (3, False)}
 
 
+def test_restore_from_objects(spark, log):
+    root = scratch_path(spark, "objects")
+    job = BackupJob("b1", root, ALL, batch_size=2, layout="objects")
+    run_backup(log, job, timestamp=at(100))
+    assert same_rows(restored(spark, job, layout="objects"), log)
+    some = restored(spark, job, layout="objects", selectors=(TopicSelector("glob", "orders"),),
+                    partition_filter={"orders": [1, 11]})
+    assert same_rows(some, log.where("topic = 'orders' AND partition <> 10"))
+    assert restored(spark, job, layout="objects", selectors=(TopicSelector("exact", "no"),)).isEmpty()
+    assert os.path.exists(f"{root}/backups/b1/metadata/topics/orders-v2.json")
+    with open(f"{root}/backups/b1/topics/2024/partition-1/segment-000000.json.gz", "wb") as f:
+        f.write(gzip.compress(b"[{"))
+    again = RestoreJob("r", root, "b1", layout="objects")
+    assert restore.unreadable_objects(spark, again, "b1").first().segment == 0
+    left = restore.restored_rows(spark, again)
+    assert left.count() == log.count() - 2
+    rows = restore.run_restore(spark, again, scratch_path(spark, "out"))
+    assert {r.topic: r.status for r in rows.collect()}["2024"] == "pending"
+    states = job_log.read_events(spark, root).where("job_id = 'r'").orderBy(F.desc("seq"))
+    assert states.first().phase == "PartiallyCompleted"
+
+
+def test_adopted_objects(spark, log):
+    root = scratch_path(spark, "foreign")
+    cut = segments.by_count(log, 3)
+    write_objects(cut, root, "old", compressed=False).count()
+    adopt_objects(spark, root, "old", at(7))
+    job = RestoreJob("r", root, backup_timestamp=at(50), layout="objects")
+    path = scratch_path(spark, "out")
+    rows = restore.run_restore(spark, job, path).collect()
+    assert {(r.topic, r.messages, r.status) for r in rows} == {
+        (t, 15, "completed") for t in ("orders", "orders-v2", "a.segment-1", "2024")}
+    assert same_rows(read_log(spark, path), log)
+    assert not read_backups(spark, root).first().compression
+
+
+def test_total_order(spark, job):
+    path = scratch_path(spark, "out")
+    rows = restore.restored_rows(spark, RestoreJob("r1", job.root, "b1"))
+    restore.restore_to_files(rows, path, total_order=True)
+    parts = sorted(glob.glob(f"{path}/part-*.parquet"))
+    seen = [(r.topic, r.partition, r.offset) for p in parts for r in read_log(spark, p).collect()]
+    assert seen == sorted(seen) and len(seen) == 60
+
+
 def test_point_in_time(spark, log, job):
     moment = at(5)
     got = restored(spark, job, backup_timestamp=moment)

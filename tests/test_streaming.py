@@ -50,6 +50,17 @@ def test_lost_checkpoint_gives_copies_that_reading_drops(spark):
     assert same_rows(stored(once), log)
 
 
+def test_stop_keeps_what_was_read(spark):
+    log = make_log(spark, random_log(8, SIZES)).cache()
+    source = scratch_path(spark, "source")
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),))
+    log.write.parquet(source)
+    query = start_backup(stream_log(spark, source), job, scratch_path(spark, "c"), interval_seconds=1)
+    query.processAllAvailable()
+    query.stop()
+    assert same_rows(read_archive(spark, job.root, "s").select(*LOG_COLUMNS), log)
+
+
 def test_totals(spark):
     log = make_log(spark, random_log(6, SIZES))
     source, out = scratch_path(spark, "source"), scratch_path(spark, "totals")
