@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+# Fixed format of keys of segment objects.
 KEY_PATTERN = (
     r"(?:^|/)backups/([^/]+)/topics/([^/]+)/partition-(\d+)/segment-(\d+)\.json(\.gz)?$"
 )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from logkeep import schemas
 from logkeep.operators.ordering import BUCKET_ROWS, previous_within
 
 
@@ -76,11 +77,11 @@ def check_backup_jobs(jobs):
     """Reasons why a backup job is refused."""
     return _with_errors(
         jobs,
-        (F.col("source_id").isNull(), "source cluster is required"),
-        (F.col("storage_id").isNull(), "target storage is required"),
-        (F.coalesce(F.col("selectors"), F.lit(0)) < 1, "at least one topic selector is required"),
-        (F.coalesce(F.col("workers"), F.lit(0)) < 1, "at least one worker is required"),
-        (F.coalesce(F.col("batch_size"), F.lit(0)) < 1, "batch size must be at least 1"),
+        (F.col("source_id").isNull(), schemas.NO_SOURCE_CLUSTER),
+        (F.col("storage_id").isNull(), schemas.NO_TARGET_STORAGE),
+        (F.coalesce(F.col("selectors"), F.lit(0)) < 1, schemas.NO_SELECTOR),
+        (F.coalesce(F.col("workers"), F.lit(0)) < 1, schemas.NO_WORKER),
+        (F.coalesce(F.col("batch_size"), F.lit(0)) < 1, schemas.NO_BATCH),
     )
 
 
@@ -89,10 +90,10 @@ def check_restore_jobs(jobs):
     no_backup = F.coalesce(F.col("backup_id"), F.lit("")) == ""
     return _with_errors(
         jobs,
-        (F.col("storage_id").isNull(), "source storage is required"),
-        (F.col("target_id").isNull(), "target cluster is required"),
-        (no_backup & F.col("backup_timestamp").isNull(), "either backup ID or timestamp is required"),
-        (F.coalesce(F.col("workers"), F.lit(0)) < 1, "at least one worker is required"),
+        (F.col("storage_id").isNull(), schemas.NO_SOURCE_STORAGE),
+        (F.col("target_id").isNull(), schemas.NO_TARGET_CLUSTER),
+        (no_backup & F.col("backup_timestamp").isNull(), schemas.NO_BACKUP),
+        (F.coalesce(F.col("workers"), F.lit(0)) < 1, schemas.NO_WORKER),
     )
 
 

@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 
+# Usual bounds of a duration histogram, in milliseconds. Fixed values.
+DURATION_BOUNDS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+
+
 def backup_totals(segments, finished_at):
     """Topics, messages and bytes per backup.
 

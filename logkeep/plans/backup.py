@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
-from logkeep.session import stored
+from logkeep.session import size_shuffles, stored
 from logkeep.sinks import archive as sink
 from logkeep.sinks import catalog
 from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
@@ -44,6 +44,7 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
 
 
 def _write(spark, log, job, topic_facts, timestamp):
+    size_shuffles(log)
     rows = segmented(log, job)
     if job.layout == "objects":
         # The objects are written by the action that stores their manifest.

@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass, field
 
+from logkeep import schemas
 from logkeep.functions.patterns import TopicSelector
 
 
@@ -26,13 +27,13 @@ class BackupJob:
 
     def __post_init__(self):
         if not self.root:
-            raise ValueError("target storage is required")
+            raise ValueError(schemas.NO_TARGET_STORAGE)
         if not self.selectors:
-            raise ValueError("at least one topic selector is required")
+            raise ValueError(schemas.NO_SELECTOR)
         if self.workers < 1:
-            raise ValueError("at least one worker is required")
+            raise ValueError(schemas.NO_WORKER)
         if self.batch_size < 1:
-            raise ValueError("batch size must be at least 1")
+            raise ValueError(schemas.NO_BATCH)
         if self.segmentation not in ("count", "offset", "interval"):
             raise ValueError(f"unknown segmentation: {self.segmentation}")
         _check_layout(self.layout)
@@ -54,9 +55,9 @@ class RestoreJob:
 
     def __post_init__(self):
         if not self.root:
-            raise ValueError("source storage is required")
+            raise ValueError(schemas.NO_SOURCE_STORAGE)
         if not self.backup_id and self.backup_timestamp is None:
-            raise ValueError("either backup ID or timestamp is required")
+            raise ValueError(schemas.NO_BACKUP)
         _check_layout(self.layout)
         if self.workers < 1:
-            raise ValueError("at least one worker is required")
+            raise ValueError(schemas.NO_WORKER)

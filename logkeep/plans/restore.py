@@ -69,7 +69,7 @@ def _scan_objects(spark, job, backup_id):
         return segmentfiles.scan(spark, root)
     names = list_segments(spark, root).select("topic").distinct()
     chosen = topics.select_for_restore(names, job.selectors)
-    found = local_if_small(chosen)
+    found = local_if_small(chosen, max_rows=10_000)
     if found is None:  # more folders than are worth naming one by one
         return segmentfiles.scan(spark, root)
     folders = segmentfiles.topic_folders(job.root, backup_id, [r.topic for r in found.collect()])

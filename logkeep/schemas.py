@@ -63,11 +63,22 @@ TASK_FACTS_SCHEMA = (
     "bytes bigint, duration_ms bigint, operation string, status string, ts timestamp"
 )
 
+# Fixed names of phases.
 BACKUP_PHASES = ("Pending", "Running", "Completed", "Failed", "Suspended")
 RESTORE_PHASES = (
     "Pending", "Validating", "Running", "Completed", "Failed", "PartiallyCompleted",
 )
 
+# Why a job is refused. Fixed texts.
+NO_SOURCE_CLUSTER = "source cluster is required"
+NO_TARGET_STORAGE = "target storage is required"
+NO_SELECTOR = "at least one topic selector is required"
+NO_WORKER = "at least one worker is required"
+NO_BATCH = "batch size must be at least 1"
+NO_SOURCE_STORAGE = "source storage is required"
+NO_TARGET_CLUSTER = "target cluster is required"
+NO_BACKUP = "either backup ID or timestamp is required"
+
 # JSON form of one message inside a segment object. Fixed field names.
 MESSAGE_JSON_SCHEMA = T.StructType(
     [

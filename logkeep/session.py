@@ -47,6 +47,23 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def size_shuffles(df, target_bytes=128 << 20, limit=200_000):
+    """Raise ``spark.sql.shuffle.partitions`` to fit a shuffle of all rows of ``df``.
+
+    The size is that of the files below ``df``, which are compressed, hence the
+    small target. The setting is never lowered; adaptive execution merges what is
+    too fine.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)
+    wanted = min(limit, -(-known // target_bytes))
+    conf = df.sparkSession.conf
+    if wanted > int(conf.get("spark.sql.shuffle.partitions")):
+        conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return int(conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(df, name="stored"):
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 

@@ -10,6 +10,7 @@ from logkeep.operators.ordering import (
     number_within,
     previous_within,
 )
+from logkeep.session import size_shuffles
 
 
 def skewed(spark):
@@ -79,6 +80,17 @@ def test_join_small_beyond_its_bound(spark):
     assert left.count() == big.count() and left.where("w is null").count() > 0
 
 
+def test_shuffles_grow_with_their_input(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(df) == int(before)
+        assert size_shuffles(df, target_bytes=1000) > 50
+        assert size_shuffles(df, target_bytes=1 << 40) > 50  # never lowered
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_unchecked_broadcast_of_the_salted_side(spark):
     big = skewed(spark)
     small = big.select("k").distinct()

@@ -467,18 +467,15 @@ def message_counters(spark, sf_dir):
     return status.message_counters(logs.task_facts(spark, sf_dir))
 
 
-BOUNDS_MS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
-
-
 @query("duration_histogram", f"""WITH {sql.TASK_FACTS},
-bounds AS (SELECT CAST(b AS VARCHAR) AS le, b FROM (SELECT unnest({BOUNDS_MS}) AS b) UNION ALL SELECT '+Inf', 9000000000000),
+bounds AS (SELECT CAST(b AS VARCHAR) AS le, b FROM (SELECT unnest({list(status.DURATION_BOUNDS_MS)}) AS b) UNION ALL SELECT '+Inf', 9000000000000),
 totals AS (SELECT job_id, operation, count(*) AS total_count, CAST(sum(duration_ms) AS BIGINT) AS total_sum FROM task_facts GROUP BY job_id, operation)
 SELECT f.job_id, f.operation, any_value(total_count) AS total_count, any_value(total_sum) AS total_sum, le,
   CAST(count_if(duration_ms <= b) AS BIGINT) AS bucket_count
 FROM task_facts f CROSS JOIN bounds JOIN totals t ON f.job_id = t.job_id AND f.operation = t.operation GROUP BY f.job_id, f.operation, le""")
 def duration_histogram(spark, sf_dir):
     facts = logs.task_facts(spark, sf_dir)
-    return status.histogram(facts, "duration_ms", BOUNDS_MS, ["job_id", "operation"])
+    return status.histogram(facts, "duration_ms", status.DURATION_BOUNDS_MS, ["job_id", "operation"])
 
 
 @query("storage_op_counts", f"""WITH {sql.TASK_FACTS}
