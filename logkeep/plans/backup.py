@@ -44,6 +44,8 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
 
 
 def _write(spark, log, job, topic_facts, timestamp):
+    if job.land:
+        log = stored(topics.select_for_backup(log, job.selectors), "landed")
     size_shuffles(log)
     rows = segmented(log, job)
     if job.layout == "objects":

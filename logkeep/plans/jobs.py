@@ -23,6 +23,9 @@ class BackupJob:
     segmentation: str = "count"  # count, offset or interval
     layout: str = "archive"  # archive (Parquet) or objects (one JSON array per segment)
     compression: bool = True
+    # Copy the log to the shared folder first. Segmenting scans a log more than once,
+    # so a source that grows or expires meanwhile, such as Kafka, must be landed.
+    land: bool = False
     config: dict = field(default_factory=dict)
 
     def __post_init__(self):

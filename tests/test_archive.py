@@ -128,6 +128,13 @@ def test_adopted_objects(spark, log):
     assert not read_backups(spark, root).first().compression
 
 
+def test_landed_log(spark, log):
+    job = BackupJob("b1", scratch_path(spark, "archive"), (TopicSelector("glob", "orders*"),),
+                    batch_size=4, land=True)
+    run_backup(log, job, timestamp=at(100))
+    assert same_rows(restored(spark, job), log.where("topic LIKE 'orders%'"))
+
+
 def test_total_order(spark, job):
     path = scratch_path(spark, "out")
     rows = restore.restored_rows(spark, RestoreJob("r1", job.root, "b1"))
