@@ -67,11 +67,16 @@ def java_regex(pattern):
     if NOT_IN_RE2.search(pattern):
         raise ValueError(f"not supported in topic patterns: {pattern}")
     spelled = pattern.replace("(?P<", "(?<")
-    return re.sub(
-        r"\[:(\w+):\]",
-        lambda m: "\\p{" + POSIX_CLASSES[m.group(1)] + "}",
-        spelled,
-    )
+    return re.sub(r"\[:(\^?)(\w+):\]", _java_class, spelled)
+
+
+def _java_class(match):
+    negated, name = match.groups()
+    if name == "word":
+        return "\\W" if negated else "\\w"
+    if name not in POSIX_CLASSES:
+        raise ValueError(f"unknown character class: {name}")
+    return ("\\P{" if negated else "\\p{") + POSIX_CLASSES[name] + "}"
 
 
 def glob_regex(pattern):
@@ -105,9 +110,10 @@ def _glob_predicate(topic, pattern):
 
 def regex_compiles(pattern):
     """Whether an RE2 engine would accept the pattern."""
-    if NOT_IN_RE2.search(pattern):
+    names = re.findall(r"\[:\^?(\w+):\]", pattern)
+    if NOT_IN_RE2.search(pattern) or any(n not in POSIX_CLASSES and n != "word" for n in names):
         return False
-    plain = re.sub(r"\(\?[imsU-]+\)", "", re.sub(r"\[:\w+:\]", "a", pattern))
+    plain = re.sub(r"\(\?[imsU-]+\)", "", re.sub(r"\[:\^?\w+:\]", "a", pattern))
     try:
         re.compile(plain)
     except (re.error, OverflowError):

@@ -52,6 +52,14 @@ def test_regex_is_unanchored(topics):
     assert chosen(topics, TopicSelector("regex", "^[[:upper:]]")) == {"Orders.f"}
 
 
+def test_character_classes(topics):
+    assert chosen(topics, TopicSelector("regex", "^[[:word:]]+$")) == {"orders", "ordersXf"}
+    assert chosen(topics, TopicSelector("regex", "^[[:^lower:]]r")) == {"Orders.f"}
+    with pytest.raises(ValueError):
+        TopicSelector("regex", "[[:letter:]]")
+    assert not regex_compiles("^[[:letter:]]")
+
+
 def test_any_and_empty(topics):
     both = [TopicSelector("exact", "orders"), TopicSelector("glob", "x.*")]
     assert chosen(topics, *both) == {"orders", "x.y.z"}
