@@ -26,9 +26,7 @@ def scan(spark, paths):
         .option("pathGlobFilter", "segment-*.json*")
         .json(paths)
     )
-    headers = F.transform(
-        "Headers", lambda h: F.struct(h["Key"].alias("key"), h["Value"].alias("value"))
-    )
+    headers = F.col("Headers").cast("array<struct<key:string,value:binary>>")
     return (
         rows.select(
             F.col("_metadata.file_path").alias("path"),
