@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from logkeep.llm.bitnodes import NODE_ROWS, cut_width, deal, grouped
 from logkeep.llm.components import components
-from logkeep.llm.texts import as_bytes, bit_rows, hash64, lower_words, pack_rows
+from logkeep.llm.texts import as_bytes, bit_sums, hash64, lower_words, pack_rows
 from logkeep.session import stored
 
 RADIUS = 3
 SHINGLE = 3
-#: Fingerprints that the first cut aims at for a node, and may leave in one before it is cut again.
-NODE_AIM = 1_000
-NODE_ROWS = 20_000
 FANOUT = 8
 _BATCH = 4_096
 
@@ -49,9 +47,9 @@ def shingles(words, size=SHINGLE):
 
 def simhash(hashes):
     """Bits set in more than half the hashes; zero for none."""
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros(64)
     for at in range(0, len(hashes), 1 << 16):
-        votes += bit_rows(hashes[at : at + (1 << 16)]).sum(axis=0, dtype=np.int64)
+        votes += bit_sums(hashes[at : at + (1 << 16)])
     return pack_rows((2 * votes > len(hashes))[None, :])[0]
 
 
@@ -130,88 +128,19 @@ def node_edges(codes, radius=RADIUS):
     return codes[moved], codes[root[moved]]
 
 
-def _parts(bits, pieces):
-    """Bit places in ``pieces`` lists of about equal length."""
-    step = -(-len(bits) // pieces)
-    return [bits[i : i + step] for i in range(0, len(bits), step)]
-
-
-def _value(bits):
-    """Column expression for the chosen bits of ``code``, as one number."""
-    value = F.lit(0).cast("long")
-    for place, bit in enumerate(bits):
-        one = F.shiftrightunsigned("code", bit).bitwiseAND(F.lit(1).cast("long"))
-        value = value.bitwiseOR(F.shiftleft(one, place))
-    return value
-
-
-def index_nodes(codes, radius=RADIUS, node_rows=NODE_ROWS):
-    """(node, code): upper nodes of bounded size; near codes meet in at least one.
-
-    ``codes`` holds distinct longs. Every round deals by ``radius + 1`` parts of the bits
-    not yet used; nodes within ``node_rows`` are done, the others are cut again while
-    enough bits are left to tell their codes apart. The first round takes no more bits of
-    each part than its nodes need to come near ``NODE_AIM``.
-    """
-    width = max(0, (codes.count() // NODE_AIM).bit_length())
-    done, level = [], [(codes.select("code", F.lit("").alias("node")), list(range(64)))]
-    while level:
-        following = []
-        for frame, bits in level:
-            parts = [p[:width] for p in _parts(bits, radius + 1)]
-            dealt = frame.select("code", F.explode(F.array(*[
-                F.concat_ws(":", "node", F.lit(str(i)), _value(p).cast("string"))
-                for i, p in enumerate(parts)])).alias("node"))
-            if len(bits) <= 32:
-                done.append(dealt)
-                continue
-            dealt = stored(dealt, "nodes")
-            large = dealt.groupBy("node").count().where(F.col("count") > node_rows)
-            large = stored(large.select("node"), "large")
-            if not large.take(1):
-                done.append(dealt)
-                continue
-            done.append(dealt.join(large, "node", "left_anti").select("code", "node"))
-            hot = stored(dealt.join(large, "node").select("code", "node"), "hot")
-            for i, part in enumerate(parts):
-                mine = F.element_at(F.split("node", ":"), -2) == str(i)
-                following.append((hot.where(mine), [b for b in bits if b not in part]))
-        width, level = 64, [(f, b) for f, b in following if f.take(1)]
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
-    return out
-
-
 def near_edges(codes, radius=RADIUS, node_rows=NODE_ROWS):
     """(a, b) edges that join all codes within the radius, one per node entry at most."""
     def edges(batches):
-        held, key = [], None
-        for batch in batches:
-            node, code = batch["node"].to_numpy(), batch["code"].to_numpy()
-            cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-            for n, c in zip(node[np.concatenate([[0], cuts])] if len(node) else (),
-                            np.split(code, cuts)):
-                if n != key and held:
-                    yield from _emit(held, radius)
-                    held = []
-                key = n
-                held.append(c)
-        yield from _emit(held, radius)
-
-    nodes = index_nodes(codes, radius, node_rows)
+        for _, held in grouped(batches):
+            if len(held) > 1:
+                a, b = node_edges(held.view(np.uint64), radius)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    nodes = deal(codes, radius, cut_width(codes.count()), node_rows)
     return nodes.repartition("node").sortWithinPartitions("node").mapInPandas(
         edges, "a long, b long")
 
 
-def _emit(held, radius):
-    codes = np.concatenate(held) if held else np.zeros(0, np.int64)
-    if len(codes) > 1:
-        a, b = node_edges(codes.view(np.uint64), radius)
-        if len(a):
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-
 def near_groups(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
     """(doc_id, code, component_id) of every row."""
     codes = stored(docs.select(F.col(doc_id).alias("doc_id"),

@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL twins."""
 
-from logkeep.llm import decontamination, graydedup
+from logkeep.llm import decontamination, fingerprints, graydedup, pii
 
 QUERIES = {}
 ORACLES = {}
@@ -16,6 +16,8 @@ def _register(function):
 
 for _query in (
     graydedup.op2_simhash_groups,
+    pii.op3_pii,
+    fingerprints.op7_fingerprints,
     decontamination.op8_decontamination,
 ):
     _register(_query)

@@ -1,5 +1,6 @@
 """Words, bits and hashes of texts inside tasks."""
 
+import itertools
 import sys
 import types
 import zlib
@@ -29,13 +30,23 @@ def crc32_mod(ids, mod):
 
 def hash64(pieces):
     """XXH64 (seed 42) of each piece as uint64."""
-    one = xxhash.xxh64_intdigest
-    return np.fromiter((one(p, 42) for p in pieces), np.uint64, len(pieces))
+    found = map(xxhash.xxh64_intdigest, pieces, itertools.repeat(42, len(pieces)))
+    return np.fromiter(found, np.uint64, len(pieces))
 
 
-def bit_rows(hashes):
-    """One row of 64 bits (uint8) per hash, highest bit first."""
-    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+_BYTE_PLACES = 256 * np.arange(8)
+
+
+def bit_sums(hashes, weights=None):
+    """Sum of the weights (one each by default) of the hashes that have each bit set.
+
+    Adds up the values of each of the eight bytes first, then the bits of the 256 values.
+    """
+    places = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _BYTE_PLACES
+    spread = None if weights is None else np.repeat(weights, 8)
+    sums = np.bincount(places.reshape(-1), spread, minlength=2048).reshape(8, 256)
+    return (sums @ _BYTE_BITS).reshape(-1)
 
 
 def pack_rows(bits):

@@ -66,9 +66,9 @@ def test_tree_finds_every_near_pair():
 
 
 def test_hot_nodes_are_cut_without_losing_links(spark):
-    codes = np.array(near_codes(5, 60), np.uint64)
+    codes = np.array(near_codes(5, 25), np.uint64)
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
-    for node_rows in (3, 10**6):
+    for node_rows in (6, 10**6):
         edges = G.near_edges(df, node_rows=node_rows)
         roots = {r.node: r.root for r in components(edges).collect()}
         a, b = G.node_edges(codes)
