@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL twins."""
 
-from logkeep.llm import decontamination, fingerprints, graydedup, pii
+from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, simple8b
 
 QUERIES = {}
 ORACLES = {}
@@ -17,7 +17,9 @@ def _register(function):
 for _query in (
     graydedup.op2_simhash_groups,
     pii.op3_pii,
+    simple8b.op4_token_files,
     fingerprints.op7_fingerprints,
     decontamination.op8_decontamination,
+    bpe.op9_bpe,
 ):
     _register(_query)
