@@ -141,16 +141,38 @@ def near_edges(codes, radius=RADIUS, node_rows=NODE_ROWS):
         edges, "a long, b long")
 
 
-def near_groups(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
-    """(doc_id, code, component_id) of every row."""
-    codes = stored(docs.select(F.col(doc_id).alias("doc_id"),
-                               fingerprint(F.col(text)).alias("code")), "fingerprints")
+def rooted(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
+    """(doc_id, hash, code, root) of every row; ``hash`` is that of the text, null as empty."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    codes = stored(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"),
+                               fingerprint(text).alias("code")), "fingerprints")
     edges = near_edges(stored(codes.select("code").distinct(), "codes"), radius, node_rows)
     roots = stored(components(edges), "roots")
-    joined = codes.join(roots, codes["code"] == roots["node"], "left").select(
-        "doc_id", "code", F.coalesce("root", "code").alias("root"))
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "root").select("doc_id", "code", "component_id")
+    return codes.join(roots, codes["code"] == roots["node"], "left").select(
+        "doc_id", "hash", "code", F.coalesce("root", "code").alias("root"))
+
+
+def near_groups(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
+    """(doc_id, code, component_id) of every row."""
+    rows = rooted(docs, doc_id, text, radius, node_rows)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "code", "component_id")
+
+
+def keep_one(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
+    """One row of ``docs`` for each group: that of the smallest id, then text hash.
+
+    Null ids come after all others. Rows alike in id and text count as one.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = rooted(docs, doc_id, text, radius, node_rows).groupBy("root").agg(F.min(first).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                       docs[doc_id].alias("doc_id"),
+                       F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    found = rows.join(kept, same).dropDuplicates(["doc_id", "hash"])
+    return found.select("row.*")
 
 
 def op2_simhash_groups(spark, sf_dir):

@@ -1,17 +1,20 @@
 """Queries of the training-data operators, and their SQL twins."""
 
-from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, simple8b
+import corpus_pipeline
+from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, simple8b
 
 QUERIES = {}
 ORACLES = {}
 
 
-def _register(function):
+def _register(name, function, sql=None):
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return function(spark, sf_dir)
 
-    QUERIES[function.__name__] = run
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = sql
 
 
 for _query in (
@@ -21,5 +24,7 @@ for _query in (
     fingerprints.op7_fingerprints,
     decontamination.op8_decontamination,
     bpe.op9_bpe,
+    quality.op10_quality,
 ):
-    _register(_query)
+    _register(_query.__name__, _query)
+_register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
