@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and their SQL twins."""
 
 import corpus_pipeline
-from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, simple8b
+from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b
 
 QUERIES = {}
 ORACLES = {}
@@ -27,4 +27,5 @@ for _query in (
     quality.op10_quality,
 ):
     _register(_query.__name__, _query)
+_register("op6_repeated_passages", recompression.op6_repeated_passages, recompression.SQL)
 _register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
