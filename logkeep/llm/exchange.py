@@ -98,12 +98,13 @@ def pieces(block, keys, values, buckets):
 PIECES = "bucket long, block long, keys binary, values binary"
 
 
-def answers(sent, merge, kind):
+def answers(sent, merge, kind, tally=None):
     """(block, bucket, answer): ``merge`` of each bucket's keys, given back to its blocks.
 
     ``merge(which, values, distinct)`` sees the values of all blocks' entries (of dtype
     ``kind``) and for each entry the number of its key among ``distinct``; it returns one
-    answer for each entry.
+    answer for each entry. With ``tally``, a column of that name repeats, for every row of a
+    bucket, its count of keys whose values do not sum to zero.
     """
     def meet(group):
         keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
@@ -111,10 +112,14 @@ def answers(sent, merge, kind):
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         found = merge(which, values, len(distinct))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"],
-                             "answer": [a.tobytes() for a in np.split(found, cuts)]})
-
-    return sent.groupBy("bucket").applyInPandas(meet, "block long, bucket long, answer binary")
+        out = {"block": group["block"], "bucket": group["bucket"],
+               "answer": [a.tobytes() for a in np.split(found, cuts)]}
+        if tally:
+            out[tally] = np.count_nonzero(np.bincount(which, values, len(distinct)))
+        return pd.DataFrame(out)
+
+    schema = "block long, bucket long, answer binary" + (f", {tally} long" if tally else "")
+    return sent.groupBy("bucket").applyInPandas(meet, schema)
 
 
 def with_answers(blocks, replies, function, schema):

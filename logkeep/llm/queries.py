@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and their SQL twins."""
 
 import corpus_pipeline
-from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b
+from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b, suffixtree
 
 QUERIES = {}
 ORACLES = {}
@@ -18,6 +18,7 @@ def _register(name, function, sql=None):
 
 
 for _query in (
+    suffixtree.op1_suffix_tree,
     graydedup.op2_simhash_groups,
     pii.op3_pii,
     simple8b.op4_token_files,
