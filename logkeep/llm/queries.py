@@ -1,7 +1,9 @@
 """Queries of the training-data operators, and their SQL twins."""
 
 import corpus_pipeline
-from logkeep.llm import bpe, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b, suffixtree
+from logkeep.llm import (
+    bpe, credentials, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b,
+    suffixtree)
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +24,7 @@ for _query in (
     graydedup.op2_simhash_groups,
     pii.op3_pii,
     simple8b.op4_token_files,
+    credentials.op5_secrets,
     fingerprints.op7_fingerprints,
     decontamination.op8_decontamination,
     bpe.op9_bpe,
