@@ -51,13 +51,13 @@ def measured(rows, *more):
     return rows.select("topic", "partition", "offset", message_size().alias("size_bytes"), *more)
 
 
-def row_hash():
+def row_hash(topic="topic"):
     """64-bit hash of one archived row; xor-ed into segment checksums.
 
     Null keys and values are replaced by a marker, since the hash skips nulls.
     """
     return F.xxhash64(
-        "topic",
+        topic,
         "partition",
         "offset",
         F.coalesce("key", F.lit(b"\x00null")),

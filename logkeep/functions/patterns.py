@@ -66,8 +66,17 @@ def java_regex(pattern):
     """RE2 pattern in Java spelling; raises where the two differ."""
     if NOT_IN_RE2.search(pattern):
         raise ValueError(f"not supported in topic patterns: {pattern}")
-    spelled = pattern.replace("(?P<", "(?<")
-    return re.sub(r"\[:(\^?)(\w+):\]", _java_class, spelled)
+    spelled = re.sub(r"\[:(\^?)(\w+):\]", _java_class, pattern.replace("(?P<", "(?<"))
+    # Java nests classes: a bracket or && inside a class is text in RE2
+    return re.sub(r"(\\.)|\[(\^?\]?)((?:\\.|[^\]\\])*)\]", _java_brackets, spelled, flags=re.S)
+
+
+def _java_brackets(match):
+    escaped, head, body = match.groups()
+    if escaped:
+        return escaped
+    body = re.sub(r"(\\.)|([\[&])", lambda m: m[1] or "\\" + m[2], body, flags=re.S)
+    return "[" + head.replace("]", "\\]") + body + "]"
 
 
 def _java_class(match):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logkeep import schemas
-from logkeep.operators.ordering import BUCKET_ROWS, previous_within
+from logkeep.operators.ordering import previous_within
 
 
 def latest_state(job_events, with_deleted=False):
@@ -12,8 +12,9 @@ def latest_state(job_events, with_deleted=False):
     Jobs whose last event is a tombstone drop out.
     """
     payload = [c for c in job_events.columns if c not in ("job_id", "seq")]
+    # events of two writers may share a number: all their fields break the tie
     last = job_events.groupBy("job_id").agg(
-        F.max_by(F.struct("seq", *payload), "seq").alias("_last"),
+        F.max(F.struct("seq", *payload)).alias("_last"),
         F.min("ts").alias("created_at"),
     ).select("job_id", "_last.*", "created_at")
     return last if with_deleted else last.where(~F.col("deleted"))
@@ -62,7 +63,17 @@ def _between(df, column, since, until):
     return df
 
 
-def illegal_transitions(job_events, width=BUCKET_ROWS):
+#: A day of microseconds, the unit in which jobs number their events.
+EVENT_WIDTH = 86_400_000_000
+
+
+def live_backups(backups, job_events):
+    """Backups that were not deleted."""
+    gone = deleted_jobs(job_events).where("kind = 'backup'").select(F.col("job_id").alias("backup_id"))
+    return backups.join(gone, "backup_id", "left_anti")
+
+
+def illegal_transitions(job_events, width=EVENT_WIDTH):
     """Starts of a running job and stops of a job that is not running."""
     narrow = job_events.select("job_id", "seq", "phase")
     stepped = previous_within(narrow, ["job_id"], "seq", ["phase"], width=width)

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logkeep.operators.joins import join_small, local_if_small
-from logkeep.session import scratch_path, size_shuffles, stored
+from logkeep.session import scratch_path, sized_shuffles, stored
 
 # About 256 MB of messages of 1 KB: one sort group, and one file of the archive.
 BUCKET_ROWS = 1 << 18
@@ -161,13 +161,13 @@ def number_rows(df, keys, order, out, path=None):
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "numbered")
-    size_shuffles(df)
-    (
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .write.parquet(path)
-    )
+    with sized_shuffles(df) as partitions:
+        (
+            df.repartitionByRange(partitions, *keys, *order)
+            .sortWithinPartitions(*keys, *order)
+            .withColumn("_position", F.monotonically_increasing_id())
+            .write.parquet(path)
+        )
     placed = spark.read.parquet(path).withColumn("_slice", F.shiftright("_position", 33))
     group = [*keys, "_slice"]
     bases = (

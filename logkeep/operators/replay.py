@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logkeep.functions.messages import fingerprint
 from logkeep.operators.joins import join_small
+from logkeep.session import stored
 from logkeep.operators.ordering import (
     BUCKET_ROWS,
     bucket_of,
@@ -114,17 +115,21 @@ def skip_existing(rows, target, width=BUCKET_ROWS):
     """Archived rows that the target does not hold yet, as multisets.
 
     Of equal messages, as many as the target already holds are left out, lowest
-    offsets first. Copies are counted before any row moves, and a group of copies
-    is ranked bucket by bucket, so one much-copied message is spread out.
+    offsets first. Only fingerprints and places are shuffled to find them, and only those of
+    messages the target holds; a group of copies is ranked bucket by bucket, so one
+    much-copied message is spread out. The rows themselves meet the places to skip in an
+    anti-join, which is a broadcast where these are measured to be few.
     """
     keys = ["target_topic", "partition", "_print"]
+    place = ["target_topic", "topic", "partition", "offset"]
     held = (
         target.withColumn("_print", fingerprint())
         .groupBy(F.col("topic").alias("target_topic"), "partition", "_print")
         .agg(F.count(F.lit(1)).alias("_held"))
     )
-    tagged = rows.withColumn("_print", fingerprint()).withColumn(
-        "_range", bucket_of("offset", width)
+    tagged = (
+        rows.select(*place, fingerprint().alias("_print"), bucket_of("offset", width).alias("_range"))
+        .join(held.select(*keys), keys, "left_semi")
     )
     group = [*keys, "topic", "_range"]
     before = (
@@ -137,17 +142,15 @@ def skip_existing(rows, target, width=BUCKET_ROWS):
         tagged.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(held, keys, "left")
-        .select(*group, (F.coalesce("_held", F.lit(0)) - F.col("_before")).alias("_skip"))
+        .join(held, keys)
+        .select(*group, (F.col("_held") - F.col("_before")).alias("_skip"))
     )
     ranked = tagged.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*group).orderBy("offset"))
     )
-    return (
-        ranked.join(left, group)
-        .where(F.col("_rank") > F.col("_skip"))
-        .select(*rows.columns)
-    )
+    skipped = stored(ranked.join(left, group).where(F.col("_rank") <= F.col("_skip")).select(*place),
+                     "skipped")
+    return join_small(rows, skipped, place, spread="offset", how="left_anti").select(*rows.columns)
 
 
 def missing_backups(requests, backups):

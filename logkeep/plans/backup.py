@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
-from logkeep.session import size_shuffles, stored
+from logkeep.session import input_bytes, sized_shuffles, stored
 from logkeep.sinks import archive as sink
 from logkeep.sinks import catalog
 from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
@@ -32,40 +32,48 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
     writer moves them only when segmenting did not.
     """
     spark = log.sparkSession
-    catalog.record(spark, job.root, job.backup_id, "backup", "Running", backup_id=job.backup_id)
+    catalog.begin(spark, job.root, job.backup_id, "backup", backup_id=job.backup_id)
     try:
         totals = _write(spark, log, job, topic_facts, timestamp)
     except Exception as error:
         catalog.record(spark, job.root, job.backup_id, "backup", "Failed",
-                       backup_id=job.backup_id, error=str(error)[:500])
+                       backup_id=job.backup_id, error=str(error))
         raise
     catalog.record(spark, job.root, job.backup_id, "backup", "Completed", backup_id=job.backup_id)
     return totals
 
 
 def _write(spark, log, job, topic_facts, timestamp):
-    if job.land:
+    # Segmenting scans a log more than once: a source that is no file may grow meanwhile.
+    if job.land or input_bytes(log) is None:
         log = stored(topics.select_for_backup(log, job.selectors), "landed")
-    size_shuffles(log)
-    rows = segmented(log, job)
-    if job.layout == "objects":
-        # The objects are written by the action that stores their manifest.
-        objects = write_objects(rows, job.root, job.backup_id, job.compression)
-        sink.store_manifest(objects, job.root, job.backup_id)
-    else:
-        sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
-        sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)
+    with sized_shuffles(log):
+        rows = segmented(log, job)
+        if job.layout == "objects":
+            # The objects are written by the action that stores their manifest.
+            objects = write_objects(rows, job.root, job.backup_id, job.compression)
+            sink.store_manifest(objects, job.root, job.backup_id)
+        else:
+            sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
+            sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)
+    return describe(spark, job, topic_facts, timestamp)
+
+
+def describe(spark, job, topic_facts=None, timestamp=None):
+    """Topics, segment pages and catalog entry of a backup whose manifest is stored."""
     totals = topic_manifest(
         read_segments(spark, job.root).where(F.col("backup_id") == job.backup_id)
     )
     sink.write_topics(with_facts(totals, topic_facts), job.root, job.backup_id)
+    sink.write_pages(spark, job.root, job.backup_id)
     if job.layout == "objects":
         described = read_topics(spark, job.root).where(F.col("backup_id") == job.backup_id)
         write_texts(topic_metadata_objects(described, job.backup_id), job.root).count()
     moment = timestamp or dt.datetime.now(dt.timezone.utc)
     config = {"batch_size": job.batch_size, "segmentation": job.segmentation,
               "workers": job.workers, "seed": job.seed, **job.config}
-    sink.write_backup_entry(spark, job.root, job.backup_id, moment, job.compression, config)
+    names = [r.topic for r in totals.select("topic").orderBy("topic").collect()]
+    sink.write_backup_entry(spark, job.root, job.backup_id, moment, job.compression, config, names)
     return totals
 
 
@@ -73,11 +81,13 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
     """Catalog entries for segment objects that another tool wrote.
 
     Counts and offsets come from one scan of the objects, sizes from their
-    listing; unreadable objects get no entry.
+    listing; unreadable objects get no entry. They are the result (stored rows), and their
+    number is recorded with the job, whose phase is then Failed.
     """
     folder = f"{root}/backups/{backup_id}/topics"
     place = ["topic", "partition", "segment"]
-    counts = segmentfiles.messages(segmentfiles.scan(spark, folder)).groupBy(*place).agg(
+    scanned = segmentfiles.scan(spark, folder)
+    counts = segmentfiles.messages(scanned).groupBy(*place).agg(
         F.min("offset").alias("start_offset"),
         F.max("offset").alias("end_offset"),
         F.count(F.lit(1)).alias("message_count"),
@@ -92,8 +102,17 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
     )
     compressed = bool(manifest.agg(F.max("compressed")).first()[0])
     sink.store_manifest(manifest.drop("compressed"), root, backup_id)
-    sink.write_topics(with_facts(topic_manifest(manifest), topic_facts), root, backup_id)
-    sink.write_backup_entry(spark, root, backup_id, timestamp, compressed, {"layout": "objects"})
+    totals = topic_manifest(manifest)
+    sink.write_topics(with_facts(totals, topic_facts), root, backup_id)
+    sink.write_pages(spark, root, backup_id)
+    names = [r.topic for r in totals.select("topic").orderBy("topic").collect()]
+    sink.write_backup_entry(spark, root, backup_id, timestamp, compressed, {"layout": "objects"}, names)
+    left_out = stored(segmentfiles.quarantine(scanned), "left-out")
+    bad = left_out.count()
+    about = {"error": f"{bad} unreadable segments left out"} if bad else {}
+    catalog.record(spark, root, backup_id, "backup", "Failed" if bad else "Completed",
+                   backup_id=backup_id, **about)
+    return left_out
 
 
 def with_facts(totals, topic_facts):

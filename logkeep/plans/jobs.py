@@ -53,7 +53,8 @@ class RestoreJob:
     partition_filter: dict = field(default_factory=dict)
     workers: int = 1
     create_topics: bool = True
-    overwrite_existing: bool = True
+    # By default messages that the target holds already are not written again.
+    overwrite_existing: bool = False
     layout: str = "archive"
 
     def __post_init__(self):

@@ -1,22 +1,26 @@
 """Restore from the archive."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from logkeep.functions.messages import row_hash
 from logkeep.operators import replay, status, topics
-from logkeep.operators.joins import local_if_small
+from logkeep.operators.catalog import live_backups
+from logkeep.session import scratch_path, sized_shuffles, stored
 from logkeep.sinks import catalog
+from logkeep.sinks.archive import checked_id
 from logkeep.sources import kafka, segmentfiles
 from logkeep.sources.archive import read_archive, read_backups, read_segments, read_topics
 from logkeep.sources.filelog import read_log
-from logkeep.sources.storage import list_segments
 
 
 def chosen_backup(spark, job):
     """Id of the backup to restore: the named one, or the newest in time.
 
-    One catalog row reaches the driver. None if there is no such backup.
+    Deleted backups are not restored. One catalog row reaches the driver. None if there is
+    no such backup.
     """
-    backups = read_backups(spark, job.root)
+    backups = live_backups(read_backups(spark, job.root), catalog.read_events(spark, job.root))
     if job.backup_id:
         backups = backups.where(F.col("backup_id") == job.backup_id)
     found = replay.latest_backup(backups, job.backup_timestamp if not job.backup_id else None)
@@ -24,103 +28,143 @@ def chosen_backup(spark, job):
     return row["backup_id"] if row and row["backup_id"] else None
 
 
-def restored_rows(spark, job, target=None, deduplicate=False):
-    """Rows to replay, with ``target_topic``.
+def _chosen(rows, job):
+    rows = replay.filter_partitions(topics.select_for_restore(rows, job.selectors), job.partition_filter)
+    return replay.rename_topics(rows, job.mapping)
 
-    Topic and partition predicates prune folders. ``target`` is the log
-    of the target cluster, needed when existing messages are to be kept.
+
+def chosen_rows(spark, job, backup_id):
+    """Archived rows that the job's selectors and partitions choose, with ``target_topic``.
+
+    Topic and partition predicates prune folders.
+    """
+    if job.layout == "objects":
+        rows = segmentfiles.messages(_scan_objects(spark, job, backup_id))
+    else:
+        rows = read_archive(spark, job.root, backup_id, deduplicate=True)
+    return _chosen(rows, job)
+
+
+def restored_rows(spark, job, target=None):
+    """Rows to replay. ``target`` is the log of the target, whose messages are not repeated
+    unless the job overwrites; without it the target is empty.
     """
     backup_id = chosen_backup(spark, job)
     if backup_id is None:
         raise LookupError(f"no backup for restore {job.restore_id}")
-    if job.layout == "objects":
-        rows = _rows_of_objects(spark, job, backup_id)
-    else:
-        rows = read_archive(spark, job.root, backup_id)
-    rows = topics.select_for_restore(rows, job.selectors)
-    rows = replay.filter_partitions(rows, job.partition_filter)
+    rows = chosen_rows(spark, job, backup_id)
     if job.backup_timestamp is not None:
         rows = replay.up_to(rows, job.backup_timestamp)
-    if deduplicate:
-        rows = rows.dropDuplicates(["topic", "partition", "offset"])
-    rows = replay.rename_topics(rows, job.mapping)
-    if not job.overwrite_existing:
-        if target is None:
-            raise ValueError("the target log is needed to skip existing messages")
+    if target is not None and not job.overwrite_existing:
         rows = replay.skip_existing(rows, target)
     return rows
 
 
-def _rows_of_objects(spark, job, backup_id):
-    """Rows of segment objects; only folders of chosen topics are read.
+def unreadable_objects(spark, job, backup_id):
+    return segmentfiles.quarantine(_scan_objects(spark, job, backup_id))
+
 
-    Unreadable objects are left out here; ``unreadable_objects`` lists them.
+def _scan_objects(spark, job, backup_id):
+    """Objects of the chosen topics, named by the manifest; nothing is listed.
+
+    Topics are folders, so only their names reach the driver.
     """
-    return segmentfiles.messages(_scan_objects(spark, job, backup_id))
+    known = read_topics(spark, job.root).where(F.col("backup_id") == backup_id)
+    chosen = topics.select_for_restore(known.withColumnRenamed("name", "topic"), job.selectors)
+    names = [r.topic for r in chosen.select("topic").distinct().collect()]
+    return segmentfiles.scan(spark, segmentfiles.topic_folders(job.root, backup_id, names))
 
 
-def unreadable_objects(spark, job, backup_id):
-    return segmentfiles.quarantine(_scan_objects(spark, job, backup_id))
+def restore_folder(path, restore_id):
+    return f"{path}/restore-{checked_id(restore_id)}"
 
 
-def _scan_objects(spark, job, backup_id):
-    root = f"{job.root}/backups/{backup_id}/topics"
-    if not job.selectors:
-        return segmentfiles.scan(spark, root)
-    names = list_segments(spark, root).select("topic").distinct()
-    chosen = topics.select_for_restore(names, job.selectors)
-    found = local_if_small(chosen, max_rows=10_000)
-    if found is None:  # more folders than are worth naming one by one
-        return segmentfiles.scan(spark, root)
-    folders = segmentfiles.topic_folders(job.root, backup_id, [r.topic for r in found.collect()])
-    return segmentfiles.scan(spark, folders or root)
-
-
-def restore_to_files(rows, path, total_order=False):
-    """Replay into files, each in replay order; on request also one after another."""
+def restore_to_files(rows, path, total_order=False, restore_id="files"):
+    """Replay into files, each in replay order; on request also one after another.
+
+    Every restore has a folder of its own below the target's path. A repeated restore
+    replaces that folder; rows of the target and of other restores stay.
+    """
     ordered = replay.in_total_order(rows) if total_order else replay.in_replay_order(rows)
     ordered.select(
         F.col("target_topic").alias("topic"), "partition", "offset", "key", "value",
         "timestamp", "headers",
-    ).write.mode("overwrite").parquet(path)
+    ).write.mode("overwrite").parquet(restore_folder(path, restore_id))
 
 
-def progress(spark, job, backup_id, path):
+def _check(rows, topic):
+    """Messages and order-free hash of each partition of ``topic``."""
+    return rows.groupBy(F.col(topic).alias("topic"), "partition").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.bit_xor(row_hash(F.col(topic))).alias("hash"),
+    )
+
+
+def progress(spark, job, backup_id, planned, path):
     """Planned and restored partitions and messages of each target topic.
 
-    A partition is done when it holds the messages its manifest names; a
-    point-in-time cut may leave any number.
+    ``planned`` are the rows to restore. A partition is done when the backup still holds the
+    messages its manifest names, and the restored folder as many as planned, with the same
+    hash of all their fields.
     """
-    planned = read_segments(spark, job.root).where(F.col("backup_id") == backup_id)
-    planned = topics.select_for_restore(planned, job.selectors)
-    planned = replay.filter_partitions(planned, job.partition_filter)
-    planned = (
-        replay.rename_topics(planned, job.mapping)
-        .groupBy(F.col("target_topic").alias("topic"), "partition")
-        .agg(F.sum("message_count").alias("_expected"))
-    )
-    found = read_log(spark, path).groupBy("topic", "partition").agg(
-        F.count(F.lit(1)).alias("_found")
-    )
-    any_count = job.backup_timestamp is not None or not job.overwrite_existing
-    messages = F.coalesce("_found", F.lit(0))
-    complete = F.lit(True) if any_count else messages == F.col("_expected")
-    facts = planned.join(found, ["topic", "partition"], "left").select(
+    place = ["topic", "partition"]
+    named = read_segments(spark, job.root).where(F.col("backup_id") == backup_id)
+    target = F.col("target_topic").alias("topic")
+    named = _chosen(named, job).groupBy(target, "partition").agg(F.sum("message_count").alias("_named"))
+    held = chosen_rows(spark, job, backup_id).groupBy(target, "partition").agg(
+        F.count(F.lit(1)).alias("_held"))
+    wanted = _check(planned, "target_topic").withColumnsRenamed({"messages": "_expected", "hash": "_hash"})
+    found = _check(read_log(spark, restore_folder(path, job.restore_id)), "topic")
+    none = F.lit(0).cast("long")
+    complete = (F.col("_named") == F.coalesce("_held", none)) & F.col("hash").eqNullSafe(F.col("_hash")) & (
+        F.coalesce("messages", none) == F.coalesce("_expected", none))
+    joined = named.join(held, place, "left").join(wanted, place, "left").join(found, place, "left")
+    facts = joined.select(
         F.lit(job.restore_id).alias("job_id"), "topic", "partition",
-        messages.alias("messages"),
+        F.coalesce("messages", F.lit(0)).alias("messages"),
         F.when(complete, "ok").otherwise("failed").alias("status"),
     )
     return status.topic_progress(facts.select("job_id", "topic", "partition"), facts)
 
 
+def verify_archive(spark, root, backup_id):
+    """Rows per segment whose stored hash is not that of their fields."""
+    rows = read_archive(spark, root, backup_id)
+    wrong = F.sum((row_hash() != F.col("row_hash")).cast("long")).alias("damaged")
+    return rows.groupBy("topic", "partition", "segment").agg(F.count(F.lit(1)).alias("messages"), wrong)
+
+
+def _held(spark, job, path):
+    """What the target's path holds from others than this restore; None if nothing."""
+    try:
+        files = read_log(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    own = f"/restore-{job.restore_id}/"
+    return files.where(~F.contains(F.input_file_name(), F.lit(own)))
+
+
 def run_restore(spark, job, path, target=None):
-    """Restore into files and record the job's states; gives the progress rows."""
+    """Restore into files and record the job's states; gives the progress rows.
+
+    Messages that ``target``, by default the log at ``path``, holds already are not written
+    again unless the job overwrites. Unreadable segment objects make the job
+    PartiallyCompleted, with their number as its error.
+    """
     about = {"backup_id": job.backup_id, "target_id": path}
-    catalog.record(spark, job.root, job.restore_id, "restore", "Running", **about)
+    catalog.begin(spark, job.root, job.restore_id, "restore", **about)
     try:
         backup_id = chosen_backup(spark, job)
-        restore_to_files(restored_rows(spark, job, target), path)
-        rows = progress(spark, job, backup_id, path)
+        if target is None and not job.overwrite_existing:
+            target = _held(spark, job, path)
+        planned = restored_rows(spark, job, target)
+        with sized_shuffles(planned):
+            if target is not None and not job.overwrite_existing:
+                planned = stored(planned, "restore")  # read once more to check the result
+            restore_to_files(planned, path, restore_id=job.restore_id)
+            rows = stored(progress(spark, job, backup_id, planned, path), "progress")
         done = F.col("partitions_completed")
         counts = rows.agg(
             F.sum("partitions_total").alias("planned"), F.sum(done).alias("done"),
@@ -128,9 +172,12 @@ def run_restore(spark, job, path, target=None):
         )
         phase = status.job_phase(counts.na.fill(0)).first()["phase"]
         phase = "Completed" if phase == "Pending" else phase  # nothing was planned
+        bad = unreadable_objects(spark, job, backup_id).count() if job.layout == "objects" else 0
+        if bad:
+            about["error"] = f"{bad} unreadable segments left out"
+            phase = "PartiallyCompleted" if phase == "Completed" else phase
     except Exception as error:
-        catalog.record(spark, job.root, job.restore_id, "restore", "Failed",
-                       error=str(error)[:500], **about)
+        catalog.record(spark, job.root, job.restore_id, "restore", "Failed", error=str(error), **about)
         raise
     catalog.record(spark, job.root, job.restore_id, "restore", phase, **about)
     return rows
@@ -141,14 +188,31 @@ def restore_to_kafka(rows, cluster, segments_per_wave=10_000):
 
     A Kafka partition takes its messages one after another. Waves bound what one
     task holds of a large partition; the order across waves is the loop's. Where
-    several source topics go to one target, each keeps its own order.
+    several source topics go to one target, each keeps its own order. The rows are stored
+    once, a folder for each wave; only waves that have rows are run.
     """
-    bounds = rows.agg(F.min("segment"), F.max("segment")).first()
-    if bounds[0] is None:
-        return
-    for low in range(bounds[0], bounds[1] + 1, segments_per_wave):
-        in_wave = F.col("segment").between(low, low + segments_per_wave - 1)
-        kafka.write_topics(rows.where(in_wave), cluster)
+    wave = F.expr(f"segment div {int(segments_per_wave)}").alias("wave")
+    path = scratch_path(rows.sparkSession, "waves")
+    rows.select("*", wave).write.partitionBy("wave").parquet(path)
+    laid = rows.sparkSession.read.schema(f"{_ddl(rows)}, wave bigint").parquet(path)
+    for (number,) in laid.select("wave").distinct().orderBy("wave").collect():
+        kafka.write_topics(laid.where(F.col("wave") == number), cluster)
+
+
+def _ddl(rows):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def run_restore_to_kafka(spark, job, cluster, target=None):
+    """Restore into a cluster and record the job's states."""
+    about = {"backup_id": job.backup_id, "target_id": cluster.bootstrap_servers}
+    catalog.begin(spark, job.root, job.restore_id, "restore", **about)
+    try:
+        restore_to_kafka(restored_rows(spark, job, target), cluster)
+    except Exception as error:
+        catalog.record(spark, job.root, job.restore_id, "restore", "Failed", error=str(error), **about)
+        raise
+    catalog.record(spark, job.root, job.restore_id, "restore", "Completed", **about)
 
 
 def topics_needed(spark, job, existing):

@@ -35,6 +35,7 @@ ARCHIVE_SCHEMA = T.StructType(
         T.StructField("size_bytes", T.LongType()),
         T.StructField("row_hash", T.LongType()),
         T.StructField("backup_id", T.StringType()),
+        T.StructField("stream", T.StringType()),
         T.StructField("batch", T.LongType()),
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
@@ -46,12 +47,18 @@ SEGMENTS_SCHEMA = (
     "start_offset bigint, end_offset bigint, message_count bigint, "
     "size_bytes bigint, storage_key string, checksum string"
 )
+# What one micro-batch added to a segment.
+PIECES_SCHEMA = (
+    "backup_id string, stream string, batch bigint, topic string, partition int, segment bigint, "
+    "start_offset bigint, end_offset bigint, message_count bigint, offsets bigint, "
+    "size_bytes bigint, checksum string"
+)
 TOPICS_SCHEMA = (
     "name string, partitions int, replication_factor smallint, config map<string,string>"
 )
 BACKUPS_SCHEMA = (
     "backup_id string, timestamp timestamp, version string, compression boolean, "
-    "config map<string,string>"
+    "config map<string,string>, topics array<string>"
 )
 JOB_EVENTS_SCHEMA = (
     "job_id string, kind string, seq bigint, ts timestamp, phase string, "
@@ -78,6 +85,8 @@ NO_BATCH = "batch size must be at least 1"
 NO_SOURCE_STORAGE = "source storage is required"
 NO_TARGET_CLUSTER = "target cluster is required"
 NO_BACKUP = "either backup ID or timestamp is required"
+ALREADY_RUNNING = "job is already running"
+NOT_RUNNING = "job is not running"
 
 # JSON form of one message inside a segment object. Fixed field names.
 MESSAGE_JSON_SCHEMA = T.StructType(

@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -47,21 +48,30 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def size_shuffles(df, target_bytes=128 << 20, limit=200_000):
-    """Raise ``spark.sql.shuffle.partitions`` to fit a shuffle of all rows of ``df``.
-
-    The size is that of the files below ``df``, which are compressed, hence the
-    small target. The setting is never lowered; adaptive execution merges what is
-    too fine.
-    """
+def input_bytes(df):
+    """Bytes of the files below ``df``; None if a source has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(s for s in sizes if s < 1 << 60)
-    wanted = min(limit, -(-known // target_bytes))
-    conf = df.sparkSession.conf
-    if wanted > int(conf.get("spark.sql.shuffle.partitions")):
-        conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return int(conf.get("spark.sql.shuffle.partitions"))
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
+
+
+@contextlib.contextmanager
+def sized_shuffles(df, target_bytes=128 << 20):
+    """Shuffles of all rows of ``df`` have enough partitions inside; gives their number.
+
+    The size is that of the files, which are compressed, hence the small target. A source
+    of unknown size keeps the session's setting, which is never lowered: land it first if it
+    is large. The setting is put back afterwards, so what is planned inside must also run
+    inside.
+    """
+    size, conf = input_bytes(df) or 0, df.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    wanted = max(int(before), -(-size // target_bytes))
+    conf.set("spark.sql.shuffle.partitions", str(wanted))
+    try:
+        yield wanted
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def stored(df, name="stored"):

@@ -5,12 +5,16 @@ import re
 from pyspark.sql import functions as F
 
 from logkeep.functions.messages import message_size, row_hash
-from logkeep.operators.manifests import full_manifest
+from logkeep.functions.paths import storage_key
+from logkeep.operators.manifests import full_manifest, nested_manifest
 from logkeep.operators.ordering import BUCKET_ROWS, bucket_of
 from logkeep.schemas import ARCHIVE_SCHEMA
-from logkeep.sources.archive import backup_path, read_archive
+from logkeep.sources.archive import (
+    backup_path, overlaps, read_archive, read_pieces, read_segments)
 
-FOLDERS = ("backup_id", "batch")
+FOLDERS = ("backup_id", "stream", "batch")
+#: Stream name of backups that are not streamed.
+ONCE = "once"
 
 
 def checked_id(backup_id):
@@ -32,9 +36,10 @@ def clustered(rows, width=BUCKET_ROWS):
     )
 
 
-def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd"):
-    """Write one batch of a backup; a repeated batch replaces itself."""
-    folder = f"{backup_path(root, checked_id(backup_id))}/batch={int(batch)}"
+def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd", stream=ONCE):
+    """Write one batch of a backup; a repeated batch of the same stream replaces itself."""
+    home = f"{backup_path(root, checked_id(backup_id))}/stream={checked_id(stream)}"
+    folder = f"{home}/batch={int(batch)}"
     stored = segmented.withColumn("size_bytes", message_size()).withColumn(
         "row_hash", row_hash()
     )
@@ -52,10 +57,47 @@ def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd"):
     )
 
 
-def write_manifest(spark, root, backup_id, prefix="", compressed=True, deduplicate=False):
+def write_manifest(spark, root, backup_id, prefix="", compressed=True):
     """Segment manifest of a backup, from stored sizes and hashes only."""
-    rows = read_archive(spark, root, backup_id, deduplicate)
-    store_manifest(full_manifest(rows, prefix, compressed), root, backup_id)
+    store_manifest(full_manifest(read_archive(spark, root, backup_id), prefix, compressed), root, backup_id)
+
+
+def write_pieces(spark, root, backup_id, stream, batch):
+    """What one micro-batch added, from its stored sizes and hashes only."""
+    mine = (F.col("stream") == stream) & (F.col("batch") == batch)
+    pieces = read_archive(spark, root, backup_id).where(mine).groupBy("topic", "partition", "segment").agg(
+        F.min("offset").alias("start_offset"),
+        F.max("offset").alias("end_offset"),
+        F.count(F.lit(1)).alias("message_count"),
+        F.count_distinct("offset").alias("offsets"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.hex(F.bit_xor("row_hash")).alias("checksum"),
+    )
+    path = f"{root}/catalog/pieces/backup_id={backup_id}/stream={stream}/batch={int(batch)}"
+    pieces.write.mode("overwrite").parquet(path)
+
+
+def write_pieced_manifest(spark, root, backup_id, prefix="", compressed=True):
+    """Segment manifest of a streamed backup.
+
+    Pieces of a segment add up; only segments with overlapping pieces are counted again
+    from the rows.
+    """
+    pieces, place = read_pieces(spark, root, backup_id), ["topic", "partition", "segment"]
+    twice = overlaps(pieces)
+    whole = pieces.join(twice, place, "left_anti").groupBy("backup_id", *place).agg(
+        F.min("start_offset").alias("start_offset"),
+        F.max("end_offset").alias("end_offset"),
+        F.sum("message_count").alias("message_count"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.hex(F.bit_xor(F.conv("checksum", 16, -10).cast("bigint"))).alias("checksum"),
+    ).withColumn("storage_key", storage_key(
+        F.col("backup_id"), *map(F.col, place), prefix, compressed))
+    if twice.take(1):
+        rows = read_archive(spark, root, backup_id, deduplicate=True)
+        again = full_manifest(rows.join(twice, place, "left_semi"), prefix, compressed)
+        whole = whole.unionByName(again)
+    store_manifest(whole, root, backup_id)
 
 
 def store_manifest(manifest, root, backup_id):
@@ -68,8 +110,15 @@ def write_topics(topics, root, backup_id):
     topics.write.mode("overwrite").parquet(path)
 
 
-def write_backup_entry(spark, root, backup_id, timestamp, compression, config, version="1"):
-    """One row of the backup catalog."""
+def write_pages(spark, root, backup_id):
+    """Nested segment lists of a backup, in pages of bounded length."""
+    own = read_segments(spark, root).where(F.col("backup_id") == backup_id)
+    path = f"{root}/catalog/pages/backup_id={checked_id(backup_id)}"
+    nested_manifest(own).drop("backup_id").write.mode("overwrite").parquet(path)
+
+
+def write_backup_entry(spark, root, backup_id, timestamp, compression, config, topics=(), version="1"):
+    """One row of the backup catalog, with the names of its topics."""
     path = f"{root}/catalog/backups/backup_id={checked_id(backup_id)}"
     pairs = [F.lit(str(x)) for pair in config.items() for x in pair]
     settings = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
@@ -78,4 +127,5 @@ def write_backup_entry(spark, root, backup_id, timestamp, compression, config, v
         F.lit(version).alias("version"),
         F.lit(compression).alias("compression"),
         settings.alias("config"),
+        F.array(*map(F.lit, topics)).cast("array<string>").alias("topics"),
     ).coalesce(1).write.mode("overwrite").parquet(path)

@@ -2,9 +2,12 @@
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from logkeep.schemas import BACKUP_PHASES, JOB_EVENTS_SCHEMA, RESTORE_PHASES
+from logkeep.operators.catalog import state_of
+from logkeep.schemas import (
+    ALREADY_RUNNING, BACKUP_PHASES, JOB_EVENTS_SCHEMA, NOT_RUNNING, RESTORE_PHASES)
 
 
 def jobs_path(root):
@@ -32,4 +35,40 @@ def record(spark, root, job_id, kind, phase, deleted=False, **fields):
 
 
 def read_events(spark, root):
-    return spark.read.schema(JOB_EVENTS_SCHEMA).parquet(jobs_path(root))
+    """All job events; none if nothing was recorded yet."""
+    try:
+        return spark.read.schema(JOB_EVENTS_SCHEMA).parquet(jobs_path(root))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], JOB_EVENTS_SCHEMA)
+
+
+def phase_of(spark, root, job_id):
+    """Phase of a job, None if it is unknown or deleted; one row reaches the driver."""
+    row = state_of(read_events(spark, root), job_id).first()
+    return row["phase"] if row else None
+
+
+def begin(spark, root, job_id, kind, **fields):
+    """Record that a job runs; refused while it runs already."""
+    if phase_of(spark, root, job_id) == "Running":
+        raise ValueError(ALREADY_RUNNING)
+    record(spark, root, job_id, kind, "Running", **fields)
+
+
+def stop(spark, root, backup_id):
+    """Record that a running backup was stopped; what it wrote stays."""
+    if phase_of(spark, root, backup_id) != "Running":
+        raise ValueError(NOT_RUNNING)
+    record(spark, root, backup_id, "backup", "Suspended", backup_id=backup_id)
+
+
+def delete(spark, root, job_id, kind="backup"):
+    """Mark a job as deleted; it is listed and restored no more, its segments stay."""
+    phase = phase_of(spark, root, job_id)
+    if phase is None:
+        raise LookupError(f"no job {job_id}")
+    if phase == "Running":
+        raise ValueError(ALREADY_RUNNING)
+    record(spark, root, job_id, kind, phase, deleted=True, backup_id=job_id if kind == "backup" else None)

@@ -1,6 +1,12 @@
 """Reading the Parquet archive and its manifests."""
 
-from logkeep.schemas import ARCHIVE_SCHEMA, BACKUPS_SCHEMA, SEGMENTS_SCHEMA, TOPICS_SCHEMA
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from logkeep.operators.joins import join_small
+from logkeep.schemas import (
+    ARCHIVE_SCHEMA, BACKUPS_SCHEMA, PIECES_SCHEMA, SEGMENTS_SCHEMA, TOPICS_SCHEMA)
 
 
 def data_path(root):
@@ -12,21 +18,60 @@ def backup_path(root, backup_id):
 
 
 def read_archive(spark, root, backup_id=None, deduplicate=False):
-    """Archived rows; batch, topic and partition are folders and prune.
-
-    With a ``backup_id`` only that backup's folder is listed.
+    """Archived rows; stream, batch, topic and partition are folders and prune.
 
-    ``deduplicate`` drops copies left by replayed stream batches. Copies share
-    topic, partition and offset, so they spread over as many tasks as rows do.
+    With a ``backup_id`` only that backup's folder is listed. ``deduplicate`` drops copies
+    that a stream left when it read a range again (one backup only). Only segments whose
+    pieces overlap are looked at, and of these offsets alone decide; without overlap nothing
+    is shuffled.
     """
     rows = (
         spark.read.schema(ARCHIVE_SCHEMA)
         .option("basePath", data_path(root))
         .parquet(data_path(root) if backup_id is None else backup_path(root, backup_id))
     )
-    if deduplicate:
-        rows = rows.dropDuplicates(["backup_id", "topic", "partition", "offset"])
-    return rows
+    if not deduplicate:
+        return rows
+    if backup_id is None:
+        raise ValueError("name the backup whose copies are to be dropped")
+    twice = overlaps(read_pieces(spark, root, backup_id))
+    if not twice.take(1):
+        return rows
+    return _once(rows, twice)
+
+
+def _once(rows, twice):
+    place = ["topic", "partition", "segment"]
+    tagged = join_small(rows, twice.withColumn("_twice", F.lit(True)), place, "offset", how="left")
+    alone, copied = tagged.where("_twice is null"), tagged.where("_twice")
+    first = copied.groupBy(*place, "offset").agg(F.min(F.struct("stream", "batch")).alias("_first"))
+    kept = copied.join(first.select(*place, "offset", "_first.*"), [*place, "offset", "stream", "batch"])
+    # a range may even be in one batch twice: such copies are equal
+    kept = kept.select(*alone.columns).dropDuplicates([*place, "offset"])
+    return alone.unionByName(kept).drop("_twice")
+
+
+def read_pieces(spark, root, backup_id):
+    """What each micro-batch added to each segment; empty for backups that were not streamed."""
+    path = f"{root}/catalog/pieces"
+    try:
+        pieces = spark.read.schema(PIECES_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PIECES_SCHEMA)
+    return pieces.where(F.col("backup_id") == backup_id)
+
+
+def overlaps(pieces):
+    """Segments with offsets that two pieces share, or that one piece holds twice."""
+    place = ["topic", "partition", "segment"]
+    earlier = Window.partitionBy(*place).orderBy("start_offset", "end_offset").rowsBetween(
+        Window.unboundedPreceding, -1)
+    reached = F.max("end_offset").over(earlier)
+    found = pieces.withColumn("_reached", reached).where(
+        (F.col("_reached") >= F.col("start_offset")) | (F.col("offsets") < F.col("message_count")))
+    return found.select(*place).distinct()
 
 
 def read_segments(spark, root):

@@ -4,13 +4,14 @@ from logkeep.schemas import LOG_COLUMNS, LOG_SCHEMA
 
 
 def read_log(spark, path):
-    """Bounded scan."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path).select(*LOG_COLUMNS)
+    """Bounded scan of all files at or below ``path``."""
+    rows = spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
+    return rows.parquet(path).select(*LOG_COLUMNS)
 
 
 def stream_log(spark, path, max_files_per_trigger=None):
     """Continuous scan; new files are new messages."""
-    reader = spark.readStream.schema(LOG_SCHEMA)
+    reader = spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path).select(*LOG_COLUMNS)

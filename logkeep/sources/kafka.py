@@ -4,11 +4,13 @@ The connector jar is supplied by the cluster (``spark-sql-kafka-0-10``).
 """
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from logkeep.schemas import LOG_COLUMNS
+from logkeep.functions.patterns import glob_regex, java_regex
+from logkeep.schemas import LOG_COLUMNS, NO_SELECTOR
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,27 @@ def topic_options(topics=None, pattern=None, assign=None):
     return {"assign": json.dumps(assign)}
 
 
+def selector_options(selectors):
+    """Subscription of a selector list, so that brokers send chosen topics only.
+
+    Exact names and globs without wildcard are subscribed by name; any other selector turns
+    the list into one pattern over whole names.
+    """
+    if not selectors:
+        raise ValueError(NO_SELECTOR)
+    if all(s.type == "exact" or s.type == "glob" and not re.search(r"[*?\[]", s.pattern) for s in selectors):
+        return topic_options(topics=[s.pattern for s in selectors])
+    return topic_options(pattern="|".join(f"(?:{_whole_name(s)})" for s in selectors))
+
+
+def _whole_name(selector):
+    if selector.type == "exact":
+        return re.sub(r"([^0-9A-Za-z_])", r"\\\1", selector.pattern)
+    if selector.type == "glob":
+        return glob_regex(selector.pattern)
+    return f"(?s:.*)(?:{java_regex(selector.pattern)})(?s:.*)"
+
+
 def offsets_json(offsets):
     """Starting or ending offsets from ``{topic: {partition: offset}}``."""
     return json.dumps({t: {str(p): o for p, o in parts.items()} for t, parts in offsets.items()})

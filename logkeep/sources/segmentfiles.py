@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logkeep.functions.paths import parse_key
+from logkeep.operators.joins import join_small
 from logkeep.schemas import MESSAGE_JSON_SCHEMA
 
 _READ_SCHEMA = T.StructType(
@@ -11,12 +12,21 @@ _READ_SCHEMA = T.StructType(
 )
 
 
+SCANNED = (
+    "path string, backup_id string, topic string, partition int, segment bigint, compressed boolean, "
+    "broken boolean, offset bigint, key binary, value binary, timestamp timestamp, "
+    "headers array<struct<key:string,value:binary>>"
+)
+
+
 def scan(spark, paths):
     """All objects below ``paths`` with broken ones kept as marked rows.
 
     ``paths`` may be one root or topic folders; reading only the wanted topic
-    folders keeps the listing small.
+    folders keeps the listing small. No folders give no rows.
     """
+    if not paths:
+        return spark.createDataFrame([], SCANNED)
     rows = (
         spark.read.schema(_READ_SCHEMA)
         .option("multiLine", "true")
@@ -26,13 +36,16 @@ def scan(spark, paths):
         .option("pathGlobFilter", "segment-*.json*")
         .json(paths)
     )
+    # The reader checks only the fields a query needs. This needs all of them and is never true.
+    fields = [F.col(f.name).isNull() for f in MESSAGE_JSON_SCHEMA.fields]
+    all_read = F.size(F.array(*fields)) < 0
     headers = F.col("Headers").cast("array<struct<key:string,value:binary>>")
     return (
         rows.select(
             F.col("_metadata.file_path").alias("path"),
             parse_key(F.col("_metadata.file_path")).alias("_key"),
             # The reader wants a data column next to its marker of broken objects.
-            (F.col("_broken").isNotNull() & F.col("Offset").isNull()).alias("broken"),
+            (F.col("_broken").isNotNull() | F.col("Offset").isNull() | all_read).alias("broken"),
             F.col("Offset").alias("offset"),
             F.col("Key").alias("key"),
             F.col("Value").alias("value"),
@@ -44,9 +57,14 @@ def scan(spark, paths):
     )
 
 
+def broken_paths(scanned):
+    return scanned.where("broken").select("path").distinct()
+
+
 def messages(scanned):
-    """Good rows."""
-    return scanned.where(~F.col("broken")).drop("broken", "path", "compressed")
+    """Rows of good objects; one damaged message condemns its whole object."""
+    good = join_small(scanned, broken_paths(scanned), ["path"], spread="offset", how="left_anti")
+    return good.drop("broken", "path", "compressed")
 
 
 def quarantine(scanned):
@@ -54,7 +72,7 @@ def quarantine(scanned):
     return scanned.where("broken").select(
         "path", "backup_id", "topic", "partition", "segment",
         F.lit("unreadable segment").alias("error"),
-    )
+    ).distinct()
 
 
 def topic_folders(root, backup_id, topics):

@@ -2,21 +2,36 @@
 
 from logkeep.operators.segments import by_absolute_offset
 from logkeep.operators.topics import select_for_backup
+from logkeep.plans.backup import describe
+from logkeep.session import sized_shuffles
 from logkeep.sinks import archive as sink
+from logkeep.sinks import catalog
+
+#: Local property in which Spark keeps the id of a running query's checkpoint.
+QUERY_ID = "sql.streaming.queryId"
 
 
 def start_backup(stream, job, checkpoint, interval_seconds=None):
     """Stream a log into the archive.
 
-    Without an interval all available rows are taken and the query ends (a
-    scheduled run); the checkpoint makes the next run go on where this one ended.
-    Segment numbers depend on the offset alone and each micro-batch replaces its
-    own folder, so a replayed batch leaves the same archive.
+    Without an interval all available rows are taken and the query ends (a scheduled run);
+    the checkpoint makes the next run go on where this one ended. Segments are ranges of
+    absolute offsets, so they do not depend on where batches end. A micro-batch has a folder
+    of its own, named by its checkpoint and number: a replayed batch replaces itself, and a
+    new checkpoint adds to what older ones wrote. Bound the rows of a trigger at the source
+    (files or offsets per trigger): a batch is shuffled once, sized by its files.
     """
+    if job.layout != "archive" or job.segmentation != "offset":
+        raise ValueError("streams write the archive layout, segmented by offset")
+    spark = stream.sparkSession
+    catalog.begin(spark, job.root, job.backup_id, "backup", backup_id=job.backup_id)
     rows = by_absolute_offset(select_for_backup(stream, job.selectors), job.batch_size)
 
     def write(batch, batch_id):
-        sink.write_rows(batch, job.root, job.backup_id, batch=batch_id)
+        session = batch.sparkSession
+        name = session.sparkContext.getLocalProperty(QUERY_ID)
+        sink.write_rows(batch, job.root, job.backup_id, batch=batch_id, stream=name)
+        sink.write_pieces(session, job.root, job.backup_id, name, batch_id)
 
     writer = (
         rows.writeStream.foreachBatch(write)
@@ -28,8 +43,26 @@ def start_backup(stream, job, checkpoint, interval_seconds=None):
     return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
 
 
-def finish_run(spark, job):
-    """Manifest over all batches written so far."""
-    sink.write_manifest(
-        spark, job.root, job.backup_id, compressed=job.compression, deduplicate=True
-    )
+def finish_run(spark, job, topic_facts=None, timestamp=None):
+    """Manifest, topics and catalog entry over all batches written so far.
+
+    The pieces that batches recorded are added up; rows are read again only where they
+    overlap.
+    """
+    sink.write_pieced_manifest(spark, job.root, job.backup_id, compressed=job.compression)
+    totals = describe(spark, job, topic_facts, timestamp)
+    catalog.record(spark, job.root, job.backup_id, "backup", "Completed", backup_id=job.backup_id)
+    return totals
+
+
+def run_scheduled(stream, job, checkpoint, topic_facts=None, timestamp=None):
+    """One scheduled run: all that is new, then manifest and catalog."""
+    spark = stream.sparkSession
+    try:
+        start_backup(stream, job, checkpoint).awaitTermination()
+        return finish_run(spark, job, topic_facts, timestamp)
+    except Exception as error:
+        if str(error) != catalog.ALREADY_RUNNING:
+            catalog.record(spark, job.root, job.backup_id, "backup", "Failed",
+                           backup_id=job.backup_id, error=str(error))
+        raise

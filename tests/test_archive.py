@@ -139,7 +139,7 @@ def test_total_order(spark, job):
     path = scratch_path(spark, "out")
     rows = restore.restored_rows(spark, RestoreJob("r1", job.root, "b1"))
     restore.restore_to_files(rows, path, total_order=True)
-    parts = sorted(glob.glob(f"{path}/part-*.parquet"))
+    parts = sorted(glob.glob(f"{path}/*/part-*.parquet"))
     seen = [(r.topic, r.partition, r.offset) for p in parts for r in read_log(spark, p).collect()]
     assert seen == sorted(seen) and len(seen) == 60
 

@@ -10,7 +10,7 @@ from logkeep.operators.ordering import (
     number_within,
     previous_within,
 )
-from logkeep.session import size_shuffles
+from logkeep.session import sized_shuffles
 
 
 def skewed(spark):
@@ -83,12 +83,11 @@ def test_join_small_beyond_its_bound(spark):
 def test_shuffles_grow_with_their_input(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_shuffles(df) == int(before)
-        assert size_shuffles(df, target_bytes=1000) > 50
-        assert size_shuffles(df, target_bytes=1 << 40) > 50  # never lowered
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with sized_shuffles(df, target_bytes=1 << 40) as partitions:
+        assert partitions == int(before)  # never lowered
+    with sized_shuffles(df, target_bytes=1000) as partitions:
+        assert partitions > 50 and spark.conf.get("spark.sql.shuffle.partitions") == str(partitions)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
 def test_no_unchecked_broadcast_of_the_salted_side(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import make_log, random_log, same_rows
@@ -8,20 +9,22 @@ from logkeep.schemas import LOG_COLUMNS
 from logkeep.session import scratch_path, stored
 from logkeep.sources.archive import read_archive, read_segments
 from logkeep.sources.filelog import stream_log
-from logkeep.streaming.backup import finish_run, start_backup
+from logkeep.sinks import catalog
+from logkeep.streaming.backup import finish_run, run_scheduled, start_backup
 from logkeep.streaming.totals import latest_totals, start_totals
 
 SIZES = {("a.x", 0): 200, ("a.y", 1): 90, ("b", 0): 30}
 
 
 def run(spark, job, source, checkpoint):
-    start_backup(stream_log(spark, source, 1), job, checkpoint).awaitTermination()
+    run_scheduled(stream_log(spark, source, 1), job, checkpoint)
 
 
 def test_stream_equals_batch_over_several_runs(spark):
     log = make_log(spark, random_log(3, SIZES)).cache()
     source, checkpoint = scratch_path(spark, "source"), scratch_path(spark, "checkpoint")
-    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "a.*"),), batch_size=7)
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "a.*"),), batch_size=7,
+                    segmentation="offset")
     for part in log.randomSplit([1.0, 1.0, 1.0], seed=5):
         part.write.mode("append").parquet(source)
         run(spark, job, source, checkpoint)
@@ -29,7 +32,6 @@ def test_stream_equals_batch_over_several_runs(spark):
     want = by_absolute_offset(log.where("topic <> 'b'"), 7)
     got = read_archive(spark, job.root, "s")
     assert same_rows(got.select(*want.columns), want)
-    finish_run(spark, job)
     counts = want.groupBy("topic", "partition", "segment").agg(F.count(F.lit(1)).alias("message_count"))
     assert same_rows(read_segments(spark, job.root).select(*counts.columns), counts)
 
@@ -37,13 +39,11 @@ def test_stream_equals_batch_over_several_runs(spark):
 def test_lost_checkpoint_gives_copies_that_reading_drops(spark):
     log = make_log(spark, random_log(4, SIZES)).cache()
     source = scratch_path(spark, "source")
-    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),))
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), segmentation="offset")
     log.coalesce(1).write.parquet(source)
     run(spark, job, source, scratch_path(spark, "checkpoint"))
-    # The same batch number again replaces its folder.
-    run(spark, job, source, scratch_path(spark, "checkpoint"))
-    assert same_rows(read_archive(spark, job.root, "s").select(*LOG_COLUMNS), log)
-    log.coalesce(1).write.mode("append").parquet(source)
+    assert same_rows(read_archive(spark, job.root, "s", deduplicate=True).select(*LOG_COLUMNS), log)
+    # A new checkpoint numbers its batches anew and replaces none of the old ones.
     run(spark, job, source, scratch_path(spark, "checkpoint"))
     assert read_archive(spark, job.root, "s").count() == 2 * log.count()
     once = read_archive(spark, job.root, "s", deduplicate=True).select(*LOG_COLUMNS)
@@ -53,14 +53,27 @@ def test_lost_checkpoint_gives_copies_that_reading_drops(spark):
 def test_stop_keeps_what_was_read(spark):
     log = make_log(spark, random_log(8, SIZES)).cache()
     source = scratch_path(spark, "source")
-    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),))
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), segmentation="offset")
     log.write.parquet(source)
     query = start_backup(stream_log(spark, source), job, scratch_path(spark, "c"), interval_seconds=1)
     query.processAllAvailable()
     query.stop()
+    catalog.stop(spark, job.root, "s")
+    assert catalog.phase_of(spark, job.root, "s") == "Suspended"
+    finish_run(spark, job)
     assert same_rows(read_archive(spark, job.root, "s").select(*LOG_COLUMNS), log)
 
 
+def test_streams_refuse_what_they_cannot_write(spark):
+    log = make_log(spark, random_log(8, SIZES))
+    source = scratch_path(spark, "source")
+    log.write.parquet(source)
+    for more in ({}, {"segmentation": "offset", "layout": "objects"}, {"segmentation": "interval"}):
+        job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), **more)
+        with pytest.raises(ValueError, match="archive layout"):
+            start_backup(stream_log(spark, source), job, scratch_path(spark, "c"))
+
+
 def test_totals(spark):
     log = make_log(spark, random_log(6, SIZES))
     source, out = scratch_path(spark, "source"), scratch_path(spark, "totals")

@@ -4,17 +4,21 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from logkeep.functions.messages import measured
+from logkeep.functions.messages import measured, message_json
 from logkeep.functions.patterns import TopicSelector
 from logkeep.operators import catalog, replay, segments, status
 from logkeep.operators.ordering import number_rows
 from logkeep.plans import restore
+from logkeep.plans.backup import run_backup
 from logkeep.plans.jobs import BackupJob, RestoreJob
 from logkeep.session import scratch_path
+from logkeep.sinks import catalog as job_log
 from logkeep.sinks.catalog import read_events
-from logkeep.sources.archive import read_archive, read_segments
+from logkeep.sinks.segmentfiles import write_objects
+from logkeep.sources import segmentfiles
+from logkeep.sources.archive import read_archive, read_backups, read_segments
 from logkeep.sources.filelog import read_log, stream_log
-from logkeep.streaming.backup import finish_run, start_backup
+from logkeep.streaming.backup import run_scheduled
 from logkeep.streaming.totals import latest_totals, start_totals
 from workload import logs
 from workload import sqlparts as sql
@@ -374,10 +378,11 @@ def phase_transitions(spark, sf_dir):
 
 
 @query("backup_totals", f"""WITH {sql.LINEITEM}, segmented AS (SELECT *, {sql.count_segment_sql(100)} AS segment FROM lineitem_log),
-manifest AS (SELECT 'bk-' || "partition" AS backup_id, topic, segment, count(*) AS n, sum({sql.size_sql()}) AS b, max("timestamp") AS t
+manifest AS (SELECT 'bk-' || "partition" AS backup_id, topic, segment, count(*) AS n, sum({sql.size_sql()}) AS b, max("timestamp") AS t,
+  max("offset") % 7 <> 3 AS done
   FROM segmented GROUP BY topic, "partition", segment),
-per_topic AS (SELECT backup_id, topic, bool_and(segment < 20) AS whole, sum(CASE WHEN segment < 20 THEN n ELSE 0 END) AS n,
-  sum(CASE WHEN segment < 20 THEN b ELSE 0 END) AS b, max(CASE WHEN segment < 20 THEN t END) AS t FROM manifest GROUP BY backup_id, topic)
+per_topic AS (SELECT backup_id, topic, bool_and(done) AS whole, sum(CASE WHEN done THEN n ELSE 0 END) AS n,
+  sum(CASE WHEN done THEN b ELSE 0 END) AS b, max(CASE WHEN done THEN t END) AS t FROM manifest GROUP BY backup_id, topic)
 SELECT backup_id, count(*) AS topics_discovered, CAST(count_if(whole) AS BIGINT) AS topics_backed_up,
   CAST(sum(n) AS BIGINT) AS messages, CAST(sum(b) AS BIGINT) AS bytes, max(t) AS last_backup_time FROM per_topic GROUP BY backup_id""")
 def backup_totals(spark, sf_dir):
@@ -386,8 +391,7 @@ def backup_totals(spark, sf_dir):
         rows.groupBy(F.concat(F.lit("bk-"), F.col("partition").cast("string")).alias("backup_id"),
                      "topic", "segment")
         .agg(F.count(F.lit(1)).alias("message_count"), F.sum("size_bytes").alias("size_bytes"),
-             F.max("timestamp").alias("written_at"))
-        .withColumn("done", F.col("segment") < 20)
+             F.max("timestamp").alias("written_at"), (F.max("offset") % 7 != 3).alias("done"))
     )
     totals = status.backup_totals(manifest, "written_at")
     return totals.withColumn("last_backup_time", F.col("last_backup_time").cast(NTZ))
@@ -502,13 +506,13 @@ def job_report(spark, sf_dir):
 
 def stream_job(spark, name):
     return BackupJob(
-        backup_id="continuous", root=scratch_path(spark, name), batch_size=100,
+        backup_id="continuous", root=scratch_path(spark, name), batch_size=100, segmentation="offset",
         selectors=(TopicSelector("glob", "*"),),
     )
 
 
 def run_stream(spark, job, source, checkpoint, files=None):
-    start_backup(stream_log(spark, source, files), job, checkpoint).awaitTermination()
+    run_scheduled(stream_log(spark, source, files), job, checkpoint, timestamp="2024-02-01 00:00:00")
 
 
 STREAM_SQL = f"""WITH {{log}}
@@ -544,7 +548,7 @@ def stream_dedup(spark, sf_dir):
     for _ in range(2):
         logs.log(spark, sf_dir, "events").write.mode("append").parquet(source)
         run_stream(spark, job, source, checkpoint)
-    return as_text(read_archive(spark, job.root, deduplicate=True), "segment")
+    return as_text(read_archive(spark, job.root, job.backup_id, deduplicate=True), "segment")
 
 
 @query("stream_manifest", f"""WITH {sql.EVENTS}
@@ -556,7 +560,6 @@ def stream_manifest(spark, sf_dir):
     job = stream_job(spark, "stream-manifest")
     run_stream(spark, job, logs.log_path(spark, sf_dir, "events"),
                scratch_path(spark, "checkpoint"), files=1)
-    finish_run(spark, job)
     return read_segments(spark, job.root).select(
         "topic", "partition", "segment", "start_offset", "end_offset", "message_count",
         "size_bytes",
@@ -574,3 +577,140 @@ def stream_totals(spark, sf_dir):
     return found.withColumn("last_message", F.col("last_message").cast(NTZ))
 
 
+
+
+@query("stream_restore", f"WITH {sql.ORDERS} SELECT {ROWS_SQL} FROM orders_log")
+def stream_restore(spark, sf_dir):
+    """Two scheduled runs, then a restore of what they wrote."""
+    job, source = stream_job(spark, "streamed"), scratch_path(spark, "growing")
+    checkpoint = scratch_path(spark, "checkpoint")
+    whole = logs.log(spark, sf_dir, "orders")
+    early = F.col("timestamp") < F.lit("1997-01-01").cast("timestamp")
+    for part in (whole.where(early), whole.where(~early)):
+        part.write.mode("append").parquet(source)
+        run_stream(spark, job, source, checkpoint)
+    return restored(spark, job, backup_id=job.backup_id)
+
+
+@query("stream_new_checkpoint", f"WITH {sql.EVENTS} SELECT {ROWS_SQL} FROM events_log")
+def stream_new_checkpoint(spark, sf_dir):
+    """The checkpoint is lost and the source holds its newer half only: nothing is lost or doubled."""
+    job = stream_job(spark, "renewed")
+    whole = logs.log(spark, sf_dir, "events")
+    late = F.col("offset") >= 200
+    for rows, name in ((whole.where("offset < 300"), "old"), (whole.where(late), "new")):
+        source = scratch_path(spark, f"source-{name}")
+        rows.write.parquet(source)
+        run_stream(spark, job, source, scratch_path(spark, f"checkpoint-{name}"))
+    return restored(spark, job, backup_id=job.backup_id)
+
+
+@query("restore_keep_existing", f"""WITH {sql.ORDERS}
+SELECT {ROWS_SQL} FROM orders_log UNION ALL
+SELECT 'other' AS topic, "partition", "offset", "key", "value", "timestamp", headers FROM orders_log WHERE topic = 'orders.o'""")
+def restore_keep_existing(spark, sf_dir):
+    """The target holds a part of the backup and another topic; both stay as they are."""
+    source = archived(spark, sf_dir, "orders", 500)
+    whole, path = logs.log(spark, sf_dir, "orders"), scratch_path(spark, "target")
+    whole.where("offset % 3 = 1").write.parquet(f"{path}/held")
+    whole.where("topic = 'orders.o'").withColumn("topic", F.lit("other")).write.parquet(f"{path}/other")
+    job = RestoreJob("keep", source.root, source.backup_id)
+    restore.run_restore(spark, job, path)
+    return as_text(read_log(spark, path))
+
+
+@query("restore_from_objects", f"""WITH {sql.ORDERS} SELECT {ROWS_SQL} FROM orders_log
+WHERE topic = 'orders.f' OR (topic = 'orders.o' AND "partition" IN (1, 2))""")
+def restore_from_objects(spark, sf_dir):
+    source = archived(spark, sf_dir, "orders", 500, layout="objects")
+    return restored(spark, source, backup_id=source.backup_id, layout="objects",
+                    selectors=(TopicSelector("regex", "[.][fo]$"),), partition_filter={"orders.o": [1, 2]})
+
+
+DAMAGE = """CASE WHEN "offset" % 400 = 7 THEN 'value' WHEN "offset" % 400 = 107 THEN 'time'
+  WHEN "offset" % 400 = 207 THEN 'place' WHEN "offset" % 400 = 307 THEN 'cut' END"""
+
+
+@query("quarantine_partial", f"""WITH {sql.ORDERS},
+segmented AS (SELECT *, {sql.count_segment_sql(100)} AS segment, {DAMAGE} AS damage FROM orders_log)
+SELECT topic, "partition", segment, count(damage) = 0 AS readable, CASE WHEN count(damage) = 0 THEN count(*) ELSE 0 END AS messages
+FROM segmented GROUP BY topic, "partition", segment""")
+def quarantine_partial(spark, sf_dir):
+    """One damaged value, time or offset, or a cut message, condemns its whole object."""
+    rows = segments.by_count(logs.log(spark, sf_dir, "orders"), 100)
+    place, json = F.col("offset") % 400, message_json()
+    damaged = (
+        F.when(place == 7, F.regexp_replace(json, '"Value":"[^"]*"', '"Value":[1]'))
+        .when(place == 107, F.regexp_replace(json, '"Timestamp":"[^"]*"', '"Timestamp":"soon"'))
+        .when(place == 207, F.regexp_replace(json, '"Offset":[0-9]*,', ""))
+        .when(place == 307, F.substring(json, 1, 20))
+        .otherwise(json)
+    )
+    root = scratch_path(spark, "damaged")
+    write_objects(rows, root, "nightly", json=damaged).count()
+    scanned = segmentfiles.scan(spark, f"{root}/backups")
+    group = ["topic", "partition", "segment"]
+    good = segmentfiles.messages(scanned).groupBy(*group).agg(F.count(F.lit(1)).alias("messages"))
+    bad = segmentfiles.quarantine(scanned).select(*group, F.lit(0).cast("bigint").alias("messages"))
+    return good.withColumn("readable", F.lit(True)).unionByName(bad.withColumn("readable", F.lit(False)))
+
+
+@query("progress_point_in_time", f"""WITH {sql.ORDERS}, cut AS (
+  SELECT topic, "partition", CASE WHEN "partition" <> 1 THEN sum(CASE WHEN "timestamp" <= TIMESTAMP '1997-06-30' THEN 1 ELSE 0 END) ELSE 0 END AS n
+  FROM orders_log GROUP BY topic, "partition")
+SELECT topic, count(*) AS partitions_total, count_if("partition" <> 1) AS partitions_completed, CAST(sum(n) AS BIGINT) AS messages FROM cut GROUP BY topic""")
+def progress_point_in_time(spark, sf_dir):
+    """A restore up to a time, from which one partition was withheld."""
+    source = archived(spark, sf_dir, "orders", 500)
+    moment = dt.datetime(1997, 6, 30, tzinfo=dt.timezone.utc)
+    job, path = RestoreJob("r", source.root, source.backup_id, backup_timestamp=moment), scratch_path(spark, "out")
+    rows = restore.restored_rows(spark, job)
+    restore.restore_to_files(rows.where("partition <> 1"), path, restore_id="r")
+    found = restore.progress(spark, job, source.backup_id, rows, path)
+    return found.select("topic", "partitions_total", "partitions_completed", "messages")
+
+
+@query("restore_verified", f"""WITH {sql.LINEITEM}, segmented AS (SELECT *, {sql.count_segment_sql(1000)} AS segment FROM lineitem_log)
+SELECT topic, "partition", segment, count(*) AS messages, CAST(0 AS BIGINT) AS damaged FROM segmented GROUP BY topic, "partition", segment""")
+def restore_verified(spark, sf_dir):
+    """Every stored row hash is the hash of the row's fields."""
+    source = archived(spark, sf_dir, "lineitem", 1000)
+    return restore.verify_archive(spark, source.root, source.backup_id)
+
+
+def catalog_of_backups(spark, sf_dir):
+    """One archive with a backup of each order status, a month apart."""
+    root, log = scratch_path(spark, "catalog"), logs.log(spark, sf_dir, "orders")
+    for month, status_name in enumerate(("f", "o", "p"), 1):
+        job = BackupJob(f"orders-{status_name}", root, (TopicSelector("exact", f"orders.{status_name}"),),
+                        batch_size=1000, segmentation="offset")
+        run_backup(log, job, timestamp=f"2024-0{month}-01 00:00:00")
+    return root
+
+
+@query("catalog_real", f"""WITH {sql.ORDERS}
+SELECT DISTINCT 'orders-' || substr(topic, 8) AS backup_id, topic AS topics FROM orders_log WHERE topic IN ('orders.o', 'orders.p')""")
+def catalog_real(spark, sf_dir):
+    """Backups of the stored catalog, by topic and time."""
+    root = catalog_of_backups(spark, sf_dir)
+    since = dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc)
+    found = catalog.filter_backups(read_backups(spark, root), since, None, ["orders.f", "orders.o", "orders.p"])
+    return catalog.page(found, 10).select("backup_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query("restore_deleted", f"""WITH {sql.ORDERS}
+SELECT 'orders-p' AS asked, 'refused' AS answer, CAST(0 AS BIGINT) AS messages UNION ALL
+SELECT 'newest', 'orders-o', count(*) FROM orders_log WHERE topic = 'orders.o'""")
+def restore_deleted(spark, sf_dir):
+    """A deleted backup is neither restored by name nor chosen as the newest."""
+    root = catalog_of_backups(spark, sf_dir)
+    job_log.delete(spark, root, "orders-p")
+    named = restore.chosen_backup(spark, RestoreJob("r", root, "orders-p"))
+    moment = dt.datetime(2030, 1, 1, tzinfo=dt.timezone.utc)
+    newest = RestoreJob("r", root, backup_timestamp=moment)
+    rows = restore.restored_rows(spark, newest).agg(F.count(F.lit(1)).alias("messages")).select(
+        F.lit("newest").alias("asked"), F.lit(restore.chosen_backup(spark, newest)).alias("answer"), "messages")
+    refused = spark.range(1).select(
+        F.lit("orders-p").alias("asked"), F.lit("restored" if named else "refused").alias("answer"),
+        F.lit(0).cast("long").alias("messages"))
+    return rows.unionByName(refused)

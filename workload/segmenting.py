@@ -50,9 +50,15 @@ def cut(log, batch, backup_id):
     return segments.by_count(measured(log), batch).withColumn("backup_id", F.lit(backup_id))
 
 
-@query("segment_by_count", f"""WITH {sql.GAPPED}
-SELECT {PLACE_SQL}, {sql.count_segment_sql(100)} AS segment FROM gapped_log""")
+@query("segment_by_count", f"""WITH {sql.EVENTS}
+SELECT {PLACE_SQL}, {sql.count_segment_sql(100)} AS segment FROM events_log""")
 def segment_by_count(spark, sf_dir):
+    return segments.by_count(logs.log(spark, sf_dir, "events").select(*PLACE), 100)
+
+
+@query("segment_by_count_gapped", f"""WITH {sql.GAPPED}
+SELECT {PLACE_SQL}, {sql.count_segment_sql(100)} AS segment FROM gapped_log""")
+def segment_by_count_gapped(spark, sf_dir):
     return segments.by_count(logs.gapped(spark, sf_dir).select(*PLACE), 100)
 
 
@@ -62,14 +68,21 @@ def segment_by_count_twolevel(spark, sf_dir):
     return segments.by_count(logs.log(spark, sf_dir, "lineitem").select(*PLACE), 1000, width=256)
 
 
-@query("segment_by_offset", f"""WITH {sql.GAPPED}
+@query("segment_by_offset", f"""WITH {sql.EVENTS}
 SELECT {PLACE_SQL}, CAST(("offset" - min("offset") OVER (PARTITION BY topic, "partition")) // 100 AS BIGINT) AS segment
-FROM gapped_log""")
+FROM events_log""")
 def segment_by_offset(spark, sf_dir):
+    return segments.by_offset(logs.log(spark, sf_dir, "events").select(*PLACE), 100)
+
+
+@query("segment_by_offset_gapped", f"""WITH {sql.GAPPED}
+SELECT {PLACE_SQL}, CAST(("offset" - min("offset") OVER (PARTITION BY topic, "partition")) // 100 AS BIGINT) AS segment
+FROM gapped_log""")
+def segment_by_offset_gapped(spark, sf_dir):
     return segments.by_offset(logs.gapped(spark, sf_dir).select(*PLACE), 100)
 
 
-@query("segment_by_size_or_interval", f"""WITH RECURSIVE {sql.EVENTS},
+WALK_SQL = f"""WITH RECURSIVE {sql.EVENTS},
 numbered AS (SELECT {PLACE_SQL}, "timestamp" AS ts,
   row_number() OVER (PARTITION BY topic, "partition" ORDER BY "offset") AS rn FROM events_log),
 walk AS (
@@ -82,8 +95,10 @@ walk AS (
                w.segment + CASE WHEN w.closed THEN 1 ELSE 0 END AS segment,
                CASE WHEN w.closed THEN 1 ELSE w.n + 1 END AS n,
                CASE WHEN w.closed THEN w.ts ELSE w.flushed END AS flushed
-        FROM walk w JOIN numbered r ON r.topic = w.topic AND r."partition" = w."partition" AND r.rn = w.rn + 1) s)
-SELECT {PLACE_SQL}, segment FROM walk""")
+        FROM walk w JOIN numbered r ON r.topic = w.topic AND r."partition" = w."partition" AND r.rn = w.rn + 1) s)"""
+
+
+@query("segment_by_size_or_interval", f"{WALK_SQL} SELECT {PLACE_SQL}, segment FROM walk")
 def segment_by_size_or_interval(spark, sf_dir):
     rows = logs.log(spark, sf_dir, "events").select(*PLACE, "timestamp")
     return segments.by_size_or_interval(rows, 20, 86_400).select(*PLACE, "segment")
@@ -214,18 +229,13 @@ def archive_manifest(spark, sf_dir):
     return read_segments(spark, job.root).select(*MANIFEST)
 
 
-@query("archive_by_interval", f"""WITH {sql.LINEITEM}
-SELECT topic, "partition", min("offset") AS low, max("offset") AS high, count(*) AS messages
-FROM lineitem_log GROUP BY topic, "partition" """)
+@query("archive_by_interval", f"""{WALK_SQL}
+SELECT topic, "partition", segment, min("offset") AS start_offset, max("offset") AS end_offset, count(*) AS message_count
+FROM walk GROUP BY topic, "partition", segment""")
 def archive_by_interval(spark, sf_dir):
-    job = archived(spark, sf_dir, "lineitem", 200, segmentation="interval",
-                   interval_seconds=86_400 * 60)
-    return (
-        read_segments(spark, job.root)
-        .groupBy("topic", "partition")
-        .agg(F.min("start_offset").alias("low"), F.max("end_offset").alias("high"),
-             F.sum("message_count").alias("messages"))
-    )
+    job = archived(spark, sf_dir, "events", 20, segmentation="interval", interval_seconds=86_400)
+    return read_segments(spark, job.root).select(
+        "topic", "partition", "segment", "start_offset", "end_offset", "message_count")
 
 
 @query("topic_metadata", f"""WITH {sql.ORDERS}
