@@ -1,12 +1,13 @@
 """Backup of a topic log into the archive."""
 
+import contextlib
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
-from logkeep.session import input_bytes, sized_shuffles, stored
+from logkeep.session import input_bytes, landed, sized_shuffles, stored
 from logkeep.sinks import archive as sink
 from logkeep.sinks import catalog
 from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
@@ -45,13 +46,13 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
 
 def _write(spark, log, job, topic_facts, timestamp):
     # Segmenting scans a log more than once: a source that is no file may grow meanwhile.
-    if job.land or input_bytes(log) is None:
-        log = stored(topics.select_for_backup(log, job.selectors), "landed")
-    with sized_shuffles(log):
+    land = job.land or input_bytes(log) is None
+    chosen = topics.select_for_backup(log, job.selectors)
+    with landed(chosen) if land else contextlib.nullcontext(log) as log, sized_shuffles(log):
         rows = segmented(log, job)
         if job.layout == "objects":
             # The objects are written by the action that stores their manifest.
-            objects = write_objects(rows, job.root, job.backup_id, job.compression)
+            objects = write_objects(rows, job.root, job.backup_id, job.compression, storage=job.storage)
             sink.store_manifest(objects, job.root, job.backup_id)
         else:
             sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
@@ -68,7 +69,7 @@ def describe(spark, job, topic_facts=None, timestamp=None):
     sink.write_pages(spark, job.root, job.backup_id)
     if job.layout == "objects":
         described = read_topics(spark, job.root).where(F.col("backup_id") == job.backup_id)
-        write_texts(topic_metadata_objects(described, job.backup_id), job.root).count()
+        write_texts(topic_metadata_objects(described, job.backup_id), job.root, job.storage).count()
     moment = timestamp or dt.datetime.now(dt.timezone.utc)
     config = {"batch_size": job.batch_size, "segmentation": job.segmentation,
               "workers": job.workers, "seed": job.seed, **job.config}

@@ -4,6 +4,7 @@ from dataclasses import dataclass, field
 
 from logkeep import schemas
 from logkeep.functions.patterns import TopicSelector
+from logkeep.sources.storage import Storage
 
 
 def _check_layout(layout):
@@ -23,6 +24,7 @@ class BackupJob:
     segmentation: str = "count"  # count, offset or interval
     layout: str = "archive"  # archive (Parquet) or objects (one JSON array per segment)
     compression: bool = True
+    storage: Storage | None = None  # settings of the object store below the root
     # Copy the log to the shared folder first. Segmenting scans a log more than once,
     # so a source that grows or expires meanwhile, such as Kafka, must be landed.
     land: bool = False

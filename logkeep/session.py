@@ -84,5 +84,17 @@ def stored(df, name="stored"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def landed(df):
+    """A copy of ``df`` in the shared folder, deleted at the end."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "landed")
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _is_local(context):
     return context.master.startswith("local")

@@ -7,7 +7,9 @@ object; a segment is never held as a whole.
 import gzip
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ _RESULT_TYPE = pa.schema(
 )
 
 
-def write_objects(segmented, root, backup_id, compressed=True, json=None):
+def write_objects(segmented, root, backup_id, compressed=True, json=None, storage=None):
     """Write every segment and return one manifest row per object.
 
-    The result is lazy: an action on it writes. A repeated task writes the same
+    ``storage`` has the settings of an object store that the root alone does not name. The result is lazy: an action on it writes. A repeated task writes the same
     bytes to the same key.
     """
     checked_id(backup_id)
@@ -44,10 +46,10 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None):
         ).alias("storage_key"),
     )
     group = ["topic", "partition", "segment"]
-    address = _address(root)
+    address, options = _address(root), storage.arrow_options() if storage else {}
 
     def write(batches):
-        return _write(batches, address, compressed)
+        return _write(batches, _filesystem(address, options), compressed)
 
     return (
         rows.repartition(*group)
@@ -63,6 +65,13 @@ def _address(root):
     return root.replace("s3a://", "s3://", 1)
 
 
+def _filesystem(address, options):
+    """Arrow file system and base path of a root."""
+    if options:
+        return fs.S3FileSystem(**options), address.split("://", 1)[1]
+    return fs.FileSystem.from_uri(address)
+
+
 def topic_metadata_objects(topics, backup_id):
     """Key and JSON text of the per-topic metadata objects."""
     body = F.to_json(
@@ -79,12 +88,12 @@ def topic_metadata_objects(topics, backup_id):
     )
 
 
-def write_texts(objects, root):
+def write_texts(objects, root, storage=None):
     """Write (storage_key, text) rows as one small object each; lazy as above."""
-    address = _address(root)
+    address, options = _address(root), storage.arrow_options() if storage else {}
 
     def write(batches):
-        filesystem, base = fs.FileSystem.from_uri(address)
+        filesystem, base = _filesystem(address, options)
         for batch in batches:
             for row in batch.to_pylist():
                 _put(filesystem, f"{base}/{row['storage_key']}", row["text"].encode())
@@ -126,9 +135,12 @@ class _Object:
     def flush(self):
         pass
 
-    def add(self, row):
-        (self.gzip or self).write(((b"," if self.count else b"[")) + row["json"].encode())
-        self.count, self.last = self.count + 1, row["offset"]
+    def add(self, joined, count, last):
+        """Add ``count`` messages, joined by commas, the last of them at offset ``last``."""
+        sink = self.gzip or self
+        sink.write(b"," if self.count else b"[")
+        sink.write(joined)
+        self.count, self.last = self.count + count, last
 
     def finish(self):
         (self.gzip or self).write(b"]")
@@ -148,17 +160,29 @@ def _attempt():
     return context.taskAttemptId() if context else 0
 
 
-def _write(batches, address, compressed):
-    filesystem, base = fs.FileSystem.from_uri(address)
+def _runs(batch):
+    """(first, count) of the rows of one object each."""
+    keys = batch.column("storage_key")
+    change = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _write(batches, place, compressed):
+    filesystem, base = place
     current = None
     for batch in batches:
         done = []
-        for row in batch.to_pylist():
+        json, places = batch.column("json").cast(pa.binary()), batch.drop_columns(["json"])
+        for first, count in _runs(batch) if batch.num_rows else ():
+            row = places.slice(first, 1).to_pylist()[0]
             if current is None or current.first["storage_key"] != row["storage_key"]:
                 if current is not None:
                     done.append(current.finish())
                 current = _Object(filesystem, base, row, compressed)
-            current.add(row)
+            piece = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), json.slice(first, count))
+            joined = pc.binary_join(piece, b",")[0].as_buffer()
+            current.add(joined, count, places.column("offset")[first + count - 1].as_py())
         if done:
             yield _result(done)
     if current is not None:

@@ -45,6 +45,19 @@ class Storage:
         return found
 
 
+    def arrow_options(self):
+        """Arguments of Arrow's S3 file system for the same place."""
+        if self.type != "s3":
+            return {}
+        found = {"force_virtual_addressing": not self.path_style}
+        if self.endpoint:
+            scheme, _, host = self.endpoint.rpartition("://")
+            found |= {"endpoint_override": host, "scheme": scheme or "https"}
+        if self.region:
+            found["region"] = self.region
+        return found
+
+
 def list_objects(spark, root, glob="*"):
     """Path, size and modification time of every object; contents are not read."""
     return (

@@ -336,3 +336,71 @@ def test_topic_metadata_objects(spark):
     write_texts(topic_metadata_objects(topics, "b"), root).count()
     with open(f"{root}/backups/b/metadata/topics/t.json") as f:
         assert json.load(f) == {"Name": "t", "Partitions": 3, "ReplicationFactor": 2, "Config": {"a": "b"}}
+
+
+def test_whole_error_text_is_kept(spark, log):
+    job = BackupJob("b1", scratch_path(spark, "archive"), ALL)
+    with pytest.raises(Exception) as raised:
+        run_backup(log.drop("timestamp"), job)
+    event = job_log.read_events(spark, job.root).where("phase = 'Failed'").first()
+    assert event.error == str(raised.value) and len(event.error) > 0
+
+
+def test_running_jobs_are_not_started_again(spark, log):
+    job = BackupJob("b1", scratch_path(spark, "archive"), ALL, segmentation="offset")
+    job_log.begin(spark, job.root, "b1", "backup")
+    with pytest.raises(ValueError, match="already running"):
+        run_backup(log, job)
+    job_log.stop(spark, job.root, "b1")
+    with pytest.raises(ValueError, match="not running"):
+        job_log.stop(spark, job.root, "b1")
+    run_backup(log, job, timestamp=at(100))
+    job_log.delete(spark, job.root, "b1")
+    assert restore.chosen_backup(spark, RestoreJob("r", job.root, "b1")) is None
+    with pytest.raises(LookupError):
+        job_log.delete(spark, job.root, "b1")
+
+
+def test_landed_copy_is_deleted(spark, log):
+    root = scratch_path(spark, "archive")
+    before = set(glob.glob(f"{os.path.dirname(root)}/landed-*"))
+    run_backup(log, BackupJob("b1", root, ALL, land=True), timestamp=at(100))
+    assert set(glob.glob(f"{os.path.dirname(root)}/landed-*")) == before
+
+
+def test_skipping_shuffles_no_payload(spark, job):
+    rows = restore.chosen_rows(spark, RestoreJob("r", job.root, "b1"), "b1")
+    target = rows.select(*LOG_COLUMNS).where("offset < 2")
+    left = replay.skip_existing(rows, target)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert same_rows(left.select(*LOG_COLUMNS), rows.where("offset >= 2").select(*LOG_COLUMNS))
+
+
+def test_kafka_waves_come_from_one_stored_copy(spark, job, monkeypatch):
+    seen = []
+    monkeypatch.setattr(restore.kafka, "write_topics", lambda rows, cluster: seen.append(
+        [(r.segment, r.topic) for r in rows.collect()]))
+    rows = restore.chosen_rows(spark, RestoreJob("r", job.root, "b1"), "b1").where("segment <> 1")
+    restore.restore_to_kafka(rows, None, segments_per_wave=1)
+    assert [len({s for s, _ in wave}) for wave in seen] == [1] * len(seen)
+    assert sum(map(len, seen)) == rows.count() and 1 not in {s for wave in seen for s, _ in wave}
+
+
+def test_selectors_become_subscriptions():
+    from logkeep.sources.kafka import selector_options
+    names = (TopicSelector("exact", "a"), TopicSelector("glob", "b.c"))
+    assert selector_options(names) == {"subscribe": "a,b.c"}
+    pattern = selector_options((TopicSelector("exact", "a.b"), TopicSelector("glob", "o*"),
+                                TopicSelector("regex", "[[]x")))["subscribePattern"]
+    assert pattern == "(?:a\\.b)|(?:(?s)^o.*\\z)|(?:(?s:.*)(?:[\\[]x)(?s:.*))"
+    with pytest.raises(ValueError):
+        selector_options(())
+
+
+def test_object_store_settings():
+    from logkeep.sources.storage import Storage
+    minio = Storage("s3", "bucket", endpoint="http://minio:9000", region="x", path_style=True)
+    assert minio.arrow_options() == {"force_virtual_addressing": False, "region": "x",
+                                     "endpoint_override": "minio:9000", "scheme": "http"}
+    assert Storage("local", "/tmp").arrow_options() == {}

@@ -101,3 +101,10 @@ def test_pattern_reasons(spark):
         "^[": "invalid regex", "(x$": "invalid regex", "^ok$": None, "plain[": None,
         "^a(?i)b": None,
     }
+
+
+def test_brackets_inside_classes(spark):
+    names = spark.createDataFrame([("a[b",), ("a]b",), ("axb",)], "topic string")
+    for pattern, want in (("a[[]b", ["a[b"]), ("a[]]b", ["a]b"]), ("a[^[]b", ["a]b", "axb"]), ("a[x[]b", ["a[b", "axb"])):
+        rows = names.where(TopicSelector("regex", pattern).matches(F.col("topic")))
+        assert sorted(r.topic for r in rows.collect()) == sorted(want)
