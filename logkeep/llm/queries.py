@@ -26,10 +26,10 @@ for _query in (
     simple8b.op4_token_files,
     credentials.op5_secrets,
     fingerprints.op7_fingerprints,
-    decontamination.op8_decontamination,
     bpe.op9_bpe,
     quality.op10_quality,
 ):
     _register(_query.__name__, _query)
 _register("op6_repeated_passages", recompression.op6_repeated_passages, recompression.SQL)
+_register("op8_decontamination", decontamination.op8_decontamination, decontamination.SQL)
 _register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

@@ -5,8 +5,9 @@ import re
 import numpy as np
 
 from logkeep.llm import decontamination as D
-from logkeep.llm.queries import QUERIES
+from logkeep.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import save_tables
+from workload.compare import differences, duck
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -62,6 +63,8 @@ def test_whole_tables(spark, sf_dir, all_docs):
     want = brute([(r.doc_id, r.text) for r in all_docs.collect()], items)
     assert sum(r[5] for r in want)
     assert rows(QUERIES["op8_decontamination"](spark, sf_dir)) == sorted(want, key=str)
+    found, _ = differences(spark, sf_dir, QUERIES["op8_decontamination"], ORACLES["op8_decontamination"], duck(sf_dir))
+    assert found == ""
 
 
 def test_odd_rows_short_items_and_several_passes(spark, tmp_path, odd_docs, monkeypatch):
