@@ -92,30 +92,39 @@ def _summed(which, values, size):
     return np.bincount(which, values, size).astype(np.int64)[which]
 
 
+class _Sequences:
+    """Sequences of a block's training texts; only one array for each length is held."""
+
+    def __init__(self, tokens):
+        self.hashes, self.words = tokens.sequences(), tokens.distinct[tokens.number]
+        self.ends = [None] + [np.flatnonzero(tokens.train & (tokens.place >= n - 1))
+                              for n in range(1, DEPTH + 2)]
+
+    def grams(self, n):
+        return self.hashes[n][self.ends[n]]
+
+    def facts(self, n, which):
+        """Context, suffix and last token of the chosen sequences of length ``n``."""
+        at = self.ends[n][which]
+        before = self.hashes[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
+        return before, self.hashes[n - 1][at], self.words[at]
+
+
 def _reported(seen, train_tokens):
     """Sequences of a run that reach the slack, with what the tree needs to know of them."""
-    least, out = max(1, int(np.ceil(SLACK * train_tokens))), []
+    least = max(1, int(np.ceil(SLACK * train_tokens)))
     for n in range(1, DEPTH + 2):
-        gram, context, suffix, word = (np.concatenate([s[n][k] for s in seen]) for k in range(4))
-        found, first, counts = np.unique(gram, return_index=True, return_counts=True)
+        cuts = np.cumsum([0, *(len(s.ends[n]) for s in seen)])
+        found, first, counts = np.unique(
+            np.concatenate([s.grams(n) for s in seen]), return_index=True, return_counts=True)
         some = counts >= least
-        at = first[some]
-        out.append(pd.DataFrame({
-            "n": n, "gram": found[some].view(np.int64), "context": context[at].view(np.int64),
-            "suffix": suffix[at].view(np.int64), "word": word[at].view(np.int64),
-            "count": counts[some]}))
-    return pd.concat(out)
-
-
-def _train_sequences(tokens):
-    """For each length: (sequence, its context, its suffix, its last token) in training texts."""
-    out, hashes = {}, tokens.sequences()
-    words = tokens.distinct[tokens.number]
-    for n in range(1, DEPTH + 2):
-        at = np.flatnonzero(tokens.train & (tokens.place >= n - 1))
-        before = hashes[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-        out[n] = (hashes[n][at], before, hashes[n - 1][at], words[at])
-    return out
+        found, first, counts = found[some], first[some], counts[some]
+        for k, s in enumerate(seen):
+            mine = (first >= cuts[k]) & (first < cuts[k + 1])
+            context, suffix, word = s.facts(n, first[mine] - cuts[k])
+            yield pd.DataFrame({
+                "n": n, "gram": found[mine].view(np.int64), "context": context.view(np.int64),
+                "suffix": suffix.view(np.int64), "word": word.view(np.int64), "count": counts[mine]})
 
 
 def frequent_sequences(blocks, train_tokens):
@@ -127,13 +136,13 @@ def frequent_sequences(blocks, train_tokens):
         for batch in batches:
             for row in batch.to_dict("records"):
                 t = Tokens(row)
-                seen.append(_train_sequences(t))
+                seen.append(_Sequences(t))
                 held += int(t.train.sum())
                 if held >= RUN_TOKENS:
-                    yield _reported(seen, held)
+                    yield from _reported(seen, held)
                     seen, held = [], 0
         if held:
-            yield _reported(seen, held)
+            yield from _reported(seen, held)
 
     reports = runs.mapInPandas(
         report, "n int, gram long, context long, suffix long, word long, count long")
@@ -147,8 +156,9 @@ def frequent_sequences(blocks, train_tokens):
     def count(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                for n, (gram, *_) in _train_sequences(Tokens(row)).items():
-                    known = candidates[n]
+                sequences = _Sequences(Tokens(row))
+                for n, known in candidates.items():
+                    gram = sequences.grams(n)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
                         sums = np.bincount(at[known[at] == gram], minlength=len(known))
