@@ -80,6 +80,13 @@ def hex64(values):
     return [f"{int(v):016x}" for v in values]
 
 
+def small_batches(spark, rows=2_000):
+    """Hand texts to Python tasks in batches of at most ``rows``: what a task holds is bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def struct_array(fields):
     """Arrow struct column from {name: array}."""
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
