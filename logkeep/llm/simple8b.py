@@ -16,7 +16,6 @@ executor's files are written again and never twice. Null and empty texts hold th
 only; repeated rows are documents of their own; an empty table gives no files.
 """
 
-import os
 import struct
 import zlib
 
@@ -24,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from logkeep.llm.bpe import read_definition
+from logkeep.llm.bpe import WordEncoder, read_definition
 from logkeep.llm.texts import per_process
 from logkeep.llm.wordtokens import WordTokens
 from logkeep.session import stored
@@ -47,13 +45,16 @@ _HEAD = "<4sIQ"
 
 def _selectors(ids, ends):
     """Best selector for a word that starts at each place of (blocks x BLOCK) ids."""
-    places = np.arange(BLOCK)
+    places, block = np.arange(BLOCK, dtype=np.int16), np.int16(BLOCK)
+    # past 53 bits the length may come out one too large, which costs room but no value
+    length = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    ends = ends.astype(np.int16)[:, None]
     best = np.full(ids.shape, ESCAPE, np.int8)
     for selector in reversed(range(len(WIDTHS))):
         count, bits = WIDTHS[selector]
-        wide = np.where(ids >> np.uint64(bits), places, BLOCK)
+        wide = np.where(length > bits, places, block)
         following = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        best[following >= np.minimum(places + count, ends[:, None])] = selector
+        best[following >= np.minimum(places + np.int16(count), ends)] = selector
     return best
 
 
@@ -147,18 +148,11 @@ def unpack_block(data, k):
     return _decode(mine, np.zeros(len(mine), np.int64), np.array([min(block, count - k * block)]))
 
 
-def library_words(definition):
-    """Encoder of words by the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = Tokenizer.from_str(definition)
-    library.no_truncation()
-    library.no_padding()
+class LibraryWords(WordEncoder):
+    """Words split beforehand, their pieces merged by the tokenizers library."""
 
-    def encode(words):
-        found = library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [f.ids for f in found]
-
-    return encode
+    def encode_piece(self, piece):
+        return [t.id for t in self.library.model.tokenize(piece)]
 
 
 def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END_ID,
@@ -175,7 +169,7 @@ def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END
 
     def write(batches):
         place, file = TaskContext.get().partitionId(), 0
-        coder = per_process(("files", hash(definition)), lambda: WordTokens(library_words(definition)))
+        coder = per_process(("files", hash(definition)), lambda: WordTokens(LibraryWords(definition).encode_words))
         ids, doc_ids, counts, held, before = [], [], [], 0, 0
 
         def full():

@@ -4,9 +4,11 @@ Holds for tokenizers whose tokens never cross ASCII white space, such as those t
 words off before merging; A-Z may be lower-cased first where the tokenizer does so itself.
 """
 
+import itertools
+
 import numpy as np
 
-#: Distinct words whose tokens a task keeps; beyond it starts anew.
+#: Distinct words whose tokens a task keeps; beyond it the most frequent half stays.
 KEPT_WORDS = 300_000
 
 
@@ -15,20 +17,25 @@ class WordTokens:
 
     def __init__(self, encode_words, kept=KEPT_WORDS):
         self.encode_words, self.kept = encode_words, kept
-        self._clear()
-
-    def _clear(self):
-        self.numbers, self.sizes, self.ids, self.count = {}, [], [], 0
-
-    def _learn(self, words):
-        fresh = [w for w in dict.fromkeys(words) if w not in self.numbers]
-        if not fresh:
-            return
+        self.numbers = {}
+        self.sizes = self.ids = self.seen = np.zeros(0, np.int64)
+
+    def _trim(self):
+        stay = np.sort(np.argsort(-self.seen, kind="stable")[: self.kept // 2])
+        held = np.zeros(len(self.seen), bool)
+        held[stay] = True
+        self.ids = self.ids[np.repeat(held, self.sizes)]
+        self.sizes, self.seen = self.sizes[stay], self.seen[stay]
+        words = list(self.numbers)
+        self.numbers = {words[i]: k for k, i in enumerate(stay.tolist())}
+
+    def _learn(self, fresh):
         found = self.encode_words(fresh)
-        for word in fresh:
-            self.numbers[word] = len(self.numbers)
-        self.sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        self.ids.append(np.fromiter((i for f in found for i in f), np.int64, int(self.sizes[-1].sum())))
+        self.numbers.update(zip(fresh, itertools.count(len(self.numbers))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int64)])
 
     def batch(self, texts, special=b"<|"):
         """(ids of all texts, number of ids of each); texts are bytes.
@@ -36,18 +43,18 @@ class WordTokens:
         A text that may hold a special token's name keeps its case.
         """
         if len(self.numbers) > self.kept:
-            self._clear()
+            self._trim()
         lists = [(t if special in t else t.lower()).split() for t in texts]
-        words = [w for one in lists for w in one]
-        self._learn(words)
-        self.sizes, self.ids = [np.concatenate([np.zeros(0, np.int64), *self.sizes])], [
-            np.concatenate([np.zeros(0, np.int64), *self.ids])]
-        sizes, ids = self.sizes[0], self.ids[0]
+        words = list(itertools.chain.from_iterable(lists))
+        fresh = set(words).difference(self.numbers)
+        if fresh:
+            self._learn(list(fresh))
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        firsts = np.cumsum(sizes) - sizes
-        each = sizes[number]
+        self.seen += np.bincount(number, minlength=len(self.seen))
+        firsts = np.cumsum(self.sizes) - self.sizes
+        each = self.sizes[number]
         ends = np.cumsum(each)
-        flat = ids[np.arange(each.sum()) + np.repeat(firsts[number] - ends + each, each)]
+        flat = self.ids[np.arange(each.sum()) + np.repeat(firsts[number] - ends + each, each)]
         bounds = np.cumsum([len(one) for one in lists]) if lists else np.zeros(0, np.int64)
         upto = np.concatenate([[0], ends])[bounds]
         return flat, np.diff(np.concatenate([[0], upto]))
