@@ -8,6 +8,7 @@ the next, so a lost executor never costs more than one stage.
 from pyspark.sql import functions as F
 
 from logkeep.llm import bpe, decontamination, graydedup, pii, quality
+from logkeep.llm.texts import small_batches
 from logkeep.session import stored
 
 #: No SQL expresses the classifier; the tests run the stages against brute force.
@@ -37,10 +38,11 @@ def mask_personal_data(spark, docs, sf_dir):
 
 def encode_tokens(spark, docs, sf_dir):
     """All documents with their token ids and what these decode to."""
-    definition = bpe.read_definition()
-    found = bpe.encoded(docs, definition).select("doc_id", "lang", "source", "text", "ids")
-    return found.select("*", F.size("ids").alias("n_tokens"),
-                        bpe.decode(F.col("ids"), definition).alias("decoded"))
+    small_batches(spark)
+    both = bpe.round_trip(F.col("text"), bpe.read_definition()).alias("both")
+    found = docs.select("doc_id", "lang", "source", "text", both)
+    return found.select("doc_id", "lang", "source", "text", "both.ids",
+                        F.size("both.ids").alias("n_tokens"), "both.decoded")
 
 
 STAGES = [
