@@ -1,44 +1,52 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts of one to ``DEPTH`` words are states of the tree if they occur often enough (the
-share ``P_MIN`` of all training tokens, twice at least) and their next-word distribution
-diverges from that of their longest retained suffix: the Kullback-Leibler divergence over
-their frequent next words and the rest must reach ``DIVERGENCE`` nats and be significant for
-their count. A state gives its frequent next words their discounted share and leaves the
-remainder to its parent, in proportion, so every distribution sums to one; the root is the
-add-one distribution of all words. A word is scored by the state of the longest suffix of
-what stands before it in the text.
+Contexts of one to ``DEPTH`` words are states of the tree if they occur ``LEAST`` times (and
+reach the share ``P_MIN`` of all training tokens, if one is set) and their next-word
+distribution diverges from that of their longest retained suffix: the Kullback-Leibler
+divergence over their next words that occur as often and the rest must reach ``DIVERGENCE``
+nats and be significant for their count. A state gives these next words their discounted share
+and leaves the remainder to its parent, in proportion, so every distribution sums to one; the
+root is the add-one distribution of all words. A word is scored by the state of the longest
+suffix of what stands before it in the text.
 
 Counts cover all training documents. A document's end is a token of its own; contexts do not
-reach across documents. Words reach their counts through the exchange of blocks, which grows
-with the corpus. Frequent sequences are found as in lossy counting: a run of blocks reports
-what reaches a quarter of the share in it, so nothing frequent is missed, and candidates
-(at most ``4 / (3 * P_MIN)`` for each length) are then counted exactly. This bound is what the
-driver and the tasks hold; the word table is never in one place.
-
-Words are runs of non-white-space, A-Z lower-cased, told apart by 64-bit hashes. Null, empty
-and blank texts are their end token alone. A null id is held in. Repeated rows count and are
-scored each. Without training documents every text has score zero times its tokens. Other
-columns are not read.
+reach across documents. Word counts, states and next-word tables are in hash buckets that the
+blocks ask, so all of them grow with the corpus and none is in one place. A first exchange
+counts words, and all sequences by the first ``SHORT_BITS`` bits of their hash; what does not
+occur often enough even by these is left out of the next ones, and nothing else. Then one
+exchange for each context length puts a context's next words of all blocks in one task, with
+their probability in the states above; it decides on the state and answers counts and rest.
+
+Words are runs of non-white-space, A-Z lower-cased, words and sequences told apart by 64-bit
+hashes. Null, empty and blank texts are their end token alone. A null id is held in. Repeated
+rows count and are scored each. Without training documents every text has score zero times its
+tokens. Other columns are not read.
 """
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import functions as F
 
 from logkeep.llm.exchange import (
-    NO_ID, PIECES, Block, answers, bucket_count, make_blocks, pieces, with_answers)
+    NO_ID, PIECES, Block, answers, bucket_count, make_blocks, pieces)
 from logkeep.llm.texts import crc32_mod, hash64, mix
 from logkeep.session import stored
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
-P_MIN = 2e-5
+#: Occurrences of a sequence that count, whatever the size of the corpus.
+LEAST = 2
+#: Share of all training tokens that is asked for besides (none), and what a caller may set
+#: with it: counts are exact and need no slack.
+P_MIN = 0.0
 SLACK = P_MIN / 4
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
-#: Tokens that are looked at together for frequent sequences.
+#: Tokens of a block.
 RUN_TOKENS = 1 << 19
+#: Bits of a sequence's hash in the first exchange.
+SHORT_BITS = 40
 END = np.uint64(0x656E64)
 
 
@@ -92,199 +100,221 @@ def _summed(which, values, size):
     return np.bincount(which, values, size).astype(np.int64)[which]
 
 
-class _Sequences:
-    """Sequences of a block's training texts; only one array for each length is held."""
+def _pack(*arrays):
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
+def _planes(keys):
+    """Sorted keys as byte planes of their differences, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def _keys(data, size):
+    return np.cumsum(np.frombuffer(data, np.uint8, 8 * size).reshape(8, size).T.copy().view(np.uint64)[:, 0])
+
+
+class Grams:
+    """Distinct sequences of a block by length, numbered in hash order.
+
+    ``number[n]`` is that of the sequence of n tokens up to each place, ``counts[n]`` how often
+    it stands in training texts here, ``context[n]`` and ``suffix[n]`` the numbers of the
+    sequences without its last and its first token.
+    """
 
     def __init__(self, tokens):
-        self.hashes, self.words = tokens.sequences(), tokens.distinct[tokens.number]
-        self.ends = [None] + [np.flatnonzero(tokens.train & (tokens.place >= n - 1))
-                              for n in range(1, DEPTH + 2)]
-
-    def grams(self, n):
-        return self.hashes[n][self.ends[n]]
-
-    def facts(self, n, which):
-        """Context, suffix and last token of the chosen sequences of length ``n``."""
-        at = self.ends[n][which]
-        before = self.hashes[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-        return before, self.hashes[n - 1][at], self.words[at]
-
-
-def _reported(seen, train_tokens):
-    """Sequences of a run that reach the slack, with what the tree needs to know of them."""
-    least = max(1, int(np.ceil(SLACK * train_tokens)))
-    for n in range(1, DEPTH + 2):
-        cuts = np.cumsum([0, *(len(s.ends[n]) for s in seen)])
-        found, first, counts = np.unique(
-            np.concatenate([s.grams(n) for s in seen]), return_index=True, return_counts=True)
-        some = counts >= least
-        found, first, counts = found[some], first[some], counts[some]
-        for k, s in enumerate(seen):
-            mine = (first >= cuts[k]) & (first < cuts[k + 1])
-            context, suffix, word = s.facts(n, first[mine] - cuts[k])
-            yield pd.DataFrame({
-                "n": n, "gram": found[mine].view(np.int64), "context": context.view(np.int64),
-                "suffix": suffix.view(np.int64), "word": word.view(np.int64), "count": counts[mine]})
-
-
-def frequent_sequences(blocks, train_tokens):
-    """Rows of all sequences that occur often enough, exactly counted (pandas, bounded)."""
-    runs = blocks.coalesce(max(1, -(-train_tokens // (4 * RUN_TOKENS))))
-
-    def report(batches):
-        seen, held = [], 0
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                t = Tokens(row)
-                seen.append(_Sequences(t))
-                held += int(t.train.sum())
-                if held >= RUN_TOKENS:
-                    yield from _reported(seen, held)
-                    seen, held = [], 0
-        if held:
-            yield from _reported(seen, held)
-
-    reports = runs.mapInPandas(
-        report, "n int, gram long, context long, suffix long, word long, count long")
-    least = (P_MIN - SLACK) * train_tokens
-    grouped = reports.groupBy("n", "gram").agg(
-        F.sum("count").alias("count"), *[F.min(c).alias(c) for c in ("context", "suffix", "word")])
-    near = grouped.where((F.col("count") >= least) & (F.col("count") >= 1)).toPandas()
-    candidates = {n: np.unique(near["gram"][near["n"] == n].to_numpy().view(np.uint64))
-                  for n in range(1, DEPTH + 2)}
-
-    def count(batches):
+        order = np.argsort(tokens.distinct)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.number = {1: tokens.distinct[order]}, {1: rank[tokens.number]}
+        self.counts = {1: np.bincount(self.number[1][tokens.train], minlength=len(order))}
+        self.context, self.suffix = {}, {}
+        hashes = tokens.sequences()
+        for n in range(2, DEPTH + 2):
+            at = np.flatnonzero(tokens.place >= n - 1)
+            self.keys[n], first, which = np.unique(hashes[n][at], return_index=True, return_inverse=True)
+            hashes[n] = None
+            self.number[n] = np.full(len(tokens.place), -1)
+            self.number[n][at] = which
+            self.counts[n] = np.bincount(which[tokens.train[at]], minlength=len(first))
+            self.context[n] = self.number[n - 1][at[first] - 1]
+            self.suffix[n] = self.number[n - 1][at[first]]
+
+    def short(self):
+        """Shortened hashes of all sequences, sorted, and the place of each among them."""
+        keys = np.concatenate([self.keys[n] for n in range(2, DEPTH + 2)])
+        return np.unique(keys >> np.uint64(64 - SHORT_BITS), return_inverse=True)
+
+
+def _cut(place, buckets):
+    """(bucket, first, end) of the runs of equal places that are not empty."""
+    cuts = np.searchsorted(place, np.arange(buckets + 1))
+    return [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
+
+
+def _bucket_of(keys, bits, buckets):
+    return (keys >> np.uint64(bits - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else (
+        np.zeros(len(keys), np.int64))
+
+
+_ASKED = "bucket long, block long, size long, entries long, data binary"
+_REPLY = "block long, phase int, bucket long, answer binary"
+
+
+def _often(blocks, buckets, least):
+    """Replies of phase 0: a bit for each shortened hash, set if it may occur often enough."""
+    def send(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
-                sequences = _Sequences(Tokens(row))
-                for n, known in candidates.items():
-                    gram = sequences.grams(n)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                        sums = np.bincount(at[known[at] == gram], minlength=len(known))
-                        some = np.flatnonzero(sums)
-                        yield pd.DataFrame({"n": n, "gram": known[some].view(np.int64), "count": sums[some]})
-
-    exact = blocks.mapInPandas(count, "n int, gram long, count long").groupBy("n", "gram").agg(
-        F.sum("count").alias("count")).toPandas()
-    found = near.drop(columns="count").merge(exact, on=["n", "gram"])
-    return found[found["count"] >= max(2, P_MIN * train_tokens)]
-
-
-class SuffixTree:
-    """Retained states and their next-word tables, as sorted arrays for lookups.
-
-    Built from the frequent sequences: every suffix of a frequent sequence is frequent too,
-    so a sequence's suffixes lead down to a single word.
+                grams = Grams(Tokens(row))
+                short, which = grams.short()
+                counts = np.concatenate([grams.counts[n] for n in range(2, DEPTH + 2)])
+                counts = np.bincount(which, counts, len(short)).astype(np.int32)
+                cuts = _cut(_bucket_of(short, SHORT_BITS, buckets), buckets)
+                yield pd.DataFrame(
+                    [(k, row["block"], b - a, 0, _pack(_planes(short[a:b]), counts[a:b]))
+                     for k, a, b in cuts], columns=["bucket", "block", "size", "entries", "data"])
+
+    def meet(group):
+        keys, values = [], []
+        for size, data in zip(group["size"], group["data"]):
+            data = zstandard.decompress(data)
+            keys.append(_keys(data, size))
+            values.append(np.frombuffer(data, np.int32, size, 8 * size))
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        some = np.bincount(which, np.concatenate(values), len(distinct))[which] >= least
+        cuts = np.cumsum(group["size"].to_numpy())[:-1]
+        return pd.DataFrame({"block": group["block"], "phase": 0, "bucket": group["bucket"],
+                             "answer": [_pack(np.packbits(a)) for a in np.split(some, cuts)]})
+
+    return blocks.mapInPandas(send, _ASKED).groupBy("bucket").applyInPandas(meet, _REPLY)
+
+
+class Model:
+    """What a block knows of its sequences: global counts, rests of states, probabilities.
+
+    ``asked(n)`` tells what it asks of contexts of ``n`` tokens: their numbers, the sequences
+    that may follow, and the place of each one's context among the first.
     """
 
-    def __init__(self, grams, train_tokens, kinds):
-        self.base = train_tokens + kinds + 1
-        rows = list(zip(*(grams[c].tolist() for c in ("n", "gram", "context", "suffix", "word", "count"))))
-        self.count = {(n, gram): count for n, gram, _, _, _, count in rows}
-        self.suffix = {(n, gram): suffix for n, gram, _, suffix, _, _ in rows}
-        self.edges, self.states, self.lengths, self.rests, self.parents = {}, {}, [], [], []
-        following = {}
-        for n, gram, context, _, word, count in rows:
-            if (n - 1, context) in self.count:
-                following.setdefault((n - 1, context), []).append((gram, word, count))
-        for (length, context), nexts in sorted(following.items()):
-            self._consider(length, context, nexts)
-        self._freeze()
-
-    def _cut(self, n, gram, length):
-        """The last ``length`` tokens of a sequence."""
-        while n > length:
-            n, gram = n - 1, self.suffix[n, gram]
-        return gram
-
-    def _given(self, state, n, gram, word):
-        """Probability of a sequence's last token in a state above."""
-        share = 1.0
-        while state >= 0:
-            length = self.lengths[state] + 1
-            found = self.edges.get((length, self._cut(n, gram, length)))
-            if found is not None:
-                return share * found
-            share, state = share * self.rests[state], self.parents[state]
-        return share * (self.count[1, self._cut(n, gram, 1)] + 1) / self.base
-
-    def _consider(self, length, context, nexts):
-        parent = -1
-        for shorter in range(length - 1, 0, -1):
-            parent = self.states.get((shorter, self._cut(length, context, shorter)), -1)
-            if parent >= 0:
-                break
-        count = self.count[length, context]
-        own = np.array([n for *_, n in nexts]) / count
-        given = np.array([self._given(parent, length + 1, gram, word) for gram, word, _ in nexts])
-        rest, other = max(0.0, 1 - own.sum()), max(1e-12, 1 - given.sum())
-        gain = (own * np.log(own / given)).sum() + (rest * np.log(rest / other) if rest else 0)
-        if gain < DIVERGENCE or gain * count < 2 * len(own) + 5:
-            return
-        kept = own - DISCOUNT / count
-        self.states[length, context] = len(self.lengths)
-        self.lengths.append(length)
-        self.parents.append(parent)
-        self.rests.append((1 - kept.sum()) / other)
-        for (gram, *_), p in zip(nexts, kept.tolist()):
-            self.edges[length + 1, gram] = p
-
-    def _freeze(self):
-        def table(values):
-            keys = np.array(sorted(values), np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            return keys[order], np.array([values[k] for k in sorted(values)])[order]
-
-        self.state_of = [table({c: i for (k, c), i in self.states.items() if k == n})
-                         for n in range(DEPTH + 1)]
-        self.edge_of = [table({g: np.log10(p) for (k, g), p in self.edges.items() if k == n})
-                        for n in range(DEPTH + 2)]
-        self.length = np.array(self.lengths, np.int64)
-        self.rest, self.parent = np.log10(np.array(self.rests)), np.array(self.parents, np.int64)
-        del self.count, self.suffix, self.edges, self.states, self.lengths, self.rests, self.parents
-
-    def scores(self, hashes, place, root):
-        """log10 probability of every token; ``root`` holds that of the root."""
-        state = np.full(len(root), -1)
-        for n in range(1, DEPTH + 1):
-            at = np.flatnonzero(place >= n)
-            found, hit = _look(self.state_of[n], hashes[n][at - 1])
-            state[at[hit]] = found[hit].astype(np.int64)
-        out, live = np.zeros(len(root)), np.flatnonzero(state >= 0)
-        final = np.ones(len(root), bool)
-        while len(live):
-            for n in range(1, DEPTH + 1):
-                at = live[self.length[state[live]] == n]
-                found, hit = _look(self.edge_of[n + 1], hashes[n + 1][at])
-                out[at[hit]] += found[hit]
-                final[at[hit]] = False
-                state[at[hit]] = -1
-            live = live[state[live] >= 0]
-            out[live] += self.rest[state[live]]
-            state[live] = self.parent[state[live]]
-            live = live[state[live] >= 0]
-        return out + np.where(final, root, 0)
-
-
-def _look(table, keys):
-    """Values of ``keys`` in a (sorted keys, values) table, and which are there."""
-    known, values = table
-    if not len(known):
-        return np.zeros(len(keys)), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return values[at], known[at] == keys
+    def __init__(self, grams, found, upto, base, least, buckets):
+        self.grams, self.least, self.buckets = grams, least, buckets
+        of = {p: list(g.sort_values("bucket")["answer"]) for p, g in found.groupby("phase")}
+        self.known = np.frombuffer(b"".join(of.get(-1, [])), np.int64)
+        self.count, self.p = {1: self.known}, {1: (self.known + 1) / base}
+        short, which = grams.short()
+        bits = [np.unpackbits(np.frombuffer(zstandard.decompress(a), np.uint8)) for a in of.get(0, [])]
+        cuts = _cut(_bucket_of(short, SHORT_BITS, buckets), buckets)
+        some = np.concatenate([np.zeros(0, np.uint8), *[x[: b - a] for x, (_, a, b) in zip(bits, cuts)]])
+        sizes = [len(grams.keys[n]) for n in range(2, DEPTH + 2)]
+        self.may = dict(zip(range(2, DEPTH + 2), np.split(some[which] > 0, np.cumsum(sizes)[:-1])))
+        for n in range(1, upto + 1):
+            self._learn(n, [zstandard.decompress(a) for a in of.get(n, [])])
+
+    def asked(self, n):
+        context = self.grams.context[n + 1]
+        live = self.count[n][context] >= self.least
+        contexts = np.unique(context[live])
+        chosen = np.flatnonzero(live & self.may[n + 1])
+        chosen = chosen[np.argsort(context[chosen], kind="stable")]
+        return contexts, chosen, np.searchsorted(contexts, context[chosen])
+
+    def pieces(self, block, n):
+        contexts, chosen, owner = self.asked(n)
+        keys, grams = self.grams.keys[n][contexts], self.grams
+        given = self.p[n][grams.suffix[n + 1][chosen]]
+        counts, whole = grams.counts[n + 1][chosen].astype(np.int32), self.count[n][contexts]
+        rows = []
+        for k, a, b in _cut(_bucket_of(keys, 64, self.buckets), self.buckets):
+            c, d = np.searchsorted(owner, [a, b])
+            data = _pack(_planes(keys[a:b]), whole[a:b], grams.keys[n + 1][chosen[c:d]], given[c:d],
+                         (owner[c:d] - a).astype(np.int32), counts[c:d])
+            rows.append((k, block, b - a, d - c, data))
+        return pd.DataFrame(rows, columns=["bucket", "block", "size", "entries", "data"])
+
+    def _learn(self, n, found):
+        contexts, chosen, owner = self.asked(n)
+        rests = np.full(len(self.count[n]), np.nan)
+        count = np.zeros(len(self.may[n + 1]), np.int64)
+        cuts = _cut(_bucket_of(self.grams.keys[n][contexts], 64, self.buckets), self.buckets)
+        for data, (_, a, b) in zip(found, cuts, strict=True):
+            c, d = np.searchsorted(owner, [a, b])
+            rests[contexts[a:b]] = np.frombuffer(data, np.float64, b - a)
+            count[chosen[c:d]] = np.frombuffer(data, np.int64, d - c, 8 * (b - a))
+        context = self.grams.context[n + 1]
+        above, rest = self.p[n][self.grams.suffix[n + 1]], rests[context]
+        own = (count - DISCOUNT) / np.maximum(1, self.count[n][context])
+        self.count[n + 1] = count
+        self.p[n + 1] = np.where(np.isnan(rest), above, np.where(count >= self.least, own, rest * above))
+
+
+def _decided(n, least):
+    """Function of a bucket: states among its contexts of ``n`` tokens, answered to all blocks."""
+    def meet(group):
+        keys, whole, gram, given, owner, counts, at = [], [], [], [], [], [], 0
+        for size, entries, data in zip(group["size"], group["entries"], group["data"]):
+            data = zstandard.decompress(data)
+            keys.append(_keys(data, size))
+            whole.append(np.frombuffer(data, np.int64, size, 8 * size))
+            gram.append(np.frombuffer(data, np.uint64, entries, 16 * size))
+            given.append(np.frombuffer(data, np.float64, entries, 16 * size + 8 * entries))
+            owner.append(np.frombuffer(data, np.int32, entries, 16 * size + 16 * entries) + at)
+            counts.append(np.frombuffer(data, np.int32, entries, 16 * size + 20 * entries))
+            at += size
+        cuts, sent = np.cumsum(group["size"].to_numpy())[:-1], np.cumsum(group["entries"].to_numpy())[:-1]
+        keys, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        whole = np.concatenate(whole)[first]
+        _, first, number = np.unique(np.concatenate(gram), return_index=True, return_inverse=True)
+        count = np.bincount(number, np.concatenate(counts), len(first)).astype(np.int64)
+        kept = count >= least
+        owner, given = which[np.concatenate(owner)[first][kept]], np.concatenate(given)[first][kept]
+        own = count[kept] / whole[owner]
+
+        def total(values):
+            return np.bincount(owner, values, len(keys))
+
+        nexts = np.bincount(owner, minlength=len(keys))
+        rest, other = np.maximum(0.0, 1 - total(own)), np.maximum(1e-12, 1 - total(given))
+        gain = total(own * np.log(own / given)) + rest * np.log(np.where(rest > 0, rest, 1) / other)
+        state = (nexts > 0) & (gain >= DIVERGENCE) & (gain * whole >= 2 * nexts + 5)
+        left = (1 - total(own - DISCOUNT / whole[owner])) / other
+        rests = np.split(np.where(state, left, np.nan)[which], cuts)
+        return pd.DataFrame({
+            "block": group["block"], "phase": n, "bucket": group["bucket"],
+            "answer": [_pack(r, c) for r, c in zip(rests, np.split(count[number], sent))]})
+
+    return meet
+
+
+def _with_model(blocks, replies, upto, base, least, buckets, function, schema):
+    """``function(row, tokens, model)`` for every block; states up to ``upto`` tokens are known."""
+    def join(row, found):
+        if not len(row):
+            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+        row = row.iloc[0]
+        tokens = Tokens(row)
+        return function(row, tokens, Model(Grams(tokens), found, upto, base, least, buckets))
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(join, schema)
 
 
 def train(blocks):
-    """(replies with every block's word counts, training tokens, distinct words, tree)."""
-    sent = _word_rows(blocks, bucket_count(blocks))
-    replies = stored(answers(sent, _summed, np.int64, tally="kinds"), "words")
-    buckets = replies.groupBy("bucket").agg(F.first("kinds").alias("kinds"))
-    kinds = buckets.agg(F.sum("kinds")).first()[0] or 0
+    """(all replies to the blocks, training tokens, base of the root, least count, buckets)."""
+    word_buckets = bucket_count(blocks)
+    words = stored(answers(_word_rows(blocks, word_buckets), _summed, np.int64, tally="kinds"), "words")
+    kinds = words.groupBy("bucket").agg(F.first("kinds").alias("kinds")).agg(F.sum("kinds")).first()[0] or 0
     sizes = blocks.select("ids", "counts").mapInPandas(_train_sizes, "n long")
     tokens = sizes.agg(F.sum("n")).first()[0] or 0
-    return replies, tokens, kinds, SuffixTree(frequent_sequences(blocks, tokens), tokens, kinds)
+    base, least, buckets = tokens + kinds + 1, max(LEAST, P_MIN * tokens), 4 * word_buckets
+    replies = words.select("block", F.lit(-1).alias("phase"), "bucket", "answer")
+    replies = replies.unionAll(stored(_often(blocks, buckets, least), "often"))
+    for n in range(1, DEPTH + 1):
+        def ask(row, tokens, model, n=n):
+            return model.pieces(row["block"], n)
+
+        sent = _with_model(blocks, replies, n - 1, base, least, buckets, ask, _ASKED)
+        replies = replies.unionAll(stored(
+            sent.groupBy("bucket").applyInPandas(_decided(n, least), _REPLY), f"states-{n}"))
+    return replies, tokens, base, least, buckets
 
 
 def _train_sizes(batches):
@@ -299,20 +329,18 @@ def _train_sizes(batches):
 
 def score_texts(docs, doc_id="doc_id", text="text"):
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    blocks = make_blocks(docs, doc_id, text, lower=True)
-    replies, train_tokens, kinds, tree = train(blocks)
+    blocks = make_blocks(docs, doc_id, text, lower=True, block_words=RUN_TOKENS)
+    replies, train_tokens, base, least, buckets = train(blocks)
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
 
-    def score(number, row, answer):
-        if number is None:
-            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
-        t = Tokens(row)
-        counts = np.empty(len(t.distinct), np.int64)
-        counts[np.argsort(t.distinct)] = np.frombuffer(answer, np.int64)
-        known = counts[t.number]
-        root = np.log10((known + 1) / (train_tokens + kinds + 1))
-        scores = tree.scores(t.sequences(), t.place, root)
+    def score(row, t, model):
+        number = model.grams.number
+        known, root = model.known[number[1]], np.log10(model.p[1])[number[1]]
+        scores, length = root.copy(), np.minimum(t.place, DEPTH) + 1
+        for n in range(2, DEPTH + 2):
+            at = np.flatnonzero(length == n)
+            scores[at] = np.log10(model.p[n])[number[n][at]]
         size = len(t.ids)
         ids = pd.array(t.ids, "Int64")
         ids[t.ids == NO_ID] = pd.NA
@@ -322,7 +350,7 @@ def score_texts(docs, doc_id="doc_id", text="text"):
             "train_tokens": train_tokens, "base_score": np.bincount(t.owner, root, size),
             "score": np.bincount(t.owner, scores, size)})
 
-    return with_answers(blocks, replies.drop("kinds"), score, schema)
+    return _with_model(blocks, replies, DEPTH, base, least, buckets, score, schema)
 
 
 def op1_suffix_tree(spark, sf_dir):

@@ -120,3 +120,15 @@ def test_odd_rows_and_empty_tables(spark, tmp_path, odd_docs, no_docs):
     only = only.selectExpr(f"{number} doc_id", "text")
     folder = save_tables(tmp_path / "c", documents=only)
     same(QUERIES["op1_suffix_tree"](spark, folder), brute([(r.doc_id, r.text) for r in only.collect()]))
+
+
+def test_a_phrase_counts_the_same_in_a_larger_corpus(spark):
+    phrase = "quartz vellum ostrich"
+    filler = [(i, " ".join(f"w{i}x{k}" for k in range(3_000))) for i in range(20, 120)]
+    docs = [(i, f"{phrase} n{i}") for i in range(12)] + filler
+    want = brute(docs)
+    assert want[0][4] * 2e-5 > 5
+    same(S.score_texts(spark.createDataFrame(docs[:5] + filler, "doc_id long, text string").repartition(4)),
+         brute(docs[:5] + filler))
+    low, high = next(r[5:] for r in brute(docs[:5] + filler) if r[0] == 1)
+    assert high > low + 5
