@@ -26,6 +26,7 @@ from pyspark.sql.types import LongType
 
 from logkeep.llm.bitnodes import NODE_ROWS, cut_width, deal, grouped
 from logkeep.llm.components import components
+from logkeep.llm.similar import similar_roots
 from logkeep.llm.texts import as_bytes, bit_sums, hash64, lower_words, pack_rows
 from logkeep.session import stored
 
@@ -159,13 +160,27 @@ def near_groups(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NOD
     return rows.join(least, "root").select("doc_id", "code", "component_id")
 
 
-def keep_one(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS):
+def similar_rooted(docs, doc_id, text, size, similarity):
+    """(doc_id, hash, root) of every row, joined by the Jaccard of their shingle sets."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    roots = stored(similar_roots(rows.select("hash", "text"), size, similarity), "roots")
+    return rows.join(roots, rows["hash"] == roots["node"], "left").select(
+        "doc_id", "hash", F.coalesce("root", "hash").alias("root"))
+
+
+def keep_one(docs, doc_id="doc_id", text="text", radius=RADIUS, node_rows=NODE_ROWS,
+             size=SHINGLE, similarity=None):
     """One row of ``docs`` for each group: that of the smallest id, then text hash.
 
-    Null ids come after all others. Rows alike in id and text count as one.
+    Groups are those of ``near_groups``, or with ``similarity``, those of texts whose sets of
+    ``size`` words have at least that Jaccard similarity. Null ids come after all others. Rows
+    alike in id and text count as one.
     """
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    kept = rooted(docs, doc_id, text, radius, node_rows).groupBy("root").agg(F.min(first).alias("k"))
+    rows = (rooted(docs, doc_id, text, radius, node_rows) if similarity is None
+            else similar_rooted(docs, doc_id, text, size, similarity))
+    kept = rows.groupBy("root").agg(F.min(first).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                        docs[doc_id].alias("doc_id"),
