@@ -10,9 +10,9 @@ NODE_ROWS = 20_000
 
 
 def parts_of(bits, pieces):
-    """Bit places in ``pieces`` lists of about equal length."""
-    step = -(-len(bits) // pieces)
-    return [bits[i : i + step] for i in range(0, len(bits), step)]
+    """Bit places in exactly ``pieces`` lists whose lengths differ by one at most."""
+    cuts = [len(bits) * i // pieces for i in range(pieces + 1)]
+    return [bits[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def cut_width(count):

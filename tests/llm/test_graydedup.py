@@ -103,3 +103,13 @@ def test_odd_rows_and_empty_table(spark, tmp_path, odd_docs, no_docs):
 def test_shingles_agree_with_spark_hash(spark):
     df = spark.createDataFrame([("ab cd ef",)], "t string").select(F.xxhash64("t").alias("h"))
     assert df.first().h == int(G.hash64([b"ab cd ef"]).view(np.int64)[0])
+
+
+def test_a_radius_that_does_not_divide_the_bits(spark):
+    far = [0x0123456789ABCDEF, 0x0123456789ABCDEF ^ 0x0101010101010101]
+    df = spark.createDataFrame([(c,) for c in far], "code long")
+    assert {tuple(sorted(r)) for r in G.near_edges(df, radius=8).collect()} == {tuple(sorted(far))}
+    assert G.near_edges(df, radius=7).count() == 0
+    for n in range(9, 65):
+        sizes = [len(p) for p in G.deal.__globals__["parts_of"](list(range(n)), 9)]
+        assert len(sizes) == 9 and sum(sizes) == n and max(sizes) - min(sizes) <= 1
