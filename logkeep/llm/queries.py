@@ -2,8 +2,8 @@
 
 import corpus_pipeline
 from logkeep.llm import (
-    bpe, credentials, decontamination, fingerprints, graydedup, pii, quality, recompression, simple8b,
-    suffixtree)
+    bpe, credentials, decontamination, fingerprints, graydedup, langprofiles, pii, quality, recompression,
+    simple8b, suffixtree)
 
 QUERIES = {}
 ORACLES = {}
@@ -28,6 +28,7 @@ for _query in (
     fingerprints.op7_fingerprints,
     bpe.op9_bpe,
     quality.op10_quality,
+    langprofiles.op11_language_profiles,
 ):
     _register(_query.__name__, _query)
 _register("op6_repeated_passages", recompression.op6_repeated_passages, recompression.SQL)
