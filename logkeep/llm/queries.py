@@ -2,8 +2,8 @@
 
 import corpus_pipeline
 from logkeep.llm import (
-    bpe, credentials, decontamination, fingerprints, graydedup, langprofiles, pii, quality, recompression,
-    simple8b, suffixtree)
+    bpe, credentials, decontamination, divergence, fingerprints, graydedup, langprofiles, merkle, pii,
+    quality, recompression, simple8b, suffixtree)
 
 QUERIES = {}
 ORACLES = {}
@@ -33,4 +33,6 @@ for _query in (
     _register(_query.__name__, _query)
 _register("op6_repeated_passages", recompression.op6_repeated_passages, recompression.SQL)
 _register("op8_decontamination", decontamination.op8_decontamination, decontamination.SQL)
+_register("op12_source_divergence", divergence.op12_source_divergence, divergence.SQL)
+_register("op13_merkle_manifest", merkle.op13_merkle_manifest, merkle.SQL)
 _register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
