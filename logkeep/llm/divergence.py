@@ -2,10 +2,10 @@
 
 Every task numbers the terms of its documents and writes one row for each language and term:
 a 64-bit digest, the text, the number of documents, and the occurrences in each source.
-That table stays where it is written. What is shuffled from it is digests and numbers: first
-document counts, which decide the kept terms of each language, then the occurrences of kept
-terms only. The texts of kept digests are read from the table where they lie; the least and
-the greatest text of a digest tell whether several terms share it. Such a digest is split: its
+That table stays where it is written. What is shuffled from it is keyed by digests: document
+counts with the least and the greatest text of each digest, which give the kept digests of each
+language and tell whether several terms share one, and occurrences by source, without texts.
+A shared digest is split: its
 terms are counted again, told apart by their rank among the digest's texts, and those that are
 too rare on their own are dropped. A term that is kept always has a kept digest, so no other
 digest needs the check. The result's terms get their text at the very end.
@@ -128,34 +128,41 @@ def kept_terms(parts, min_docs=MIN_DOCS):
     """Stored (lang, digest, ord, term): terms in at least ``min_docs`` of their language's
     documents. ``ord`` tells the terms of one digest apart; it is 0 where the digest has one term.
     """
-    often = stored(parts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(
-        F.col("docs") >= min_docs).select("lang", "digest"), "often")
-    texts = join_small(parts.select("lang", "digest", "term", "docs"), often, ["lang", "digest"], "term")
-    span = stored(texts.groupBy("lang", "digest").agg(
-        F.min("term").alias("least"), F.max("term").alias("term")), "spans")
+    span = stored(parts.groupBy("lang", "digest").agg(
+        F.sum("docs").alias("docs"), F.min("term").alias("least"), F.max("term").alias("term")).where(
+        F.col("docs") >= min_docs), "spans")
     single = span.where("least = term").select("lang", "digest", F.lit(0).alias("ord"), "term")
     shared = span.where("least <> term").select("lang", "digest")
     if shared.isEmpty():
         return single
     # digests of several terms: exact counts of each
-    own = join_small(texts, shared, ["lang", "digest"], "term").groupBy("lang", "digest", "term").agg(
-        F.sum("docs").alias("docs"))
+    own = join_small(parts.select("lang", "digest", "term", "docs"), shared, ["lang", "digest"], "term")
+    own = own.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs"))
     rank = F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term"))
     split = own.withColumn("ord", rank).where(F.col("docs") >= min_docs)
     return stored(single.unionByName(split.select("lang", "digest", "ord", "term")), "kept")
 
 
 def kept_counts(parts, kept):
-    """Stored (lang, digest, ord, source, n) of the kept terms' occurrences."""
+    """Stored (lang, digest, ord, source, n) of the kept terms' occurrences.
+
+    Digests are counted before the kept ones are picked: most rows of the tasks belong to kept
+    terms, so picking first would move as much and join many times the rows.
+    """
+    def added(rows, *more):
+        each = rows.select("lang", "digest", *more, F.explode("spread").alias("s"))
+        return each.select("lang", "digest", *more, "s.source", "s.n").groupBy(
+            "lang", "digest", *more, "source").agg(F.sum("n").alias("n"))
+
+    columns = [*_ID, "source", "n"]
     plain = kept.where("ord = 0").select(*_ID)
-    found = join_small(parts.select("lang", "digest", "spread"), plain, ["lang", "digest"], "spread")
+    found = join_small(added(parts), plain, ["lang", "digest"], "source").select(*columns)
     split = kept.where("ord > 0")
     if not split.isEmpty():
-        again = join_small(parts.select("lang", "digest", "term", "spread"), split,
-                           ["lang", "digest", "term"], "spread")
-        found = found.unionByName(again.select("lang", "digest", "spread", "ord"))
-    each = found.select(*_ID, F.explode("spread").alias("s")).select(*_ID, "s.source", "s.n")
-    return stored(each.groupBy(*_ID, "source").agg(F.sum("n").alias("n")), "counts")
+        own = join_small(parts.select("lang", "digest", "term", "spread"), split.select("lang", "digest", "term", "ord"),
+                         ["lang", "digest", "term"], "spread")
+        found = found.unionByName(added(own, "ord").select(*columns))
+    return stored(found, "counts")
 
 
 def share(count, total):
