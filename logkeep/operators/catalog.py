@@ -29,6 +29,16 @@ def state_of(job_events, job_id):
     return latest_state(job_events.where(F.col("job_id") == job_id))
 
 
+def with_liveness(states, moment, lease_seconds=300):
+    """Running jobs without an event or heartbeat since ``lease_seconds`` before ``moment`` as Failed.
+
+    A heartbeat is an event with the number of the one that it repeats, at a later time.
+    """
+    silent = F.unix_seconds(F.lit(moment).cast("timestamp")) - F.unix_seconds("ts") > lease_seconds
+    lost = (F.col("phase") == "Running") & silent
+    return states.withColumn("phase", F.when(lost, "Failed").otherwise(F.col("phase")))
+
+
 def list_jobs(states, kind, phase=None, source_id=None, storage_id=None,
               backup_id=None, target_id=None, created_from=None, created_to=None):
     """Job states of one kind; unset filters are skipped."""

@@ -21,8 +21,23 @@ SLICE_ROWS = 1 << 18
 KEYS = ["topic", "partition"]
 
 
+#: Stands for the time of a message that must not close a segment; marks the end of a chain.
+_NEVER, _END = -(1 << 62), -2
+
+
 def segment_starts(log, size, wait_us, slice_rows=None, width=BUCKET_ROWS):
     """(topic, partition, segment, offset) of each segment's first message."""
+    return walk(log, size, wait_us, None, slice_rows, width)[0]
+
+
+def walk(log, size, wait_us, state=None, slice_rows=None, width=BUCKET_ROWS):
+    """Segment starts in ``log`` after ``state``, and the state after it.
+
+    A state has, for each topic-partition, the number of the ``segment`` that is open or comes
+    next, the messages it has so far (``open``), the time of the last message before it
+    (``flushed_us``) and the ``last_offset``. Of earlier messages nothing else is needed: those
+    open stand in the first slice as places that never close a segment.
+    """
     slice_rows = max(slice_rows or SLICE_ROWS, 2 * size)
     narrow = log.select(*KEYS, "offset", F.unix_micros("timestamp").alias("at"))
     numbered = stored(number_within(narrow, KEYS, ["offset"], "row", width))
@@ -40,25 +55,58 @@ def segment_starts(log, size, wait_us, slice_rows=None, width=BUCKET_ROWS):
     def emit_starts(table, entry):
         return _emit_starts(table, entry, size, wait_us, slice_rows)
 
+    if state is not None:
+        state = state.join(numbered.select(*KEYS).distinct(), KEYS, "left_semi")
+        sliced = sliced.unionByName(_open_places(state))
     maps = sliced.groupBy(*group).applyInArrow(
         reduce_slice,
         "topic string, partition int, slice bigint, open array<bigint>, "
         "left array<bigint>, slope array<bigint>, closed array<bigint>",
     )
-    entries = (
+    if state is not None:
+        maps = maps.unionByName(state.select(
+            *KEYS, F.lit(-1).cast("bigint").alias("slice"), *[
+                F.array(F.col(c) if c else F.lit(0).cast("bigint")).alias(name)
+                for name, c in (("open", None), ("left", "open"), ("slope", None), ("closed", "segment"))]))
+    entries = stored(
         maps.repartition(*KEYS)
         .sortWithinPartitions(*group)
         .mapInArrow(
             _chain, "topic string, partition int, slice bigint, open bigint, segment bigint"
         )
     )
-    return (
+    starts = (
         sliced.groupBy(*group)
         .cogroup(entries.groupBy(*group))
         .applyInArrow(
             emit_starts, "topic string, partition int, segment bigint, offset bigint"
         )
     )
+    return starts, _state_after(numbered, entries, state)
+
+
+def _open_places(state):
+    """Rows before the first one: the last message of the segment before, and the open ones."""
+    place = F.explode(F.sequence(-F.col("open") - 1, F.lit(-1).cast("bigint")))
+    first = F.col("row") == -F.col("open") - 1
+    return state.withColumn("row", place).select(
+        *KEYS, F.col("row").alias("offset"),
+        F.when(first, F.col("flushed_us")).otherwise(F.lit(_NEVER)).alias("at"), "row",
+        F.lit(0).cast("bigint").alias("slice"))
+
+
+def _state_after(numbered, entries, state):
+    """State at the end of the chain; the last flush is the message before the open ones."""
+    ends = entries.where(F.col("slice") == _END).select(*KEYS, "segment", "open")
+    seen = numbered.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("offset").alias("last_offset"), F.min_by("at", "row").alias("_first"))
+    ends = ends.join(seen, KEYS).withColumn("row", F.col("_n") - F.col("open") - 1)
+    ends = ends.join(numbered.select(*KEYS, "row", "at"), [*KEYS, "row"], "left")
+    before = F.col("_first")
+    if state is not None:
+        ends = ends.join(state.select(*KEYS, "flushed_us"), KEYS, "left")
+        before = F.coalesce("flushed_us", "_first")
+    return ends.select(*KEYS, "segment", "open", F.coalesce("at", before).alias("flushed_us"), "last_offset")
 
 
 def _slice_arrays(table, slice_rows):
@@ -156,29 +204,36 @@ def _encode(x, left, closed):
     return x[heads], left[heads], slope, closed[heads]
 
 
+_ENTRY_TYPE = pa.schema(
+    [("topic", pa.string()), ("partition", pa.int32()), ("slice", pa.int64()),
+     ("open", pa.int64()), ("segment", pa.int64())]
+)
+
+
 def _chain(batches):
-    """Carry (open rows, segments closed) from slice to slice of a partition."""
+    """Carry (open rows, segments closed) from slice to slice of a partition, and to its end."""
     current, open_rows, segment = None, 0, 0
     for batch in batches:
-        out = {"topic": [], "partition": [], "slice": [], "open": [], "segment": []}
+        out = []
         for row in batch.to_pylist():
             if (row["topic"], row["partition"]) != current:
+                if current is not None:
+                    out.append((*current, _END, open_rows, segment))
                 current, open_rows, segment = (row["topic"], row["partition"]), 0, 0
-            for name, value in (("topic", row["topic"]), ("partition", row["partition"]),
-                                ("slice", row["slice"]), ("open", open_rows),
-                                ("segment", segment)):
-                out[name].append(value)
+            out.append((*current, row["slice"], open_rows, segment))
             run = int(np.searchsorted(row["open"], open_rows, side="right")) - 1
             shift = open_rows - row["open"][run]
             open_rows = row["left"][run] + row["slope"][run] * shift
             segment += row["closed"][run]
-        yield pa.RecordBatch.from_pydict(
-            out,
-            schema=pa.schema(
-                [("topic", pa.string()), ("partition", pa.int32()), ("slice", pa.int64()),
-                 ("open", pa.int64()), ("segment", pa.int64())]
-            ),
-        )
+        yield _entries(out)
+    if current is not None:
+        yield _entries([(*current, _END, open_rows, segment)])
+
+
+def _entries(rows):
+    columns = list(zip(*rows)) or [[]] * len(_ENTRY_TYPE)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, _ENTRY_TYPE)], schema=_ENTRY_TYPE)
 
 
 def _emit_starts(table, entry, size, wait_us, slice_rows):

@@ -80,8 +80,12 @@ def topic_progress(planned, facts):
 
 
 def error_rows(failures):
-    """``Worker <n> - <location>: <error>`` for each failure, one row each."""
-    location = F.concat(F.col("topic"), F.lit("-partition-"), F.col("partition").cast("string"))
+    """``Worker <n> - <location>: <error>`` for each failure, one row each.
+
+    A failure of the whole job names no topic; its location is ``job``.
+    """
+    location = F.coalesce(
+        F.concat(F.col("topic"), F.lit("-partition-"), F.col("partition").cast("string")), F.lit("job"))
     return failures.withColumn(
         "message",
         F.concat(

@@ -9,11 +9,11 @@ from logkeep.operators import segments, topics
 from logkeep.operators.manifests import topic_manifest
 from logkeep.session import input_bytes, landed, sized_shuffles, stored
 from logkeep.sinks import archive as sink
-from logkeep.sinks import catalog
+from logkeep.sinks import catalog, facts
+from logkeep.sinks.segmentfiles import RESULT as OBJECT_RESULT
 from logkeep.sinks.segmentfiles import topic_metadata_objects, write_objects, write_texts
 from logkeep.sources import segmentfiles
-from logkeep.sources.archive import read_segments, read_topics
-from logkeep.sources.storage import list_segments
+from logkeep.sources.storage import list_segments, use_storage
 
 
 def segmented(log, job):
@@ -27,16 +27,22 @@ def segmented(log, job):
 
 
 def run_backup(log, job, topic_facts=None, timestamp=None):
-    """Write rows, segment manifest, topics and the catalog entry.
+    """Write rows, segment manifest, topics and the catalog entry as a new snapshot.
 
     Rows segmented by count or interval already sit per offset range, so the
-    writer moves them only when segmenting did not.
+    writer moves them only when segmenting did not. An earlier backup of the same id stays
+    restorable until the new one is whole; then it is replaced and removed. One fact for each
+    file or object, from the task that wrote it, is added to the job's facts.
     """
     spark = log.sparkSession
+    use_storage(spark, job.storage)
     catalog.begin(spark, job.root, job.backup_id, "backup", backup_id=job.backup_id)
+    started = dt.datetime.now(dt.timezone.utc)
     try:
-        totals = _write(spark, log, job, topic_facts, timestamp)
+        with catalog.beating(spark, job.root, job.backup_id):
+            totals = _write(spark, log, job, topic_facts, timestamp, started)
     except Exception as error:
+        facts.record_failure(spark, job.root, job.backup_id, "put", error, started)
         catalog.record(spark, job.root, job.backup_id, "backup", "Failed",
                        backup_id=job.backup_id, error=str(error))
         raise
@@ -44,37 +50,53 @@ def run_backup(log, job, topic_facts=None, timestamp=None):
     return totals
 
 
-def _write(spark, log, job, topic_facts, timestamp):
+def _write(spark, log, job, topic_facts, timestamp, started):
+    base, _ = sink.base_of(spark, job.root, job.backup_id)
+    snapshot = sink.new_snapshot()
+    # Objects keep their plain keys unless an earlier run's may still be needed under them.
+    prefix = f"runs/backup_id={job.backup_id}/{snapshot}" if job.layout == "objects" and base >= 0 else ""
     # Segmenting scans a log more than once: a source that is no file may grow meanwhile.
     land = job.land or input_bytes(log) is None
     chosen = topics.select_for_backup(log, job.selectors)
+    streams = []
     with landed(chosen) if land else contextlib.nullcontext(log) as log, sized_shuffles(log):
         rows = segmented(log, job)
         if job.layout == "objects":
             # The objects are written by the action that stores their manifest.
-            objects = write_objects(rows, job.root, job.backup_id, job.compression, storage=job.storage)
-            sink.store_manifest(objects, job.root, job.backup_id)
+            objects = write_objects(rows, job.root, job.backup_id, job.compression,
+                                    storage=job.storage, prefix=prefix)
+            sink.store_manifest(objects, job.root, job.backup_id, snapshot)
+            written = facts.of_objects(
+                sink.stored_manifest(spark, job.root, job.backup_id, snapshot, OBJECT_RESULT), job.backup_id)
         else:
-            sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset")
-            sink.write_manifest(spark, job.root, job.backup_id, compressed=job.compression)
-    return describe(spark, job, topic_facts, timestamp)
+            streams = [{"stream": f"run-{snapshot}", "last_batch": None}]
+            sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset",
+                            stream=streams[0]["stream"])
+            files = stored(sink.file_totals(
+                sink.read_batch(spark, job.root, job.backup_id, streams[0]["stream"], 0)), "files")
+            sink.write_manifest(spark, job.root, job.backup_id, snapshot, files, compressed=job.compression)
+            written = facts.of_files(files, job.backup_id, started)
+    facts.write(facts.by_worker(written, job.workers, job.seed), job.root, job.backup_id, snapshot)
+    totals = describe(spark, job, snapshot, topic_facts, timestamp, prefix)
+    sink.commit(spark, job.root, job.backup_id, base, snapshot, job.layout, prefix, streams)
+    return totals
 
 
-def describe(spark, job, topic_facts=None, timestamp=None):
-    """Topics, segment pages and catalog entry of a backup whose manifest is stored."""
-    totals = topic_manifest(
-        read_segments(spark, job.root).where(F.col("backup_id") == job.backup_id)
-    )
-    sink.write_topics(with_facts(totals, topic_facts), job.root, job.backup_id)
-    sink.write_pages(spark, job.root, job.backup_id)
+def describe(spark, job, snapshot, topic_facts=None, timestamp=None, prefix=""):
+    """Topics, segment pages and catalog entry of a snapshot whose manifest is stored."""
+    own = sink.stored_manifest(spark, job.root, job.backup_id, snapshot)
+    totals = topic_manifest(own)
+    sink.write_topics(with_facts(totals, topic_facts), job.root, job.backup_id, snapshot)
+    sink.write_pages(own, job.root, job.backup_id, snapshot)
+    names = totals.select("topic").orderBy("topic").collect()
     if job.layout == "objects":
-        described = read_topics(spark, job.root).where(F.col("backup_id") == job.backup_id)
-        write_texts(topic_metadata_objects(described, job.backup_id), job.root, job.storage).count()
+        described = with_facts(totals, topic_facts)
+        write_texts(topic_metadata_objects(described, job.backup_id, prefix), job.root, job.storage).count()
     moment = timestamp or dt.datetime.now(dt.timezone.utc)
     config = {"batch_size": job.batch_size, "segmentation": job.segmentation,
               "workers": job.workers, "seed": job.seed, **job.config}
-    names = [r.topic for r in totals.select("topic").orderBy("topic").collect()]
-    sink.write_backup_entry(spark, job.root, job.backup_id, moment, job.compression, config, names)
+    sink.write_backup_entry(spark, job.root, job.backup_id, snapshot, moment, job.compression, config,
+                            [r.topic for r in names])
     return totals
 
 
@@ -83,8 +105,10 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
 
     Counts and offsets come from one scan of the objects, sizes from their
     listing; unreadable objects get no entry. They are the result (stored rows), and their
-    number is recorded with the job, whose phase is then Failed.
+    number is recorded with the job, whose phase is then Failed; each is a failed fact.
     """
+    base, _ = sink.base_of(spark, root, backup_id)
+    snapshot, started = sink.new_snapshot(), dt.datetime.now(dt.timezone.utc)
     folder = f"{root}/backups/{backup_id}/topics"
     place = ["topic", "partition", "segment"]
     scanned = segmentfiles.scan(spark, folder)
@@ -102,13 +126,16 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
         )
     )
     compressed = bool(manifest.agg(F.max("compressed")).first()[0])
-    sink.store_manifest(manifest.drop("compressed"), root, backup_id)
+    sink.store_manifest(manifest.drop("compressed"), root, backup_id, snapshot)
     totals = topic_manifest(manifest)
-    sink.write_topics(with_facts(totals, topic_facts), root, backup_id)
-    sink.write_pages(spark, root, backup_id)
+    sink.write_topics(with_facts(totals, topic_facts), root, backup_id, snapshot)
+    sink.write_pages(manifest, root, backup_id, snapshot)
     names = [r.topic for r in totals.select("topic").orderBy("topic").collect()]
-    sink.write_backup_entry(spark, root, backup_id, timestamp, compressed, {"layout": "objects"}, names)
+    sink.write_backup_entry(spark, root, backup_id, snapshot, timestamp, compressed, {"layout": "objects"}, names)
     left_out = stored(segmentfiles.quarantine(scanned), "left-out")
+    read = facts.of_adopted(manifest, left_out, backup_id, started)
+    facts.write(facts.by_worker(read), root, backup_id, snapshot)
+    sink.commit(spark, root, backup_id, base, snapshot, "objects")
     bad = left_out.count()
     about = {"error": f"{bad} unreadable segments left out"} if bad else {}
     catalog.record(spark, root, backup_id, "backup", "Failed" if bad else "Completed",

@@ -58,6 +58,10 @@ class RestoreJob:
     # By default messages that the target holds already are not written again.
     overwrite_existing: bool = False
     layout: str = "archive"
+    storage: Storage | None = None
+    # Replay so many segments of each partition at a time, in order; such a replay can go on
+    # where it was broken off. None replays all at once into files.
+    segments_per_wave: int | None = None
 
     def __post_init__(self):
         if not self.root:
@@ -67,3 +71,5 @@ class RestoreJob:
         _check_layout(self.layout)
         if self.workers < 1:
             raise ValueError(schemas.NO_WORKER)
+        if self.segments_per_wave is not None and self.segments_per_wave < 1:
+            raise ValueError(schemas.NO_BATCH)

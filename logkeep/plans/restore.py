@@ -1,17 +1,23 @@
 """Restore from the archive."""
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from logkeep.functions.messages import row_hash
+from logkeep.functions.messages import message_size, row_hash
 from logkeep.operators import replay, status, topics
 from logkeep.operators.catalog import live_backups
+from logkeep.schemas import LOG_SCHEMA
 from logkeep.session import scratch_path, sized_shuffles, stored
-from logkeep.sinks import catalog
+from logkeep.sinks import catalog, commits
+from logkeep.sinks import facts as job_facts
 from logkeep.sinks.archive import checked_id
 from logkeep.sources import kafka, segmentfiles
-from logkeep.sources.archive import read_archive, read_backups, read_segments, read_topics
+from logkeep.sources.archive import (
+    read_archive, read_backups, read_below, read_segments, read_topics)
 from logkeep.sources.filelog import read_log
+from logkeep.sources.storage import use_storage
 
 
 def chosen_backup(spark, job):
@@ -20,39 +26,49 @@ def chosen_backup(spark, job):
     Deleted backups are not restored. One catalog row reaches the driver. None if there is
     no such backup.
     """
-    backups = live_backups(read_backups(spark, job.root), catalog.read_events(spark, job.root))
-    if job.backup_id:
-        backups = backups.where(F.col("backup_id") == job.backup_id)
+    known = read_backups(spark, job.root, job.backup_id or None)
+    backups = live_backups(known, catalog.read_events(spark, job.root))
     found = replay.latest_backup(backups, job.backup_timestamp if not job.backup_id else None)
     row = found.first()
     return row["backup_id"] if row and row["backup_id"] else None
 
 
+def _wanted(rows, job):
+    return replay.filter_partitions(topics.select_for_restore(rows, job.selectors), job.partition_filter)
+
+
 def _chosen(rows, job):
-    rows = replay.filter_partitions(topics.select_for_restore(rows, job.selectors), job.partition_filter)
-    return replay.rename_topics(rows, job.mapping)
+    return replay.rename_topics(_wanted(rows, job), job.mapping)
+
 
+def open_objects(spark, job, backup_id):
+    """Stored messages and facts of the objects that the manifest names and the job chooses."""
+    named = _wanted(read_segments(spark, job.root, backup_id), job)
+    return segmentfiles.open_named(named, job.root, job.storage)
 
-def chosen_rows(spark, job, backup_id):
+
+def chosen_rows(spark, job, backup_id, opened=None):
     """Archived rows that the job's selectors and partitions choose, with ``target_topic``.
 
-    Topic and partition predicates prune folders.
+    Topic and partition predicates prune folders, or choose the objects that are opened;
+    ``opened`` are objects opened before.
     """
     if job.layout == "objects":
-        rows = segmentfiles.messages(_scan_objects(spark, job, backup_id))
+        rows = segmentfiles.named_messages(open_objects(spark, job, backup_id) if opened is None else opened)
     else:
         rows = read_archive(spark, job.root, backup_id, deduplicate=True)
     return _chosen(rows, job)
 
 
-def restored_rows(spark, job, target=None):
+def restored_rows(spark, job, target=None, opened=None):
     """Rows to replay. ``target`` is the log of the target, whose messages are not repeated
     unless the job overwrites; without it the target is empty.
     """
+    use_storage(spark, job.storage)
     backup_id = chosen_backup(spark, job)
     if backup_id is None:
         raise LookupError(f"no backup for restore {job.restore_id}")
-    rows = chosen_rows(spark, job, backup_id)
+    rows = chosen_rows(spark, job, backup_id, opened)
     if job.backup_timestamp is not None:
         rows = replay.up_to(rows, job.backup_timestamp)
     if target is not None and not job.overwrite_existing:
@@ -60,19 +76,8 @@ def restored_rows(spark, job, target=None):
     return rows
 
 
-def unreadable_objects(spark, job, backup_id):
-    return segmentfiles.quarantine(_scan_objects(spark, job, backup_id))
-
-
-def _scan_objects(spark, job, backup_id):
-    """Objects of the chosen topics, named by the manifest; nothing is listed.
-
-    Topics are folders, so only their names reach the driver.
-    """
-    known = read_topics(spark, job.root).where(F.col("backup_id") == backup_id)
-    chosen = topics.select_for_restore(known.withColumnRenamed("name", "topic"), job.selectors)
-    names = [r.topic for r in chosen.select("topic").distinct().collect()]
-    return segmentfiles.scan(spark, segmentfiles.topic_folders(job.root, backup_id, names))
+def unreadable_objects(spark, job, backup_id, opened=None):
+    return segmentfiles.named_quarantine(open_objects(spark, job, backup_id) if opened is None else opened)
 
 
 def restore_folder(path, restore_id):
@@ -86,47 +91,126 @@ def restore_to_files(rows, path, total_order=False, restore_id="files"):
     replaces that folder; rows of the target and of other restores stay.
     """
     ordered = replay.in_total_order(rows) if total_order else replay.in_replay_order(rows)
+    _write_files(ordered, restore_folder(path, restore_id))
+
+
+def _write_files(ordered, folder):
     ordered.select(
         F.col("target_topic").alias("topic"), "partition", "offset", "key", "value",
         "timestamp", "headers",
-    ).write.mode("overwrite").parquet(restore_folder(path, restore_id))
+    ).write.mode("overwrite").parquet(folder)
+
 
+def replay_in_waves(spark, root, restore_id, rows, write, segments_per_wave, start=None):
+    """Replay waves of consecutive segments one after another, ``write(rows, wave)`` each.
 
-def _check(rows, topic):
+    The rows are stored once, a folder for each wave, and a journal in the archive's catalog
+    notes every finished wave. A replay that was broken off goes on behind the last finished
+    one when it is started again under its id, with the rows stored then. ``start`` is called
+    before the first wave of a new replay only.
+    """
+    folder = f"{root}/catalog/replays/restore_id={checked_id(restore_id)}"
+    _, last = commits.newest(spark, folder)
+    if last is None or last["finished"] or not commits.children(spark, last["path"]):
+        if start is not None:
+            start()
+        wave = F.expr(f"segment div {int(segments_per_wave)}").alias("wave")
+        path = scratch_path(spark, "waves")
+        rows.select("*", wave).write.partitionBy("wave").parquet(path)
+        last = {"path": path, "done": -1, "finished": False}
+        commits.append(spark, folder, lambda number, record: last)
+    laid = spark.read.schema(f"{_ddl(rows)}, wave bigint").parquet(last["path"])
+    waves = [r.wave for r in laid.select("wave").distinct().orderBy("wave").collect()]
+    for number in (w for w in waves if w > last["done"]):
+        write(laid.where(F.col("wave") == number).drop("wave"), number)
+        commits.append(spark, folder, lambda _, record: {**record, "done": number})
+    commits.append(spark, folder, lambda _, record: {**record, "finished": True})
+    commits.delete(spark, last["path"])
+
+
+def restore_to_files_in_waves(spark, root, rows, path, restore_id, segments_per_wave):
+    """Replay into files wave by wave; every wave has its folder, which a repeat replaces."""
+    home = restore_folder(path, restore_id)
+
+    def write(wave_rows, number):
+        _write_files(replay.in_replay_order(wave_rows), f"{home}/wave-{number:09d}")
+
+    replay_in_waves(spark, root, restore_id, rows, write, segments_per_wave,
+                    start=lambda: commits.delete(spark, home))
+
+
+def _check(rows, topic, *by):
     """Messages and order-free hash of each partition of ``topic``."""
-    return rows.groupBy(F.col(topic).alias("topic"), "partition").agg(
+    return rows.groupBy(F.col(topic).alias("topic"), "partition", *by).agg(
         F.count(F.lit(1)).alias("messages"),
         F.bit_xor(row_hash(F.col(topic))).alias("hash"),
+        F.sum(message_size()).alias("bytes"),
     )
 
 
-def progress(spark, job, backup_id, planned, path):
-    """Planned and restored partitions and messages of each target topic.
+def restored_files(spark, path, restore_id):
+    """Stored totals of each topic-partition in each file of a restore's folder."""
+    rows = read_below(spark, LOG_SCHEMA, restore_folder(path, restore_id), recursiveFileLookup="true")
+    if "_metadata" not in rows.columns and rows.isEmpty():
+        rows = rows.withColumn("_metadata", F.struct(
+            F.lit("").alias("file_path"), F.lit(None).cast("timestamp").alias("file_modification_time")))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("closed_at"))
+    return stored(_check(rows, "topic", *place), "restored")
 
-    ``planned`` are the rows to restore. A partition is done when the backup still holds the
-    messages its manifest names, and the restored folder as many as planned, with the same
-    hash of all their fields.
+
+def partition_outcomes(spark, job, backup_id, planned, files, opened=None):
+    """Expected and restored messages of each target partition, and whether it is complete.
+
+    ``planned`` are the rows to restore, ``files`` the totals of what was written. A partition
+    is complete when the backup still holds the messages its manifest names, and the restored
+    folder as many as planned, with the same hash of all their fields.
     """
     place = ["topic", "partition"]
-    named = read_segments(spark, job.root).where(F.col("backup_id") == backup_id)
     target = F.col("target_topic").alias("topic")
-    named = _chosen(named, job).groupBy(target, "partition").agg(F.sum("message_count").alias("_named"))
-    held = chosen_rows(spark, job, backup_id).groupBy(target, "partition").agg(
+    named = _chosen(read_segments(spark, job.root, backup_id), job).groupBy(target, "partition").agg(
+        F.sum("message_count").alias("_named"))
+    held = chosen_rows(spark, job, backup_id, opened).groupBy(target, "partition").agg(
         F.count(F.lit(1)).alias("_held"))
-    wanted = _check(planned, "target_topic").withColumnsRenamed({"messages": "_expected", "hash": "_hash"})
-    found = _check(read_log(spark, restore_folder(path, job.restore_id)), "topic")
+    wanted = _check(planned, "target_topic").select(
+        *place, F.col("messages").alias("_expected"), F.col("hash").alias("_hash"))
+    found = files.groupBy(*place).agg(F.sum("messages").alias("messages"), F.bit_xor("hash").alias("hash"))
     none = F.lit(0).cast("long")
-    complete = (F.col("_named") == F.coalesce("_held", none)) & F.col("hash").eqNullSafe(F.col("_hash")) & (
-        F.coalesce("messages", none) == F.coalesce("_expected", none))
-    joined = named.join(held, place, "left").join(wanted, place, "left").join(found, place, "left")
-    facts = joined.select(
-        F.lit(job.restore_id).alias("job_id"), "topic", "partition",
-        F.coalesce("messages", F.lit(0)).alias("messages"),
-        F.when(complete, "ok").otherwise("failed").alias("status"),
-    )
+    joined = named.join(held, place, "left").join(wanted, place, "left").join(found, place, "left").select(
+        *place, "_hash", "hash", *[F.coalesce(c, none).alias(c) for c in ("_named", "_held", "_expected", "messages")])
+    whole = F.col("_named") == F.col("_held")
+    same = F.col("hash").eqNullSafe(F.col("_hash")) & (F.col("messages") == F.col("_expected"))
+    error = F.when(~whole, F.concat(F.lit("backup holds "), F.col("_held"), F.lit(" of "), F.col("_named"),
+                                    F.lit(" messages"))).when(
+        ~same, F.concat(F.lit("restored "), F.col("messages"), F.lit(" of "), F.col("_expected"), F.lit(" messages")))
+    return joined.select(*place, "messages", F.when(whole & same, "ok").otherwise("failed").alias("status"),
+                         error.alias("error"))
+
+
+def progress(spark, job, backup_id, planned, path, opened=None):
+    """Planned and restored partitions and messages of each target topic."""
+    files = restored_files(spark, path, job.restore_id)
+    return _progress(partition_outcomes(spark, job, backup_id, planned, files, opened), job.restore_id)
+
+
+def _progress(outcomes, restore_id):
+    facts = outcomes.withColumn("job_id", F.lit(restore_id))
     return status.topic_progress(facts.select("job_id", "topic", "partition"), facts)
 
 
+def _facts(job, files, outcomes, opened, started):
+    """Facts of a restore: a put for each file, a get for each object, failures with their reason."""
+    place = ["topic", "partition"]
+    put = job_facts.of_files(
+        files.withColumnsRenamed({"messages": "message_count", "bytes": "size_bytes"}).join(
+            outcomes.select(*place, "status", "error"), place, "left").na.fill({"status": "ok"}),
+        job.restore_id, started)
+    lost = outcomes.where("status = 'failed'").join(files, place, "left_anti")
+    found = put.unionByName(job_facts.of_missing(lost, job.restore_id, started))
+    if opened is not None:
+        found = found.unionByName(job_facts.of_opened(segmentfiles.named_facts(opened), job.restore_id))
+    return job_facts.by_worker(found, job.workers)
+
+
 def verify_archive(spark, root, backup_id):
     """Rows per segment whose stored hash is not that of their fields."""
     rows = read_archive(spark, root, backup_id)
@@ -151,65 +235,88 @@ def run_restore(spark, job, path, target=None):
 
     Messages that ``target``, by default the log at ``path``, holds already are not written
     again unless the job overwrites. Unreadable segment objects make the job
-    PartiallyCompleted, with their number as its error.
+    PartiallyCompleted, with their number as its error. Objects are opened once. With
+    ``segments_per_wave`` a restore that was broken off goes on where it was.
     """
     about = {"backup_id": job.backup_id, "target_id": path}
+    use_storage(spark, job.storage)
     catalog.begin(spark, job.root, job.restore_id, "restore", **about)
+    started, opened = dt.datetime.now(dt.timezone.utc), None
     try:
-        backup_id = chosen_backup(spark, job)
-        if target is None and not job.overwrite_existing:
-            target = _held(spark, job, path)
-        planned = restored_rows(spark, job, target)
-        with sized_shuffles(planned):
-            if target is not None and not job.overwrite_existing:
-                planned = stored(planned, "restore")  # read once more to check the result
-            restore_to_files(planned, path, restore_id=job.restore_id)
-            rows = stored(progress(spark, job, backup_id, planned, path), "progress")
-        done = F.col("partitions_completed")
-        counts = rows.agg(
-            F.sum("partitions_total").alias("planned"), F.sum(done).alias("done"),
-            F.sum(F.col("partitions_total") - done).alias("failed"),
-        )
-        phase = status.job_phase(counts.na.fill(0)).first()["phase"]
-        phase = "Completed" if phase == "Pending" else phase  # nothing was planned
-        bad = unreadable_objects(spark, job, backup_id).count() if job.layout == "objects" else 0
-        if bad:
-            about["error"] = f"{bad} unreadable segments left out"
-            phase = "PartiallyCompleted" if phase == "Completed" else phase
+        with catalog.beating(spark, job.root, job.restore_id):
+            backup_id = chosen_backup(spark, job)
+            if target is None and not job.overwrite_existing:
+                target = _held(spark, job, path)
+            if job.layout == "objects" and backup_id is not None:
+                opened = open_objects(spark, job, backup_id)
+            planned = restored_rows(spark, job, target, opened)
+            with sized_shuffles(planned):
+                if target is not None and not job.overwrite_existing:
+                    planned = stored(planned, "restore")  # read once more to check the result
+                if job.segments_per_wave:
+                    restore_to_files_in_waves(
+                        spark, job.root, planned, path, job.restore_id, job.segments_per_wave)
+                else:
+                    restore_to_files(planned, path, restore_id=job.restore_id)
+                files = restored_files(spark, path, job.restore_id)
+                outcomes = stored(partition_outcomes(spark, job, backup_id, planned, files, opened), "outcomes")
+                rows = stored(_progress(outcomes, job.restore_id), "progress")
+                job_facts.write(_facts(job, files, outcomes, opened, started),
+                                job.root, job.restore_id, f"{started.timestamp():.6f}")
+            done = F.col("partitions_completed")
+            counts = rows.agg(
+                F.sum("partitions_total").alias("planned"), F.sum(done).alias("done"),
+                F.sum(F.col("partitions_total") - done).alias("failed"),
+            )
+            phase = status.job_phase(counts.na.fill(0)).first()["phase"]
+            phase = "Completed" if phase == "Pending" else phase  # nothing was planned
+            bad = segmentfiles.named_quarantine(opened).count() if opened is not None else 0
+            if bad:
+                about["error"] = f"{bad} unreadable segments left out"
+                phase = "PartiallyCompleted" if phase == "Completed" else phase
     except Exception as error:
+        job_facts.record_failure(spark, job.root, job.restore_id, "put", error, started)
         catalog.record(spark, job.root, job.restore_id, "restore", "Failed", error=str(error), **about)
         raise
     catalog.record(spark, job.root, job.restore_id, "restore", phase, **about)
     return rows
 
 
-def restore_to_kafka(rows, cluster, segments_per_wave=10_000):
+def restore_to_kafka(rows, cluster, root, restore_id, segments_per_wave=10_000):
     """Replay into Kafka in waves of consecutive segments.
 
     A Kafka partition takes its messages one after another. Waves bound what one
     task holds of a large partition; the order across waves is the loop's. Where
-    several source topics go to one target, each keeps its own order. The rows are stored
-    once, a folder for each wave; only waves that have rows are run.
+    several source topics go to one target, each keeps its own order. A replay that was broken
+    off sends only the wave again in which that happened.
     """
-    wave = F.expr(f"segment div {int(segments_per_wave)}").alias("wave")
-    path = scratch_path(rows.sparkSession, "waves")
-    rows.select("*", wave).write.partitionBy("wave").parquet(path)
-    laid = rows.sparkSession.read.schema(f"{_ddl(rows)}, wave bigint").parquet(path)
-    for (number,) in laid.select("wave").distinct().orderBy("wave").collect():
-        kafka.write_topics(laid.where(F.col("wave") == number), cluster)
+    replay_in_waves(rows.sparkSession, root, restore_id, rows,
+                    lambda wave_rows, _: kafka.write_topics(wave_rows, cluster), segments_per_wave)
 
 
 def _ddl(rows):
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
-def run_restore_to_kafka(spark, job, cluster, target=None):
-    """Restore into a cluster and record the job's states."""
+def run_restore_to_kafka(spark, job, cluster, target=None, existing=None, create=None):
+    """Restore into a cluster and record the job's states.
+
+    Where the job creates topics, ``create(rows)`` gets those that the target lacks (one row
+    each, see ``topics_needed``) before the replay; ``existing`` names those that it has.
+    """
     about = {"backup_id": job.backup_id, "target_id": cluster.bootstrap_servers}
+    use_storage(spark, job.storage)
     catalog.begin(spark, job.root, job.restore_id, "restore", **about)
+    started = dt.datetime.now(dt.timezone.utc)
     try:
-        restore_to_kafka(restored_rows(spark, job, target), cluster)
+        with catalog.beating(spark, job.root, job.restore_id):
+            rows = restored_rows(spark, job, target)
+            if job.create_topics and create is not None:
+                have = existing if existing is not None else spark.createDataFrame([], "topic string")
+                create(topics_needed(spark, job, have).collect())
+            restore_to_kafka(rows, cluster, job.root, job.restore_id, job.segments_per_wave or 10_000)
     except Exception as error:
+        job_facts.record_failure(spark, job.root, job.restore_id, "put", error, started)
         catalog.record(spark, job.root, job.restore_id, "restore", "Failed", error=str(error), **about)
         raise
     catalog.record(spark, job.root, job.restore_id, "restore", "Completed", **about)
@@ -218,7 +325,7 @@ def run_restore_to_kafka(spark, job, cluster, target=None):
 def topics_needed(spark, job, existing):
     """Topics the target lacks."""
     backup_id = chosen_backup(spark, job)
-    source = read_topics(spark, job.root).where(F.col("backup_id") == backup_id)
+    source = read_topics(spark, job.root, backup_id)
     source = topics.select_for_restore(source.withColumnRenamed("name", "topic"), job.selectors)
     return replay.topics_to_create(source, existing, job.mapping)
 

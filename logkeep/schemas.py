@@ -53,6 +53,11 @@ PIECES_SCHEMA = (
     "start_offset bigint, end_offset bigint, message_count bigint, offsets bigint, "
     "size_bytes bigint, checksum string"
 )
+# A committed state of a backup: its number, the id of its catalog rows, and where its rows lie.
+SNAPSHOTS_SCHEMA = (
+    "backup_id string, number bigint, snapshot string, layout string, prefix string, "
+    "streams array<struct<stream:string,last_batch:bigint>>"
+)
 TOPICS_SCHEMA = (
     "name string, partitions int, replication_factor smallint, config map<string,string>"
 )
@@ -67,7 +72,8 @@ JOB_EVENTS_SCHEMA = (
 )
 TASK_FACTS_SCHEMA = (
     "job_id string, topic string, partition int, worker_id int, messages bigint, "
-    "bytes bigint, duration_ms bigint, operation string, status string, ts timestamp"
+    "bytes bigint, duration_ms bigint, operation string, status string, ts timestamp, "
+    "file string, attempt bigint, error string"
 )
 
 # Fixed names of phases.

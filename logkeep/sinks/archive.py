@@ -1,6 +1,13 @@
-"""Writing the Parquet archive and its manifests."""
+"""Writing the Parquet archive and its manifests.
 
+A run writes new folders, beside those of the run before, and its catalog rows under a new
+snapshot. Only the commit of a numbered snapshot record makes them the backup's; a run that
+dies earlier leaves the backup as it was.
+"""
+
+import json
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,9 +15,10 @@ from logkeep.functions.messages import message_size, row_hash
 from logkeep.functions.paths import storage_key
 from logkeep.operators.manifests import full_manifest, nested_manifest
 from logkeep.operators.ordering import BUCKET_ROWS, bucket_of
-from logkeep.schemas import ARCHIVE_SCHEMA
+from logkeep.schemas import ARCHIVE_SCHEMA, SEGMENTS_SCHEMA
+from logkeep.sinks import commits
 from logkeep.sources.archive import (
-    backup_path, overlaps, read_archive, read_pieces, read_segments)
+    backup_path, data_path, once, overlaps, read_pieces, snapshots_path)
 
 FOLDERS = ("backup_id", "stream", "batch")
 #: Stream name of backups that are not streamed.
@@ -38,8 +46,6 @@ def clustered(rows, width=BUCKET_ROWS):
 
 def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd", stream=ONCE):
     """Write one batch of a backup; a repeated batch of the same stream replaces itself."""
-    home = f"{backup_path(root, checked_id(backup_id))}/stream={checked_id(stream)}"
-    folder = f"{home}/batch={int(batch)}"
     stored = segmented.withColumn("size_bytes", message_size()).withColumn(
         "row_hash", row_hash()
     )
@@ -53,73 +59,174 @@ def write_rows(segmented, root, backup_id, batch=0, cluster=True, codec="zstd",
         .write.mode("overwrite")
         .partitionBy("topic", "partition")
         .option("compression", codec)
-        .parquet(folder)
+        .parquet(batch_folder(root, backup_id, stream, batch))
     )
 
 
-def write_manifest(spark, root, backup_id, prefix="", compressed=True):
-    """Segment manifest of a backup, from stored sizes and hashes only."""
-    store_manifest(full_manifest(read_archive(spark, root, backup_id), prefix, compressed), root, backup_id)
+def batch_folder(root, backup_id, stream, batch):
+    home = f"{backup_path(root, checked_id(backup_id))}/stream={checked_id(stream)}"
+    return f"{home}/batch={int(batch)}"
+
+
+def read_batch(spark, root, backup_id, stream, batch):
+    """Rows of one batch, and nothing else listed."""
+    folder = batch_folder(root, backup_id, stream, batch)
+    return spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(folder)
+
 
+def file_totals(rows):
+    """Totals of each segment in each file that holds a part of it.
 
-def write_pieces(spark, root, backup_id, stream, batch):
-    """What one micro-batch added, from its stored sizes and hashes only."""
-    mine = (F.col("stream") == stream) & (F.col("batch") == batch)
-    pieces = read_archive(spark, root, backup_id).where(mine).groupBy("topic", "partition", "segment").agg(
+    One aggregation over stored sizes and hashes gives the manifest and, by file, the facts of
+    the tasks that wrote them: a file's time is when its task closed it.
+    """
+    return rows.groupBy(
+        "topic", "partition", "segment", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("closed_at"),
+    ).agg(
         F.min("offset").alias("start_offset"),
         F.max("offset").alias("end_offset"),
         F.count(F.lit(1)).alias("message_count"),
         F.count_distinct("offset").alias("offsets"),
         F.sum("size_bytes").alias("size_bytes"),
-        F.hex(F.bit_xor("row_hash")).alias("checksum"),
+        F.bit_xor("row_hash").alias("checksum"),
     )
+
+
+def added_up(totals, *more):
+    """Manifest columns of each segment from totals of its parts."""
+    return totals.groupBy("topic", "partition", "segment").agg(
+        F.min("start_offset").alias("start_offset"),
+        F.max("end_offset").alias("end_offset"),
+        F.sum("message_count").alias("message_count"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.hex(F.bit_xor("checksum")).alias("checksum"),
+        *more,
+    )
+
+
+def write_manifest(spark, root, backup_id, snapshot, totals, prefix="", compressed=True):
+    """Segment manifest of a backup from its file totals."""
+    own = added_up(totals).withColumn("storage_key", storage_key(
+        F.lit(backup_id), F.col("topic"), F.col("partition"), F.col("segment"), prefix, compressed))
+    store_manifest(own, root, backup_id, snapshot)
+
+
+def write_pieces(totals, root, backup_id, stream, batch):
+    """What one micro-batch added, from its file totals.
+
+    A segment lies in one file of a batch unless its rows span two ranges, so its distinct
+    offsets add up.
+    """
     path = f"{root}/catalog/pieces/backup_id={backup_id}/stream={stream}/batch={int(batch)}"
-    pieces.write.mode("overwrite").parquet(path)
+    added_up(totals, F.sum("offsets").alias("offsets")).write.mode("overwrite").parquet(path)
 
 
-def write_pieced_manifest(spark, root, backup_id, prefix="", compressed=True):
-    """Segment manifest of a streamed backup.
+def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compressed=True):
+    """Segment manifest of a streamed backup; gives the streams that it covers.
 
     Pieces of a segment add up; only segments with overlapping pieces are counted again
-    from the rows.
+    from the rows. Batches that a stream adds meanwhile belong to the next snapshot.
     """
     pieces, place = read_pieces(spark, root, backup_id), ["topic", "partition", "segment"]
+    covered = [{"stream": r.stream, "last_batch": r.last_batch} for r in pieces.groupBy("stream").agg(
+        F.max("batch").alias("last_batch")).collect()]
+    for s in covered:
+        pieces = pieces.where((F.col("stream") != s["stream"]) | (F.col("batch") <= s["last_batch"]))
     twice = overlaps(pieces)
-    whole = pieces.join(twice, place, "left_anti").groupBy("backup_id", *place).agg(
-        F.min("start_offset").alias("start_offset"),
-        F.max("end_offset").alias("end_offset"),
-        F.sum("message_count").alias("message_count"),
-        F.sum("size_bytes").alias("size_bytes"),
-        F.hex(F.bit_xor(F.conv("checksum", 16, -10).cast("bigint"))).alias("checksum"),
-    ).withColumn("storage_key", storage_key(
+    whole = added_up(
+        pieces.join(twice, place, "left_anti").withColumn(
+            "checksum", F.conv("checksum", 16, -10).cast("bigint"))
+    ).withColumn("backup_id", F.lit(backup_id)).withColumn("storage_key", storage_key(
         F.col("backup_id"), *map(F.col, place), prefix, compressed))
     if twice.take(1):
-        rows = read_archive(spark, root, backup_id, deduplicate=True)
-        again = full_manifest(rows.join(twice, place, "left_semi"), prefix, compressed)
+        rows = _named(spark, root, backup_id, covered)
+        again = full_manifest(once(rows.join(twice, place, "left_semi"), twice), prefix, compressed)
         whole = whole.unionByName(again)
-    store_manifest(whole, root, backup_id)
+    store_manifest(whole, root, backup_id, snapshot)
+    return covered
+
+
+def _named(spark, root, backup_id, streams):
+    rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(
+        *[f"{backup_path(root, backup_id)}/stream={s['stream']}" for s in streams])
+    for s in streams:
+        rows = rows.where((F.col("stream") != s["stream"]) | (F.col("batch") <= s["last_batch"]))
+    return rows
+
+
+def new_snapshot():
+    """Id under which a run writes its catalog rows before they count."""
+    return uuid.uuid4().hex
+
+
+def _home(root, table, backup_id, snapshot):
+    return f"{root}/catalog/{table}/backup_id={checked_id(backup_id)}/snapshot={snapshot}"
+
+
+def commit(spark, root, backup_id, base, snapshot, layout="archive", prefix="", streams=()):
+    """Make a snapshot the newest one of its backup, if ``base`` still is.
+
+    Until then readers see the snapshot before, whatever was written. Two runs that started
+    from the same snapshot cannot both commit. What no snapshot names any more is removed.
+    """
+    number = base + 1
+    record = {"number": number, "snapshot": snapshot, "layout": layout, "prefix": prefix,
+              "streams": list(streams)}
+    folder = f"{snapshots_path(root)}/backup_id={checked_id(backup_id)}"
+    if not commits.create_if_absent(spark, f"{folder}/{commits.file_name(number)}", json.dumps(record)):
+        raise RuntimeError(f"another run of {backup_id} committed first")
+    _sweep(spark, root, backup_id, record)
+    return record
+
+
+def base_of(spark, root, backup_id):
+    """(number, record) of the newest snapshot, (-1, None) before the first."""
+    return commits.newest(spark, f"{snapshots_path(root)}/backup_id={checked_id(backup_id)}")
+
+
+def _sweep(spark, root, backup_id, record):
+    """Remove rows and catalog rows of superseded and unfinished runs; folders only are listed."""
+    kept = {f"stream={s['stream']}" for s in record["streams"]}
+    own = f"backup_id={backup_id}"
+    _keep(spark, f"{data_path(root)}/{own}", kept)
+    _keep(spark, f"{root}/catalog/pieces/{own}", kept)
+    for table in ("segments", "topics", "pages", "backups"):
+        _keep(spark, f"{root}/catalog/{table}/{own}", {f"snapshot={record['snapshot']}"})
+    if record["layout"] == "objects":
+        _keep(spark, f"{root}/runs/{own}", {record["prefix"].rsplit("/", 1)[-1]} if record["prefix"] else set())
+        if record["prefix"]:
+            commits.delete(spark, f"{root}/backups/{backup_id}/topics")
+
+
+def _keep(spark, folder, kept):
+    for name, _ in commits.children(spark, folder):
+        if name not in kept:
+            commits.delete(spark, f"{folder}/{name}")
+
+
+def store_manifest(manifest, root, backup_id, snapshot):
+    manifest.drop("backup_id").write.mode("overwrite").parquet(_home(root, "segments", backup_id, snapshot))
 
 
-def store_manifest(manifest, root, backup_id):
-    path = f"{root}/catalog/segments/backup_id={checked_id(backup_id)}"
-    manifest.drop("backup_id").write.mode("overwrite").parquet(path)
+def stored_manifest(spark, root, backup_id, snapshot, schema=SEGMENTS_SCHEMA):
+    """Segment rows of a snapshot, committed or not."""
+    return spark.read.schema(schema).parquet(_home(root, "segments", backup_id, snapshot)).withColumn(
+        "backup_id", F.lit(backup_id))
 
 
-def write_topics(topics, root, backup_id):
-    path = f"{root}/catalog/topics/backup_id={checked_id(backup_id)}"
-    topics.write.mode("overwrite").parquet(path)
+def write_topics(topics, root, backup_id, snapshot):
+    topics.write.mode("overwrite").parquet(_home(root, "topics", backup_id, snapshot))
 
 
-def write_pages(spark, root, backup_id):
+def write_pages(segments, root, backup_id, snapshot):
     """Nested segment lists of a backup, in pages of bounded length."""
-    own = read_segments(spark, root).where(F.col("backup_id") == backup_id)
-    path = f"{root}/catalog/pages/backup_id={checked_id(backup_id)}"
-    nested_manifest(own).drop("backup_id").write.mode("overwrite").parquet(path)
+    path = _home(root, "pages", backup_id, snapshot)
+    nested_manifest(segments).drop("backup_id").write.mode("overwrite").parquet(path)
 
 
-def write_backup_entry(spark, root, backup_id, timestamp, compression, config, topics=(), version="1"):
+def write_backup_entry(spark, root, backup_id, snapshot, timestamp, compression, config, topics=(), version="1"):
     """One row of the backup catalog, with the names of its topics."""
-    path = f"{root}/catalog/backups/backup_id={checked_id(backup_id)}"
     pairs = [F.lit(str(x)) for pair in config.items() for x in pair]
     settings = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     spark.range(1).select(
@@ -128,4 +235,4 @@ def write_backup_entry(spark, root, backup_id, timestamp, compression, config, t
         F.lit(compression).alias("compression"),
         settings.alias("config"),
         F.array(*map(F.lit, topics)).cast("array<string>").alias("topics"),
-    ).coalesce(1).write.mode("overwrite").parquet(path)
+    ).coalesce(1).write.mode("overwrite").parquet(_home(root, "backups", backup_id, snapshot))

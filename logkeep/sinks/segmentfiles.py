@@ -4,8 +4,10 @@ Rows of a segment stream through one task in offset order, straight into the
 object; a segment is never held as a whole.
 """
 
+import datetime as dt
 import gzip
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +22,22 @@ from logkeep.functions.paths import storage_key, topic_metadata_key
 RESULT = (
     "backup_id string, topic string, partition int, segment bigint, start_offset bigint, "
     "end_offset bigint, message_count bigint, size_bytes bigint, storage_key string, "
-    "checksum string"
+    "checksum string, duration_ms bigint, attempt bigint, finished_at timestamp"
 )
 _RESULT_TYPE = pa.schema(
     [("backup_id", pa.string()), ("topic", pa.string()), ("partition", pa.int32()),
      ("segment", pa.int64()), ("start_offset", pa.int64()), ("end_offset", pa.int64()),
      ("message_count", pa.int64()), ("size_bytes", pa.int64()), ("storage_key", pa.string()),
-     ("checksum", pa.string())]
+     ("checksum", pa.string()), ("duration_ms", pa.int64()), ("attempt", pa.int64()),
+     ("finished_at", pa.timestamp("us", tz="UTC"))]
 )
 
 
-def write_objects(segmented, root, backup_id, compressed=True, json=None, storage=None):
-    """Write every segment and return one manifest row per object.
+def write_objects(segmented, root, backup_id, compressed=True, json=None, storage=None, prefix=""):
+    """Write every segment and return one manifest row per object, with the facts of its writing.
 
-    ``storage`` has the settings of an object store that the root alone does not name. The result is lazy: an action on it writes. A repeated task writes the same
-    bytes to the same key.
+    ``storage`` has the settings of an object store that the root alone does not name. The
+    result is lazy: an action on it writes. A repeated task writes the same bytes to the same key.
     """
     checked_id(backup_id)
     rows = segmented.select(
@@ -42,14 +45,14 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None, storag
         (message_json() if json is None else json).alias("json"),
         storage_key(
             F.lit(backup_id), F.col("topic"), F.col("partition"), F.col("segment"),
-            compressed=compressed,
+            prefix, compressed,
         ).alias("storage_key"),
     )
     group = ["topic", "partition", "segment"]
-    address, options = _address(root), storage.arrow_options() if storage else {}
+    address, options = address_of(root), storage.arrow_options() if storage else {}
 
     def write(batches):
-        return _write(batches, _filesystem(address, options), compressed)
+        return _write(batches, filesystem_of(address, options), compressed)
 
     return (
         rows.repartition(*group)
@@ -58,21 +61,21 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None, storag
     )
 
 
-def _address(root):
+def address_of(root):
     """A Hadoop style root as Arrow's file systems spell it."""
     if root.startswith("file:/") and not root.startswith("file://"):
         return "file://" + root[len("file:") :]
     return root.replace("s3a://", "s3://", 1)
 
 
-def _filesystem(address, options):
+def filesystem_of(address, options):
     """Arrow file system and base path of a root."""
     if options:
         return fs.S3FileSystem(**options), address.split("://", 1)[1]
     return fs.FileSystem.from_uri(address)
 
 
-def topic_metadata_objects(topics, backup_id):
+def topic_metadata_objects(topics, backup_id, prefix=""):
     """Key and JSON text of the per-topic metadata objects."""
     body = F.to_json(
         F.struct(
@@ -83,17 +86,17 @@ def topic_metadata_objects(topics, backup_id):
         )
     )
     return topics.select(
-        topic_metadata_key(F.lit(backup_id), F.col("name")).alias("storage_key"),
+        topic_metadata_key(F.lit(backup_id), F.col("name"), prefix).alias("storage_key"),
         body.alias("text"),
     )
 
 
 def write_texts(objects, root, storage=None):
     """Write (storage_key, text) rows as one small object each; lazy as above."""
-    address, options = _address(root), storage.arrow_options() if storage else {}
+    address, options = address_of(root), storage.arrow_options() if storage else {}
 
     def write(batches):
-        filesystem, base = _filesystem(address, options)
+        filesystem, base = filesystem_of(address, options)
         for batch in batches:
             for row in batch.to_pylist():
                 _put(filesystem, f"{base}/{row['storage_key']}", row["text"].encode())
@@ -105,7 +108,7 @@ def write_texts(objects, root, storage=None):
 def _put(filesystem, path, data):
     folder, name = path.rsplit("/", 1)
     filesystem.create_dir(folder, recursive=True)
-    staged = f"{folder}/.{name}.{_attempt()}"
+    staged = f"{folder}/.{name}.{attempt_id()}"
     with filesystem.open_output_stream(staged, compression=None) as sink:
         sink.write(data)
     filesystem.move(staged, path)
@@ -119,10 +122,10 @@ class _Object:
         self.path = f"{base}/{row['storage_key']}"
         folder = self.path.rsplit("/", 1)[0]
         filesystem.create_dir(folder, recursive=True)
-        self.staged = f"{folder}/.{self.path.rsplit('/', 1)[1]}.{id(self)}.{_attempt()}"
+        self.staged = f"{folder}/.{self.path.rsplit('/', 1)[1]}.{id(self)}.{attempt_id()}"
         self.sink = filesystem.open_output_stream(self.staged, compression=None)
         self.digest, self.size = hashlib.sha256(), 0
-        self.count, self.last = 0, None
+        self.count, self.last, self.started = 0, None, time.monotonic()
         # No clock in the gzip head, so that a repeat gives the same bytes.
         self.gzip = gzip.GzipFile("", "wb", 6, fileobj=self, mtime=0) if compressed else None
 
@@ -150,10 +153,12 @@ class _Object:
         self.filesystem.move(self.staged, self.path)
         row = self.first
         return (row["backup_id"], row["topic"], row["partition"], row["segment"], row["offset"],
-                self.last, self.count, self.size, row["storage_key"], self.digest.hexdigest())
+                self.last, self.count, self.size, row["storage_key"], self.digest.hexdigest(),
+                round(1000 * (time.monotonic() - self.started)), attempt_id(),
+                dt.datetime.now(dt.timezone.utc))
 
 
-def _attempt():
+def attempt_id():
     from pyspark import TaskContext
 
     context = TaskContext.get()

@@ -3,10 +3,12 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logkeep.operators.joins import join_small
 from logkeep.schemas import (
-    ARCHIVE_SCHEMA, BACKUPS_SCHEMA, PIECES_SCHEMA, SEGMENTS_SCHEMA, TOPICS_SCHEMA)
+    ARCHIVE_SCHEMA, BACKUPS_SCHEMA, PIECES_SCHEMA, SEGMENTS_SCHEMA, SNAPSHOTS_SCHEMA, TOPICS_SCHEMA)
+from logkeep.sinks import commits
 
 
 def data_path(root):
@@ -17,30 +19,81 @@ def backup_path(root, backup_id):
     return f"{data_path(root)}/backup_id={backup_id}"
 
 
+def snapshots_path(root):
+    return f"{root}/catalog/snapshots"
+
+
+def snapshot_of(spark, root, backup_id):
+    """Newest snapshot record of a backup as a dict, None if it has none; one small file."""
+    return commits.newest(spark, f"{snapshots_path(root)}/backup_id={backup_id}")[1]
+
+
+def read_snapshots(spark, root):
+    """Newest snapshot record of each backup."""
+    records = read_below(spark, SNAPSHOTS_SCHEMA, snapshots_path(root), "json")
+    newest = F.max_by(F.struct("snapshot", "layout", "prefix", "streams"), "number").alias("_s")
+    return records.groupBy("backup_id").agg(newest).select("backup_id", "_s.*")
+
+
+def read_below(spark, schema, path, form="parquet", **options):
+    """Rows below ``path``; none if it is missing."""
+    try:
+        return spark.read.schema(schema).options(**options).format(form).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_archive(spark, root, backup_id=None, deduplicate=False):
     """Archived rows; stream, batch, topic and partition are folders and prune.
 
-    With a ``backup_id`` only that backup's folder is listed. ``deduplicate`` drops copies
-    that a stream left when it read a range again (one backup only). Only segments whose
-    pieces overlap are looked at, and of these offsets alone decide; without overlap nothing
-    is shuffled.
+    Rows are those that the newest snapshot names: its streams, each up to the batch it had
+    then. A backup that never had a snapshot gives all its rows. With a ``backup_id`` only that
+    backup's folders are listed. ``deduplicate`` drops copies that a stream left when it read a
+    range again (one backup only). Only segments whose pieces overlap are looked at, and of
+    these offsets alone decide; without overlap nothing is shuffled.
     """
-    rows = (
-        spark.read.schema(ARCHIVE_SCHEMA)
-        .option("basePath", data_path(root))
-        .parquet(data_path(root) if backup_id is None else backup_path(root, backup_id))
-    )
+    if backup_id is None:
+        if deduplicate:
+            raise ValueError("name the backup whose copies are to be dropped")
+        return _all_current(spark, root)
+    record = snapshot_of(spark, root, backup_id)
+    home, schema = backup_path(root, backup_id), ARCHIVE_SCHEMA
+    if record is None:
+        rows = spark.read.schema(schema).option("basePath", data_path(root)).parquet(home)
+    elif not record["streams"]:
+        rows = spark.createDataFrame([], schema)
+    else:
+        folders = [f"{home}/stream={s['stream']}" for s in record["streams"]]
+        rows = spark.read.schema(schema).option("basePath", data_path(root)).parquet(*folders)
+        late = [(F.col("stream") == s["stream"]) & (F.col("batch") > s["last_batch"])
+                for s in record["streams"] if s["last_batch"] is not None]
+        for beyond in late:
+            rows = rows.where(~beyond)
     if not deduplicate:
         return rows
-    if backup_id is None:
-        raise ValueError("name the backup whose copies are to be dropped")
     twice = overlaps(read_pieces(spark, root, backup_id))
     if not twice.take(1):
         return rows
-    return _once(rows, twice)
+    return once(rows, twice)
+
+
+def _all_current(spark, root):
+    rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(data_path(root))
+    known = read_snapshots(spark, root)
+    if known.isEmpty():
+        return rows
+    named = known.select("backup_id", F.explode_outer("streams").alias("_s")).select(
+        "backup_id", F.col("_s.stream").alias("_stream"), F.col("_s.last_batch").alias("_last"))
+    # one small row for each stream of a backup
+    found = rows.join(named, (rows["backup_id"] == named["backup_id"]), "left").where(
+        named["backup_id"].isNull() | (
+            (F.col("stream") == F.col("_stream")) & (F.col("_last").isNull() | (F.col("batch") <= F.col("_last")))))
+    return found.select(*[rows[c] for c in rows.columns])
 
 
-def _once(rows, twice):
+def once(rows, twice):
     place = ["topic", "partition", "segment"]
     tagged = join_small(rows, twice.withColumn("_twice", F.lit(True)), place, "offset", how="left")
     alone, copied = tagged.where("_twice is null"), tagged.where("_twice")
@@ -54,13 +107,7 @@ def _once(rows, twice):
 def read_pieces(spark, root, backup_id):
     """What each micro-batch added to each segment; empty for backups that were not streamed."""
     path = f"{root}/catalog/pieces"
-    try:
-        pieces = spark.read.schema(PIECES_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], PIECES_SCHEMA)
-    return pieces.where(F.col("backup_id") == backup_id)
+    return read_below(spark, PIECES_SCHEMA, f"{path}/backup_id={backup_id}", basePath=path)
 
 
 def overlaps(pieces):
@@ -74,13 +121,32 @@ def overlaps(pieces):
     return found.select(*place).distinct()
 
 
-def read_segments(spark, root):
-    return spark.read.schema(SEGMENTS_SCHEMA).parquet(f"{root}/catalog/segments")
+def current_table(spark, root, name, schema, backup_id=None):
+    """Rows of a catalog table that belong to the newest snapshots, of one backup or all.
+
+    A backup's rows of older or unfinished snapshots are not seen.
+    """
+    path = f"{root}/catalog/{name}"
+    columns = T.StructType.fromDDL(schema).fieldNames()
+    kept = schema if "backup_id" in columns else f"backup_id string, {schema}"
+    kept = f"{kept}, snapshot string"
+    if backup_id is not None:
+        record = snapshot_of(spark, root, backup_id)
+        if record is None:
+            return spark.createDataFrame([], kept).drop("snapshot")
+        home = f"{path}/backup_id={backup_id}/snapshot={record['snapshot']}"
+        return read_below(spark, kept, home, basePath=path).drop("snapshot")
+    current = read_snapshots(spark, root).select("backup_id", "snapshot")
+    return read_below(spark, kept, path).join(current, ["backup_id", "snapshot"], "left_semi").drop("snapshot")
+
+
+def read_segments(spark, root, backup_id=None):
+    return current_table(spark, root, "segments", SEGMENTS_SCHEMA, backup_id)
 
 
-def read_topics(spark, root):
-    return spark.read.schema("backup_id string, " + TOPICS_SCHEMA).parquet(f"{root}/catalog/topics")
+def read_topics(spark, root, backup_id=None):
+    return current_table(spark, root, "topics", "backup_id string, " + TOPICS_SCHEMA, backup_id)
 
 
-def read_backups(spark, root):
-    return spark.read.schema(BACKUPS_SCHEMA).parquet(f"{root}/catalog/backups")
+def read_backups(spark, root, backup_id=None):
+    return current_table(spark, root, "backups", BACKUPS_SCHEMA, backup_id)

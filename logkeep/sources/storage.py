@@ -44,7 +44,6 @@ class Storage:
             found["fs.s3a.path.style.access"] = "true"
         return found
 
-
     def arrow_options(self):
         """Arguments of Arrow's S3 file system for the same place."""
         if self.type != "s3":
@@ -58,6 +57,12 @@ class Storage:
         return found
 
 
+def use_storage(spark, storage):
+    """Let the session's file systems reach a store: endpoint, region, path style."""
+    for name, value in (storage.hadoop_conf() if storage else {}).items():
+        spark.sparkContext._jsc.hadoopConfiguration().set(name, value)
+
+
 def list_objects(spark, root, glob="*"):
     """Path, size and modification time of every object; contents are not read."""
     return (
@@ -79,6 +84,6 @@ def list_segments(spark, root):
         .where(F.col("_key").isNotNull())
         .select(
             "path", "size_bytes", "modified", "_key.*",
-            F.regexp_extract("path", r"(backups/[^/]+/topics/.*)$", 1).alias("storage_key"),
+            F.regexp_extract("path", r"((?:runs/[^/]+/[^/]+/)?backups/[^/]+/topics/.*)$", 1).alias("storage_key"),
         )
     )

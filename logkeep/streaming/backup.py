@@ -1,11 +1,17 @@
 """Continuous and scheduled backup with Structured Streaming."""
 
+import contextlib
+import datetime as dt
+import threading
+
 from logkeep.operators.segments import by_absolute_offset
 from logkeep.operators.topics import select_for_backup
 from logkeep.plans.backup import describe
-from logkeep.session import sized_shuffles
+from logkeep.session import landed, sized_shuffles, stored
 from logkeep.sinks import archive as sink
-from logkeep.sinks import catalog
+from logkeep.sinks import catalog, facts
+from logkeep.sources.storage import use_storage
+from logkeep.streaming import segments
 
 #: Local property in which Spark keeps the id of a running query's checkpoint.
 QUERY_ID = "sql.streaming.queryId"
@@ -16,41 +22,94 @@ def start_backup(stream, job, checkpoint, interval_seconds=None):
 
     Without an interval all available rows are taken and the query ends (a scheduled run);
     the checkpoint makes the next run go on where this one ended. Segments are ranges of
-    absolute offsets, so they do not depend on where batches end. A micro-batch has a folder
+    absolute offsets, or closed by count or by size and interval (see ``streaming.segments``);
+    either way they do not depend on where batches end. A micro-batch has a folder
     of its own, named by its checkpoint and number: a replayed batch replaces itself, and a
     new checkpoint adds to what older ones wrote. Bound the rows of a trigger at the source
     (files or offsets per trigger): a batch is shuffled once, sized by its files.
+
+    While the query runs its driver gives signs of life; a query that fails leaves the job Failed.
     """
-    if job.layout != "archive" or job.segmentation != "offset":
-        raise ValueError("streams write the archive layout, segmented by offset")
+    if job.layout != "archive":
+        raise ValueError("streams write the archive layout")
     spark = stream.sparkSession
+    use_storage(spark, job.storage)
     catalog.begin(spark, job.root, job.backup_id, "backup", backup_id=job.backup_id)
-    rows = by_absolute_offset(select_for_backup(stream, job.selectors), job.batch_size)
+    chosen = select_for_backup(stream, job.selectors)
 
     def write(batch, batch_id):
-        session = batch.sparkSession
-        name = session.sparkContext.getLocalProperty(QUERY_ID)
-        sink.write_rows(batch, job.root, job.backup_id, batch=batch_id, stream=name)
-        sink.write_pieces(session, job.root, job.backup_id, name, batch_id)
+        write_batch(batch, job, batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID), batch_id)
 
     writer = (
-        rows.writeStream.foreachBatch(write)
+        chosen.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .queryName(f"backup-{job.backup_id}")
     )
     if interval_seconds is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
+        writer = writer.trigger(availableNow=True)
+    else:
+        writer = writer.trigger(processingTime=f"{interval_seconds} seconds")
+    try:
+        query = writer.start()
+    except Exception as error:
+        _failed(spark, job, error)
+        raise
+    threading.Thread(target=_attend, args=(spark, query, job), daemon=True).start()
+    return query
+
+
+def write_batch(batch, job, stream, number):
+    """Archive one micro-batch: rows, what it added to each segment, facts, and the state after it."""
+    spark, started = batch.sparkSession, dt.datetime.now(dt.timezone.utc)
+    state, land = None, job.segmentation != "offset"
+    with landed(batch) if land else contextlib.nullcontext(batch) as rows, sized_shuffles(rows):
+        if land:
+            before = segments.state_before(spark, job.root, job.backup_id, stream, number)
+            found, state = segments.cut(rows, job, before)
+        else:
+            found = by_absolute_offset(rows, job.batch_size)
+        sink.write_rows(found, job.root, job.backup_id, batch=number, stream=stream)
+    files = stored(sink.file_totals(sink.read_batch(spark, job.root, job.backup_id, stream, number)), "files")
+    sink.write_pieces(files, job.root, job.backup_id, stream, number)
+    written = facts.by_worker(facts.of_files(files, job.backup_id, started), job.workers, job.seed)
+    facts.write(written, job.root, job.backup_id, f"{stream}-{int(number)}")
+    if state is not None:
+        segments.write_state(state, job.root, job.backup_id, stream, number)
+
+
+def _attend(spark, query, job):
+    """Signs of life of a running query; its failure is recorded."""
+    try:
+        while not query.awaitTermination(catalog.BEAT_SECONDS):
+            catalog.beat(spark, job.root, job.backup_id)
+    except Exception as error:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _failed(spark, job, error)
+
+
+def _failed(spark, job, error):
+    """Record a running job as failed, once."""
+    def decide(number, last):
+        if last is None or last["phase"] != "Running":
+            raise ValueError(catalog.NOT_RUNNING)
+        return catalog.event(number + 1, "backup", "Failed", backup_id=job.backup_id, error=str(error))
+
+    with contextlib.suppress(ValueError):
+        catalog.append(spark, job.root, job.backup_id, decide)
 
 
 def finish_run(spark, job, topic_facts=None, timestamp=None):
-    """Manifest, topics and catalog entry over all batches written so far.
+    """Manifest, topics and catalog entry over all batches written so far, as a new snapshot.
 
     The pieces that batches recorded are added up; rows are read again only where they
     overlap.
     """
-    sink.write_pieced_manifest(spark, job.root, job.backup_id, compressed=job.compression)
-    totals = describe(spark, job, topic_facts, timestamp)
+    base, _ = sink.base_of(spark, job.root, job.backup_id)
+    snapshot = sink.new_snapshot()
+    streams = sink.write_pieced_manifest(
+        spark, job.root, job.backup_id, snapshot, compressed=job.compression)
+    totals = describe(spark, job, snapshot, topic_facts, timestamp)
+    sink.commit(spark, job.root, job.backup_id, base, snapshot, streams=streams)
     catalog.record(spark, job.root, job.backup_id, "backup", "Completed", backup_id=job.backup_id)
     return totals
 
@@ -58,11 +117,11 @@ def finish_run(spark, job, topic_facts=None, timestamp=None):
 def run_scheduled(stream, job, checkpoint, topic_facts=None, timestamp=None):
     """One scheduled run: all that is new, then manifest and catalog."""
     spark = stream.sparkSession
+    query = start_backup(stream, job, checkpoint)
     try:
-        start_backup(stream, job, checkpoint).awaitTermination()
-        return finish_run(spark, job, topic_facts, timestamp)
+        with catalog.beating(spark, job.root, job.backup_id):
+            query.awaitTermination()
+            return finish_run(spark, job, topic_facts, timestamp)
     except Exception as error:
-        if str(error) != catalog.ALREADY_RUNNING:
-            catalog.record(spark, job.root, job.backup_id, "backup", "Failed",
-                           backup_id=job.backup_id, error=str(error))
+        _failed(spark, job, error)
         raise

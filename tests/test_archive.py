@@ -382,7 +382,7 @@ def test_kafka_waves_come_from_one_stored_copy(spark, job, monkeypatch):
     monkeypatch.setattr(restore.kafka, "write_topics", lambda rows, cluster: seen.append(
         [(r.segment, r.topic) for r in rows.collect()]))
     rows = restore.chosen_rows(spark, RestoreJob("r", job.root, "b1"), "b1").where("segment <> 1")
-    restore.restore_to_kafka(rows, None, segments_per_wave=1)
+    restore.restore_to_kafka(rows, None, job.root, "kafka", segments_per_wave=1)
     assert [len({s for s, _ in wave}) for wave in seen] == [1] * len(seen)
     assert sum(map(len, seen)) == rows.count() and 1 not in {s for wave in seen for s, _ in wave}
 

@@ -1,16 +1,20 @@
+import glob
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import make_log, random_log, same_rows
 from logkeep.functions.patterns import TopicSelector
-from logkeep.operators.segments import by_absolute_offset
+from logkeep.operators.segments import by_absolute_offset, by_count, by_size_or_interval
 from logkeep.plans.jobs import BackupJob
 from logkeep.schemas import LOG_COLUMNS
 from logkeep.session import scratch_path, stored
 from logkeep.sources.archive import read_archive, read_segments
 from logkeep.sources.filelog import stream_log
 from logkeep.sinks import catalog
-from logkeep.streaming.backup import finish_run, run_scheduled, start_backup
+from logkeep.streaming.backup import finish_run, run_scheduled, start_backup, write_batch
+from logkeep.streaming.segments import latest_state
 from logkeep.streaming.totals import latest_totals, start_totals
 
 SIZES = {("a.x", 0): 200, ("a.y", 1): 90, ("b", 0): 30}
@@ -68,10 +72,72 @@ def test_streams_refuse_what_they_cannot_write(spark):
     log = make_log(spark, random_log(8, SIZES))
     source = scratch_path(spark, "source")
     log.write.parquet(source)
-    for more in ({}, {"segmentation": "offset", "layout": "objects"}, {"segmentation": "interval"}):
-        job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), **more)
-        with pytest.raises(ValueError, match="archive layout"):
-            start_backup(stream_log(spark, source), job, scratch_path(spark, "c"))
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), layout="objects")
+    with pytest.raises(ValueError, match="archive layout"):
+        start_backup(stream_log(spark, source), job, scratch_path(spark, "c"))
+
+
+def test_failed_stream_leaves_the_job_failed(spark):
+    source = scratch_path(spark, "source")
+    make_log(spark, random_log(8, SIZES)).write.parquet(source)
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), segmentation="offset")
+    bad = stream_log(spark, source).withColumn("value", F.raise_error(F.lit("broken")).cast("binary"))
+    with pytest.raises(Exception, match="broken"):
+        run_scheduled(bad, job, scratch_path(spark, "c"))
+    assert catalog.phase_of(spark, job.root, "s") == "Failed"
+    run(spark, job, source, scratch_path(spark, "c"))  # may be started again
+    assert catalog.phase_of(spark, job.root, "s") == "Completed"
+
+
+def in_batches(spark, log, job, cuts, replay=()):
+    """Micro-batches of an ordered log, cut at places of each partition; some come twice."""
+    place = F.row_number().over(Window.partitionBy("topic", "partition").orderBy("offset"))
+    placed = log.withColumn("_p", place)
+    for number, (low, high) in enumerate(zip((0, *cuts), (*cuts, 10**9))):
+        for _ in range(1 + (number in replay)):
+            write_batch(placed.where((F.col("_p") > low) & (F.col("_p") <= high)).drop("_p"), job, "q", number)
+
+
+@pytest.mark.parametrize("cuts", [(50,), (1, 2, 3, 4, 60), (7, 14, 15, 199), (13, 20, 55)])
+def test_count_segments_do_not_depend_on_batches(spark, cuts):
+    log = make_log(spark, random_log(11, SIZES)).cache()
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=7)
+    in_batches(spark, log, job, cuts, replay=(1,))
+    want = by_count(log, 7)
+    assert same_rows(read_archive(spark, job.root, "s").select(*want.columns), want)
+
+
+@pytest.mark.parametrize(("size", "wait", "cuts", "disorder"), [
+    (7, 20, (50,), 0), (7, 20, (1, 2, 3, 4, 60), 30), (1, 5, (9, 30), 0), (40, 9, (7, 14, 15, 199), 10), (500, 10**6, (13, 20), 0)])
+def test_interval_segments_do_not_depend_on_batches(spark, size, wait, cuts, disorder):
+    log = make_log(spark, random_log(12, SIZES, disorder=disorder)).cache()
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=size,
+                    segmentation="interval", interval_seconds=wait)
+    in_batches(spark, log, job, cuts, replay=(1,))
+    want = by_size_or_interval(log, size, wait)
+    assert same_rows(read_archive(spark, job.root, "s").select(*want.columns), want)
+
+
+def test_state_is_one_row_a_partition_and_old_states_go(spark):
+    log = make_log(spark, random_log(13, SIZES)).cache()
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=9)
+    in_batches(spark, log, job, (10, 20, 30, 40))
+    state = latest_state(spark, job.root, "s")
+    assert {(r.topic, r.partition): (r.segment, r.open) for r in state.collect()} == {
+        key: divmod(n, 9) for key, n in SIZES.items()}
+    assert len(glob.glob(f"{job.root}/catalog/state/backup_id=s/stream=q/batch=*")) == 2
+
+
+def test_new_checkpoint_goes_on_numbering(spark):
+    log = make_log(spark, random_log(14, SIZES)).cache()
+    job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=7)
+    late = log.where("offset > 150")
+    write_batch(log.where("offset <= 200"), job, "one", 0)
+    write_batch(late, job, "two", 0)  # reads a part again
+    want = by_count(log, 7)
+    finish_run(spark, job)
+    got = read_archive(spark, job.root, "s", deduplicate=True).select(*want.columns)
+    assert same_rows(stored(got), want)
 
 
 def test_totals(spark):
