@@ -77,13 +77,14 @@ def _write(spark, log, job, topic_facts, timestamp, started):
             sink.write_manifest(spark, job.root, job.backup_id, snapshot, files, compressed=job.compression)
             written = facts.of_files(files, job.backup_id, started)
     facts.write(facts.by_worker(written, job.workers, job.seed), job.root, job.backup_id, snapshot)
-    totals = describe(spark, job, snapshot, topic_facts, timestamp, prefix)
-    sink.commit(spark, job.root, job.backup_id, base, snapshot, job.layout, prefix, streams)
+    totals, entry = describe(spark, job, snapshot, topic_facts, timestamp, prefix)
+    sink.commit(spark, job.root, job.backup_id, base, snapshot, entry, job.layout, prefix, streams)
     return totals
 
 
 def describe(spark, job, snapshot, topic_facts=None, timestamp=None, prefix=""):
-    """Topics, segment pages and catalog entry of a snapshot whose manifest is stored."""
+    """Write topics and segment pages of a snapshot whose manifest is stored; gives its totals by
+    topic and its catalog entry."""
     own = sink.stored_manifest(spark, job.root, job.backup_id, snapshot)
     totals = topic_manifest(own)
     sink.write_topics(with_facts(totals, topic_facts), job.root, job.backup_id, snapshot)
@@ -95,9 +96,8 @@ def describe(spark, job, snapshot, topic_facts=None, timestamp=None, prefix=""):
     moment = timestamp or dt.datetime.now(dt.timezone.utc)
     config = {"batch_size": job.batch_size, "segmentation": job.segmentation,
               "workers": job.workers, "seed": job.seed, **job.config}
-    sink.write_backup_entry(spark, job.root, job.backup_id, snapshot, moment, job.compression, config,
-                            [r.topic for r in names])
-    return totals
+    entry = sink.entry_of(moment, job.compression, config, [r.topic for r in names])
+    return totals, entry
 
 
 def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
@@ -131,11 +131,11 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
     sink.write_topics(with_facts(totals, topic_facts), root, backup_id, snapshot)
     sink.write_pages(manifest, root, backup_id, snapshot)
     names = [r.topic for r in totals.select("topic").orderBy("topic").collect()]
-    sink.write_backup_entry(spark, root, backup_id, snapshot, timestamp, compressed, {"layout": "objects"}, names)
     left_out = stored(segmentfiles.quarantine(scanned), "left-out")
     read = facts.of_adopted(manifest, left_out, backup_id, started)
     facts.write(facts.by_worker(read), root, backup_id, snapshot)
-    sink.commit(spark, root, backup_id, base, snapshot, "objects")
+    entry = sink.entry_of(timestamp, compressed, {"layout": "objects"}, names)
+    sink.commit(spark, root, backup_id, base, snapshot, entry, "objects")
     bad = left_out.count()
     about = {"error": f"{bad} unreadable segments left out"} if bad else {}
     catalog.record(spark, root, backup_id, "backup", "Failed" if bad else "Completed",

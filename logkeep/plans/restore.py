@@ -15,7 +15,7 @@ from logkeep.sinks import facts as job_facts
 from logkeep.sinks.archive import checked_id
 from logkeep.sources import kafka, segmentfiles
 from logkeep.sources.archive import (
-    read_archive, read_backups, read_below, read_segments, read_topics)
+    read_archive, read_backups, read_below, read_segments, read_topics, snapshot_of)
 from logkeep.sources.filelog import read_log
 from logkeep.sources.storage import use_storage
 
@@ -26,10 +26,12 @@ def chosen_backup(spark, job):
     Deleted backups are not restored. One catalog row reaches the driver. None if there is
     no such backup.
     """
-    known = read_backups(spark, job.root, job.backup_id or None)
-    backups = live_backups(known, catalog.read_events(spark, job.root))
-    found = replay.latest_backup(backups, job.backup_timestamp if not job.backup_id else None)
-    row = found.first()
+    if job.backup_id:  # two small files tell
+        event = catalog.last_event(spark, job.root, job.backup_id)
+        gone = event is not None and event["deleted"] and event["kind"] == "backup"
+        return None if gone or snapshot_of(spark, job.root, job.backup_id) is None else job.backup_id
+    backups = live_backups(read_backups(spark, job.root), catalog.read_events(spark, job.root))
+    row = replay.latest_backup(backups, job.backup_timestamp).first()
     return row["backup_id"] if row and row["backup_id"] else None
 
 
@@ -60,12 +62,12 @@ def chosen_rows(spark, job, backup_id, opened=None):
     return _chosen(rows, job)
 
 
-def restored_rows(spark, job, target=None, opened=None):
+def restored_rows(spark, job, target=None, opened=None, backup_id=None):
     """Rows to replay. ``target`` is the log of the target, whose messages are not repeated
     unless the job overwrites; without it the target is empty.
     """
     use_storage(spark, job.storage)
-    backup_id = chosen_backup(spark, job)
+    backup_id = backup_id or chosen_backup(spark, job)
     if backup_id is None:
         raise LookupError(f"no backup for restore {job.restore_id}")
     rows = chosen_rows(spark, job, backup_id, opened)
@@ -249,7 +251,7 @@ def run_restore(spark, job, path, target=None):
                 target = _held(spark, job, path)
             if job.layout == "objects" and backup_id is not None:
                 opened = open_objects(spark, job, backup_id)
-            planned = restored_rows(spark, job, target, opened)
+            planned = restored_rows(spark, job, target, opened, backup_id)
             with sized_shuffles(planned):
                 if target is not None and not job.overwrite_existing:
                     planned = stored(planned, "restore")  # read once more to check the result
@@ -260,7 +262,7 @@ def run_restore(spark, job, path, target=None):
                     restore_to_files(planned, path, restore_id=job.restore_id)
                 files = restored_files(spark, path, job.restore_id)
                 outcomes = stored(partition_outcomes(spark, job, backup_id, planned, files, opened), "outcomes")
-                rows = stored(_progress(outcomes, job.restore_id), "progress")
+                rows = _progress(outcomes, job.restore_id)
                 job_facts.write(_facts(job, files, outcomes, opened, started),
                                 job.root, job.restore_id, f"{started.timestamp():.6f}")
             done = F.col("partitions_completed")

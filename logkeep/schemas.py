@@ -47,16 +47,18 @@ SEGMENTS_SCHEMA = (
     "start_offset bigint, end_offset bigint, message_count bigint, "
     "size_bytes bigint, storage_key string, checksum string"
 )
-# What one micro-batch added to a segment.
+# What one file of a micro-batch added to a segment.
 PIECES_SCHEMA = (
     "backup_id string, stream string, batch bigint, topic string, partition int, segment bigint, "
     "start_offset bigint, end_offset bigint, message_count bigint, offsets bigint, "
-    "size_bytes bigint, checksum string"
+    "size_bytes bigint, checksum bigint, file string, closed_at timestamp, started_at timestamp"
 )
-# A committed state of a backup: its number, the id of its catalog rows, and where its rows lie.
+# A committed state of a backup: its number, the id of its catalog rows, where its rows lie, and
+# its entry in the catalog of backups.
 SNAPSHOTS_SCHEMA = (
     "backup_id string, number bigint, snapshot string, layout string, prefix string, "
-    "streams array<struct<stream:string,last_batch:bigint>>"
+    "streams array<struct<stream:string,last_batch:bigint>>, timestamp timestamp, version string, "
+    "compression boolean, config map<string,string>, topics array<string>"
 )
 TOPICS_SCHEMA = (
     "name string, partitions int, replication_factor smallint, config map<string,string>"

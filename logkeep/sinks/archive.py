@@ -5,6 +5,7 @@ snapshot. Only the commit of a numbered snapshot record makes them the backup's;
 dies earlier leaves the backup as it was.
 """
 
+import datetime as dt
 import json
 import re
 import uuid
@@ -112,14 +113,10 @@ def write_manifest(spark, root, backup_id, snapshot, totals, prefix="", compress
     store_manifest(own, root, backup_id, snapshot)
 
 
-def write_pieces(totals, root, backup_id, stream, batch):
-    """What one micro-batch added, from its file totals.
-
-    A segment lies in one file of a batch unless its rows span two ranges, so its distinct
-    offsets add up.
-    """
+def write_pieces(totals, root, backup_id, stream, batch, started):
+    """What each file of one micro-batch added, from its file totals."""
     path = f"{root}/catalog/pieces/backup_id={backup_id}/stream={stream}/batch={int(batch)}"
-    added_up(totals, F.sum("offsets").alias("offsets")).write.mode("overwrite").parquet(path)
+    totals.withColumn("started_at", F.lit(started)).write.mode("overwrite").parquet(path)
 
 
 def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compressed=True):
@@ -131,15 +128,13 @@ def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compresse
     pieces, place = read_pieces(spark, root, backup_id), ["topic", "partition", "segment"]
     covered = [{"stream": r.stream, "last_batch": r.last_batch} for r in pieces.groupBy("stream").agg(
         F.max("batch").alias("last_batch")).collect()]
-    for s in covered:
-        pieces = pieces.where((F.col("stream") != s["stream"]) | (F.col("batch") <= s["last_batch"]))
+    pieces = up_to_batches(pieces, covered)
     twice = overlaps(pieces)
-    whole = added_up(
-        pieces.join(twice, place, "left_anti").withColumn(
-            "checksum", F.conv("checksum", 16, -10).cast("bigint"))
-    ).withColumn("backup_id", F.lit(backup_id)).withColumn("storage_key", storage_key(
+    copied = bool(twice.take(1))
+    once_only = pieces.join(twice, place, "left_anti") if copied else pieces
+    whole = added_up(once_only).withColumn("backup_id", F.lit(backup_id)).withColumn("storage_key", storage_key(
         F.col("backup_id"), *map(F.col, place), prefix, compressed))
-    if twice.take(1):
+    if copied:
         rows = _named(spark, root, backup_id, covered)
         again = full_manifest(once(rows.join(twice, place, "left_semi"), twice), prefix, compressed)
         whole = whole.unionByName(again)
@@ -147,12 +142,18 @@ def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compresse
     return covered
 
 
+def up_to_batches(rows, streams, beyond=False):
+    """Rows of the named streams' batches up to the last one named, or all but those."""
+    known = F.lit(False)
+    for s in streams:
+        known = known | ((F.col("stream") == s["stream"]) & (F.col("batch") <= s["last_batch"]))
+    return rows.where(~known if beyond else known)
+
+
 def _named(spark, root, backup_id, streams):
     rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(
         *[f"{backup_path(root, backup_id)}/stream={s['stream']}" for s in streams])
-    for s in streams:
-        rows = rows.where((F.col("stream") != s["stream"]) | (F.col("batch") <= s["last_batch"]))
-    return rows
+    return up_to_batches(rows, streams)
 
 
 def new_snapshot():
@@ -164,7 +165,15 @@ def _home(root, table, backup_id, snapshot):
     return f"{root}/catalog/{table}/backup_id={checked_id(backup_id)}/snapshot={snapshot}"
 
 
-def commit(spark, root, backup_id, base, snapshot, layout="archive", prefix="", streams=()):
+def entry_of(timestamp, compression, config, topics=(), version="1"):
+    """Catalog entry of a backup; a time without a zone is UTC."""
+    moment = dt.datetime.fromisoformat(timestamp) if isinstance(timestamp, str) else timestamp
+    moment = moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
+    return {"timestamp": moment.isoformat(), "version": version, "compression": compression,
+            "config": {str(k): str(v) for k, v in config.items()}, "topics": list(topics)}
+
+
+def commit(spark, root, backup_id, base, snapshot, entry, layout="archive", prefix="", streams=()):
     """Make a snapshot the newest one of its backup, if ``base`` still is.
 
     Until then readers see the snapshot before, whatever was written. Two runs that started
@@ -172,7 +181,7 @@ def commit(spark, root, backup_id, base, snapshot, layout="archive", prefix="",
     """
     number = base + 1
     record = {"number": number, "snapshot": snapshot, "layout": layout, "prefix": prefix,
-              "streams": list(streams)}
+              "streams": list(streams), **entry}
     folder = f"{snapshots_path(root)}/backup_id={checked_id(backup_id)}"
     if not commits.create_if_absent(spark, f"{folder}/{commits.file_name(number)}", json.dumps(record)):
         raise RuntimeError(f"another run of {backup_id} committed first")
@@ -191,7 +200,7 @@ def _sweep(spark, root, backup_id, record):
     own = f"backup_id={backup_id}"
     _keep(spark, f"{data_path(root)}/{own}", kept)
     _keep(spark, f"{root}/catalog/pieces/{own}", kept)
-    for table in ("segments", "topics", "pages", "backups"):
+    for table in ("segments", "topics", "pages"):
         _keep(spark, f"{root}/catalog/{table}/{own}", {f"snapshot={record['snapshot']}"})
     if record["layout"] == "objects":
         _keep(spark, f"{root}/runs/{own}", {record["prefix"].rsplit("/", 1)[-1]} if record["prefix"] else set())
@@ -223,16 +232,3 @@ def write_pages(segments, root, backup_id, snapshot):
     """Nested segment lists of a backup, in pages of bounded length."""
     path = _home(root, "pages", backup_id, snapshot)
     nested_manifest(segments).drop("backup_id").write.mode("overwrite").parquet(path)
-
-
-def write_backup_entry(spark, root, backup_id, snapshot, timestamp, compression, config, topics=(), version="1"):
-    """One row of the backup catalog, with the names of its topics."""
-    pairs = [F.lit(str(x)) for pair in config.items() for x in pair]
-    settings = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    spark.range(1).select(
-        F.lit(timestamp).cast("timestamp").alias("timestamp"),
-        F.lit(version).alias("version"),
-        F.lit(compression).alias("compression"),
-        settings.alias("config"),
-        F.array(*map(F.lit, topics)).cast("array<string>").alias("topics"),
-    ).coalesce(1).write.mode("overwrite").parquet(_home(root, "backups", backup_id, snapshot))

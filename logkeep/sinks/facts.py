@@ -38,16 +38,21 @@ def of_objects(objects, job_id, operation="put"):
                   file=F.col("storage_key"))
 
 
-def of_files(totals, job_id, started, operation="put"):
-    """Facts of Parquet files, from totals by file; a file holds rows of one topic-partition."""
-    per_file = totals.groupBy("topic", "partition", "file").agg(
+def of_files(totals, job_id, started=None, operation="put"):
+    """Facts of Parquet files, from totals by file; a file holds rows of one topic-partition.
+
+    Their writing began at ``started``, or at each row's ``started_at``.
+    """
+    if started is not None:
+        totals = totals.withColumn("started_at", F.lit(started))
+    per_file = totals.groupBy("topic", "partition", "file", "started_at").agg(
         F.sum("message_count").alias("messages"), F.sum("size_bytes").alias("bytes"),
         F.max("closed_at").alias("ts"),
         *[F.max(c).alias(c) for c in ("status", "error") if c in totals.columns])
     # files of one task carry its number, in the order of their writing
     task = F.regexp_extract("file", r"part-(\d+)-", 1)
-    before = F.lag("ts").over(Window.partitionBy(task).orderBy("ts", "topic", "partition", "file"))
-    since = F.coalesce(before, F.lit(started))
+    before = F.lag("ts").over(Window.partitionBy("started_at", task).orderBy("ts", "topic", "partition", "file"))
+    since = F.coalesce(before, F.col("started_at"))
     took = F.greatest(F.lit(0), F.unix_millis("ts") - F.unix_millis(since))
     more = {} if "status" in per_file.columns else {"status": F.lit("ok")}
     return _facts(per_file.withColumn("duration_ms", took), job_id, operation=F.lit(operation), **more)

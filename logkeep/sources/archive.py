@@ -31,7 +31,8 @@ def snapshot_of(spark, root, backup_id):
 def read_snapshots(spark, root):
     """Newest snapshot record of each backup."""
     records = read_below(spark, SNAPSHOTS_SCHEMA, snapshots_path(root), "json")
-    newest = F.max_by(F.struct("snapshot", "layout", "prefix", "streams"), "number").alias("_s")
+    kept = [f.name for f in records.schema if f.name not in ("backup_id", "number")]
+    newest = F.max_by(F.struct(*kept), "number").alias("_s")
     return records.groupBy("backup_id").agg(newest).select("backup_id", "_s.*")
 
 
@@ -71,7 +72,8 @@ def read_archive(spark, root, backup_id=None, deduplicate=False):
                 for s in record["streams"] if s["last_batch"] is not None]
         for beyond in late:
             rows = rows.where(~beyond)
-    if not deduplicate:
+    streamed = record is None or any(s["last_batch"] is not None for s in record["streams"])
+    if not deduplicate or not streamed:
         return rows
     twice = overlaps(read_pieces(spark, root, backup_id))
     if not twice.take(1):
@@ -148,5 +150,6 @@ def read_topics(spark, root, backup_id=None):
     return current_table(spark, root, "topics", "backup_id string, " + TOPICS_SCHEMA, backup_id)
 
 
-def read_backups(spark, root, backup_id=None):
-    return current_table(spark, root, "backups", BACKUPS_SCHEMA, backup_id)
+def read_backups(spark, root):
+    """Catalog entry of each backup, as its newest snapshot has it."""
+    return read_snapshots(spark, root).select(*T.StructType.fromDDL(BACKUPS_SCHEMA).fieldNames())

@@ -7,9 +7,10 @@ import threading
 from logkeep.operators.segments import by_absolute_offset
 from logkeep.operators.topics import select_for_backup
 from logkeep.plans.backup import describe
-from logkeep.session import landed, sized_shuffles, stored
+from logkeep.session import landed, sized_shuffles
 from logkeep.sinks import archive as sink
 from logkeep.sinks import catalog, facts
+from logkeep.sources.archive import read_pieces
 from logkeep.sources.storage import use_storage
 from logkeep.streaming import segments
 
@@ -59,22 +60,23 @@ def start_backup(stream, job, checkpoint, interval_seconds=None):
 
 
 def write_batch(batch, job, stream, number):
-    """Archive one micro-batch: rows, what it added to each segment, facts, and the state after it."""
+    """Archive one micro-batch: rows, the state after them, and what each file added.
+
+    Offset ranges need one pass over the batch; other segments count it first, so it is landed.
+    """
     spark, started = batch.sparkSession, dt.datetime.now(dt.timezone.utc)
-    state, land = None, job.segmentation != "offset"
+    land = job.segmentation != "offset"
     with landed(batch) if land else contextlib.nullcontext(batch) as rows, sized_shuffles(rows):
         if land:
             before = segments.state_before(spark, job.root, job.backup_id, stream, number)
             found, state = segments.cut(rows, job, before)
         else:
             found = by_absolute_offset(rows, job.batch_size)
-        sink.write_rows(found, job.root, job.backup_id, batch=number, stream=stream)
-    files = stored(sink.file_totals(sink.read_batch(spark, job.root, job.backup_id, stream, number)), "files")
-    sink.write_pieces(files, job.root, job.backup_id, stream, number)
-    written = facts.by_worker(facts.of_files(files, job.backup_id, started), job.workers, job.seed)
-    facts.write(written, job.root, job.backup_id, f"{stream}-{int(number)}")
-    if state is not None:
-        segments.write_state(state, job.root, job.backup_id, stream, number)
+        sink.write_rows(found, job.root, job.backup_id, batch=number, stream=stream, cluster=not land)
+        if land:
+            segments.write_state(state, job.root, job.backup_id, stream, number)
+    files = sink.file_totals(sink.read_batch(spark, job.root, job.backup_id, stream, number))
+    sink.write_pieces(files, job.root, job.backup_id, stream, number, started)
 
 
 def _attend(spark, query, job):
@@ -102,14 +104,18 @@ def finish_run(spark, job, topic_facts=None, timestamp=None):
     """Manifest, topics and catalog entry over all batches written so far, as a new snapshot.
 
     The pieces that batches recorded are added up; rows are read again only where they
-    overlap.
+    overlap. The batches since the last snapshot give the facts of this run.
     """
-    base, _ = sink.base_of(spark, job.root, job.backup_id)
+    base, earlier = sink.base_of(spark, job.root, job.backup_id)
     snapshot = sink.new_snapshot()
     streams = sink.write_pieced_manifest(
         spark, job.root, job.backup_id, snapshot, compressed=job.compression)
-    totals = describe(spark, job, snapshot, topic_facts, timestamp)
-    sink.commit(spark, job.root, job.backup_id, base, snapshot, streams=streams)
+    known = [s for s in (earlier or {"streams": []})["streams"] if s["last_batch"] is not None]
+    new = sink.up_to_batches(read_pieces(spark, job.root, job.backup_id), streams)
+    written = facts.of_files(sink.up_to_batches(new, known, beyond=True), job.backup_id)
+    facts.write(facts.by_worker(written, job.workers, job.seed), job.root, job.backup_id, snapshot)
+    totals, entry = describe(spark, job, snapshot, topic_facts, timestamp)
+    sink.commit(spark, job.root, job.backup_id, base, snapshot, entry, streams=streams)
     catalog.record(spark, job.root, job.backup_id, "backup", "Completed", backup_id=job.backup_id)
     return totals
 

@@ -43,7 +43,7 @@ def state_before(spark, root, backup_id, stream, batch):
 
 
 def latest_state(spark, root, backup_id, without=None):
-    """State after the last batches of all streams: the furthest one of each partition."""
+    """State after the last batches of all streams: the furthest one of each partition. None at first."""
     home = state_path(root, backup_id)
     ends = []
     for name, _ in commits.children(spark, home):
@@ -51,7 +51,7 @@ def latest_state(spark, root, backup_id, without=None):
         if batches and name != f"stream={without}":
             ends.append(f"{home}/{name}/batch={batches[-1]}")
     if not ends:
-        return spark.createDataFrame([], STATE_SCHEMA)
+        return None
     rows = spark.read.schema(STATE_SCHEMA).parquet(*ends)
     furthest = F.max(F.struct("last_offset", "segment", "open", "flushed_us")).alias("_s")
     return rows.groupBy(*KEYS).agg(furthest).select(*KEYS, "_s.segment", "_s.open", "_s.flushed_us", "_s.last_offset")
@@ -67,46 +67,51 @@ def write_state(state, root, backup_id, stream, batch):
             commits.delete(spark, f"{path.rsplit('/', 1)[0]}/batch={old}")
 
 
-def cut(rows, job, state, width=BUCKET_ROWS):
+def cut(rows, job, state=None, width=BUCKET_ROWS):
     """``rows`` of one micro-batch with their segment, and the state after it.
 
-    Read more than once; pass stored rows.
+    Rows and state are read more than once; pass stored ones.
     """
-    state = stored(state, "state")
-    joined = rows.join(F.broadcast(state.select(*KEYS, "last_offset")), KEYS, "left")  # one row a partition
-    seen = F.coalesce(F.col("offset") <= F.col("last_offset"), F.lit(False))
-    fresh = joined.where(~seen).drop("last_offset")
-    if job.segmentation == "count":
-        found, after = _by_count(fresh, job.batch_size, state, width)
-    else:
-        found, after = _by_interval(fresh, job, state, width)
-    repeats = joined.where(seen).drop("last_offset")
-    if not repeats.isEmpty():
-        found = found.unionByName(_placed(repeats, job, width).select(*found.columns))
-    untouched = state.join(after.select(*KEYS), KEYS, "left_anti")
-    return found, stored(after.unionByName(untouched), "state")
-
-
-def _by_count(fresh, size, state, width):
-    numbered = number_within(fresh, KEYS, ["offset"], "_row", width).join(
-        F.broadcast(state.select(*KEYS, F.col("segment").alias("_segment"), "open")), KEYS, "left")
-    position = F.coalesce("open", F.lit(0)) + F.col("_row")
-    found = numbered.withColumn("segment", F.coalesce("_segment", F.lit(0)) + F.call_function(
-        "div", position, F.lit(int(size))).cast("bigint")).drop("_row", "_segment", "open")
+    fresh, repeats = rows, None
+    if state is not None:
+        joined = rows.join(F.broadcast(state.select(*KEYS, "last_offset")), KEYS, "left")  # one row a partition
+        seen = F.coalesce(F.col("offset") <= F.col("last_offset"), F.lit(False))
+        fresh, repeats = (joined.where(side).drop("last_offset") for side in (~seen, seen))
+    by = _by_count if job.segmentation == "count" else _by_interval
+    found, after = by(fresh, job, state, width)
+    if state is not None:
+        if not repeats.isEmpty():
+            found = found.unionByName(_placed(repeats, job, width).select(*found.columns))
+        after = after.unionByName(state.join(after.select(*KEYS), KEYS, "left_anti"))
+    return found, after
+
+
+def _by_count(fresh, job, state, width):
+    size, zero = F.lit(int(job.batch_size)), F.lit(0).cast("bigint")
+    numbered = number_within(fresh, KEYS, ["offset"], "_row", width)
     counted = fresh.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.max("offset").alias("last_offset"))
-    total = F.coalesce("open", F.lit(0)) + F.col("_n")
-    after = counted.join(state.drop("last_offset"), KEYS, "left").select(
-        *KEYS, (F.coalesce("segment", F.lit(0)) + F.call_function("div", total, F.lit(int(size)))).cast("bigint").alias("segment"),
-        (total % int(size)).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("flushed_us"), "last_offset")
-    return found, stored(after, "state")
+    base = [zero.alias("_segment"), zero.alias("_open")]
+    if state is not None:
+        was = F.broadcast(state.select(*KEYS, F.col("segment").alias("_s"), F.col("open").alias("_o")))
+        base = [F.coalesce("_s", zero).alias("_segment"), F.coalesce("_o", zero).alias("_open")]
+        numbered, counted = (side.join(was, KEYS, "left") for side in (numbered, counted))
+    number = (F.col("_segment") + F.call_function("div", F.col("_open") + F.col("_row"), size)).cast("bigint")
+    found = numbered.select("*", *base).withColumn("segment", number).select(*fresh.columns, "segment")
+    total = F.col("_open") + F.col("_n")
+    after = counted.select("*", *base).select(
+        *KEYS, (F.col("_segment") + F.call_function("div", total, size)).cast("bigint").alias("segment"),
+        (total % size).cast("bigint").alias("open"), zero.alias("flushed_us"), "last_offset")
+    return found, after
 
 
 def _by_interval(fresh, job, state, width):
     starts, after = flush.walk(fresh, job.batch_size, int(job.interval_seconds * 1_000_000), state, width=width)
-    # the open segment goes on with the first message of the batch
-    going_on = fresh.groupBy(*KEYS).agg(F.min("offset").alias("offset")).join(
-        state.where("open > 0").select(*KEYS, "segment"), KEYS).select(*KEYS, "segment", "offset")
-    return flush.assign(fresh, starts.unionByName(going_on), width), stored(after, "state")
+    if state is not None:
+        # the open segment goes on with the first message of the batch
+        going_on = fresh.groupBy(*KEYS).agg(F.min("offset").alias("offset")).join(
+            state.where("open > 0").select(*KEYS, "segment"), KEYS).select(*KEYS, "segment", "offset")
+        starts = starts.unionByName(going_on)
+    return flush.assign(fresh, starts, width).select(*fresh.columns, "segment"), after
 
 
 def _placed(repeats, job, width):

@@ -183,9 +183,10 @@ def test_second_of_two_commits_on_one_snapshot_fails(spark, log):
     run_backup(log, BackupJob("b", root, ALL))
     base, _ = sink.base_of(spark, root, "b")
     old = snapshot_of(spark, root, "b")
-    sink.commit(spark, root, "b", base, old["snapshot"], streams=old["streams"])
+    entry = sink.entry_of(at(0), True, {})
+    sink.commit(spark, root, "b", base, old["snapshot"], entry, streams=old["streams"])
     with pytest.raises(RuntimeError, match="committed first"):
-        sink.commit(spark, root, "b", base, "other")
+        sink.commit(spark, root, "b", base, "other", entry)
     assert same_rows(restored(spark, root), log)
 
 

@@ -30,7 +30,7 @@ def test_stream_equals_batch_over_several_runs(spark):
     job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "a.*"),), batch_size=7,
                     segmentation="offset")
     for part in log.randomSplit([1.0, 1.0, 1.0], seed=5):
-        part.write.mode("append").parquet(source)
+        part.coalesce(2).write.mode("append").parquet(source)
         run(spark, job, source, checkpoint)
         run(spark, job, source, checkpoint)  # nothing new
     want = by_absolute_offset(log.where("topic <> 'b'"), 7)
@@ -98,7 +98,7 @@ def in_batches(spark, log, job, cuts, replay=()):
             write_batch(placed.where((F.col("_p") > low) & (F.col("_p") <= high)).drop("_p"), job, "q", number)
 
 
-@pytest.mark.parametrize("cuts", [(50,), (1, 2, 3, 4, 60), (7, 14, 15, 199), (13, 20, 55)])
+@pytest.mark.parametrize("cuts", [(1, 2, 60), (7, 14, 199)])
 def test_count_segments_do_not_depend_on_batches(spark, cuts):
     log = make_log(spark, random_log(11, SIZES)).cache()
     job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=7)
@@ -108,7 +108,7 @@ def test_count_segments_do_not_depend_on_batches(spark, cuts):
 
 
 @pytest.mark.parametrize(("size", "wait", "cuts", "disorder"), [
-    (7, 20, (50,), 0), (7, 20, (1, 2, 3, 4, 60), 30), (1, 5, (9, 30), 0), (40, 9, (7, 14, 15, 199), 10), (500, 10**6, (13, 20), 0)])
+    (7, 20, (1, 2, 60), 30), (1, 5, (9,), 0), (500, 10**6, (13, 20), 0)])
 def test_interval_segments_do_not_depend_on_batches(spark, size, wait, cuts, disorder):
     log = make_log(spark, random_log(12, SIZES, disorder=disorder)).cache()
     job = BackupJob("s", scratch_path(spark, "root"), (TopicSelector("glob", "*"),), batch_size=size,
