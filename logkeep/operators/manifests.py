@@ -56,6 +56,8 @@ def full_manifest(rows, prefix="", compressed=True):
             F.count(F.lit(1)).alias("message_count"),
             F.sum("size_bytes").alias("size_bytes"),
             F.hex(F.bit_xor("row_hash")).alias("checksum"),
+            F.min("timestamp").alias("first_time"),
+            F.max("timestamp").alias("last_time"),
         )
         .withColumn(
             "storage_key",

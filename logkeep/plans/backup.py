@@ -116,13 +116,15 @@ def adopt_objects(spark, root, backup_id, timestamp, topic_facts=None):
         F.min("offset").alias("start_offset"),
         F.max("offset").alias("end_offset"),
         F.count(F.lit(1)).alias("message_count"),
+        F.min("timestamp").alias("first_time"),
+        F.max("timestamp").alias("last_time"),
     )
     listed = list_segments(spark, folder).select(*place, "size_bytes", "storage_key", "compressed")
     manifest = stored(
         counts.join(listed, place).select(
             F.lit(backup_id).alias("backup_id"), *place, "start_offset", "end_offset",
             "message_count", "size_bytes", "storage_key",
-            F.lit(None).cast("string").alias("checksum"), "compressed",
+            F.lit(None).cast("string").alias("checksum"), "first_time", "last_time", "compressed",
         )
     )
     compressed = bool(manifest.agg(F.max("compressed")).first()[0])

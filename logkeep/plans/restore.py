@@ -43,9 +43,19 @@ def _chosen(rows, job):
     return replay.rename_topics(_wanted(rows, job), job.mapping)
 
 
+def in_time(job):
+    """Whether a segment may hold messages up to the job's moment; those of unknown times may."""
+    if job.layout != "objects" or job.backup_timestamp is None:
+        return F.lit(True)
+    return F.coalesce(F.col("first_time") <= F.lit(job.backup_timestamp), F.lit(True))
+
+
 def open_objects(spark, job, backup_id):
-    """Stored messages and facts of the objects that the manifest names and the job chooses."""
-    named = _wanted(read_segments(spark, job.root, backup_id), job)
+    """Stored messages and facts of the objects that the manifest names and the job chooses.
+
+    Objects whose first message is later than the job's moment are not opened.
+    """
+    named = _wanted(read_segments(spark, job.root, backup_id), job).where(in_time(job))
     return segmentfiles.open_named(named, job.root, job.storage)
 
 
@@ -170,7 +180,7 @@ def partition_outcomes(spark, job, backup_id, planned, files, opened=None):
     place = ["topic", "partition"]
     target = F.col("target_topic").alias("topic")
     named = _chosen(read_segments(spark, job.root, backup_id), job).groupBy(target, "partition").agg(
-        F.sum("message_count").alias("_named"))
+        F.sum(F.when(in_time(job), F.col("message_count")).otherwise(0)).alias("_named"))
     held = chosen_rows(spark, job, backup_id, opened).groupBy(target, "partition").agg(
         F.count(F.lit(1)).alias("_held"))
     wanted = _check(planned, "target_topic").select(

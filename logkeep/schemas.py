@@ -45,13 +45,13 @@ ARCHIVE_SCHEMA = T.StructType(
 SEGMENTS_SCHEMA = (
     "backup_id string, topic string, partition int, segment bigint, "
     "start_offset bigint, end_offset bigint, message_count bigint, "
-    "size_bytes bigint, storage_key string, checksum string"
+    "size_bytes bigint, storage_key string, checksum string, first_time timestamp, last_time timestamp"
 )
 # What one file of a micro-batch added to a segment.
 PIECES_SCHEMA = (
     "backup_id string, stream string, batch bigint, topic string, partition int, segment bigint, "
     "start_offset bigint, end_offset bigint, message_count bigint, offsets bigint, "
-    "size_bytes bigint, checksum bigint, file string, closed_at timestamp, started_at timestamp"
+    "size_bytes bigint, checksum bigint, first_time timestamp, last_time timestamp, file string, closed_at timestamp, started_at timestamp"
 )
 # A committed state of a backup: its number, the id of its catalog rows, where its rows lie, and
 # its entry in the catalog of backups.

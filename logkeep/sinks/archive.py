@@ -91,10 +91,12 @@ def file_totals(rows):
         F.count_distinct("offset").alias("offsets"),
         F.sum("size_bytes").alias("size_bytes"),
         F.bit_xor("row_hash").alias("checksum"),
+        F.min("timestamp").alias("first_time"),
+        F.max("timestamp").alias("last_time"),
     )
 
 
-def added_up(totals, *more):
+def added_up(totals):
     """Manifest columns of each segment from totals of its parts."""
     return totals.groupBy("topic", "partition", "segment").agg(
         F.min("start_offset").alias("start_offset"),
@@ -102,7 +104,8 @@ def added_up(totals, *more):
         F.sum("message_count").alias("message_count"),
         F.sum("size_bytes").alias("size_bytes"),
         F.hex(F.bit_xor("checksum")).alias("checksum"),
-        *more,
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
     )
 
 

@@ -22,14 +22,16 @@ from logkeep.functions.paths import storage_key, topic_metadata_key
 RESULT = (
     "backup_id string, topic string, partition int, segment bigint, start_offset bigint, "
     "end_offset bigint, message_count bigint, size_bytes bigint, storage_key string, "
-    "checksum string, duration_ms bigint, attempt bigint, finished_at timestamp"
+    "checksum string, duration_ms bigint, attempt bigint, finished_at timestamp, "
+    "first_time timestamp, last_time timestamp"
 )
 _RESULT_TYPE = pa.schema(
     [("backup_id", pa.string()), ("topic", pa.string()), ("partition", pa.int32()),
      ("segment", pa.int64()), ("start_offset", pa.int64()), ("end_offset", pa.int64()),
      ("message_count", pa.int64()), ("size_bytes", pa.int64()), ("storage_key", pa.string()),
      ("checksum", pa.string()), ("duration_ms", pa.int64()), ("attempt", pa.int64()),
-     ("finished_at", pa.timestamp("us", tz="UTC"))]
+     ("finished_at", pa.timestamp("us", tz="UTC")), ("first_time", pa.timestamp("us", tz="UTC")),
+     ("last_time", pa.timestamp("us", tz="UTC"))]
 )
 
 
@@ -41,7 +43,7 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None, storag
     """
     checked_id(backup_id)
     rows = segmented.select(
-        F.lit(backup_id).alias("backup_id"), "topic", "partition", "segment", "offset",
+        F.lit(backup_id).alias("backup_id"), "topic", "partition", "segment", "offset", "timestamp",
         (message_json() if json is None else json).alias("json"),
         storage_key(
             F.lit(backup_id), F.col("topic"), F.col("partition"), F.col("segment"),
@@ -126,6 +128,7 @@ class _Object:
         self.sink = filesystem.open_output_stream(self.staged, compression=None)
         self.digest, self.size = hashlib.sha256(), 0
         self.count, self.last, self.started = 0, None, time.monotonic()
+        self.times = []
         # No clock in the gzip head, so that a repeat gives the same bytes.
         self.gzip = gzip.GzipFile("", "wb", 6, fileobj=self, mtime=0) if compressed else None
 
@@ -138,12 +141,17 @@ class _Object:
     def flush(self):
         pass
 
-    def add(self, joined, count, last):
-        """Add ``count`` messages, joined by commas, the last of them at offset ``last``."""
+    def add(self, joined, count, last, times):
+        """Add ``count`` messages, joined by commas, the last of them at offset ``last``.
+
+        ``times`` are the least and the greatest of their times, if they have any.
+        """
         sink = self.gzip or self
         sink.write(b"," if self.count else b"[")
         sink.write(joined)
         self.count, self.last = self.count + count, last
+        self.times = [*self.times, *(t for t in times if t is not None)]
+        self.times = [min(self.times), max(self.times)] if self.times else []
 
     def finish(self):
         (self.gzip or self).write(b"]")
@@ -155,7 +163,7 @@ class _Object:
         return (row["backup_id"], row["topic"], row["partition"], row["segment"], row["offset"],
                 self.last, self.count, self.size, row["storage_key"], self.digest.hexdigest(),
                 round(1000 * (time.monotonic() - self.started)), attempt_id(),
-                dt.datetime.now(dt.timezone.utc))
+                dt.datetime.now(dt.timezone.utc), *(self.times or (None, None)))
 
 
 def attempt_id():
@@ -187,7 +195,8 @@ def _write(batches, place, compressed):
                 current = _Object(filesystem, base, row, compressed)
             piece = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), json.slice(first, count))
             joined = pc.binary_join(piece, b",")[0].as_buffer()
-            current.add(joined, count, places.column("offset")[first + count - 1].as_py())
+            span = pc.min_max(places.column("timestamp").slice(first, count)).as_py()
+            current.add(joined, count, places.column("offset")[first + count - 1].as_py(), span.values())
         if done:
             yield _result(done)
     if current is not None:

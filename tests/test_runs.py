@@ -264,6 +264,26 @@ def test_old_objects_under_the_id_are_not_restored(spark, log):
     assert same_rows(restored(spark, job.root, layout="objects"), log)
 
 
+def test_manifest_has_the_times_of_its_segments(spark, log):
+    want = segments.by_count(log, 10).groupBy("topic", "partition", "segment").agg(
+        F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
+    for layout in ("archive", "objects"):
+        job = BackupJob("b", scratch_path(spark, "root"), ALL, batch_size=10, layout=layout)
+        run_backup(log, job)
+        assert same_rows(read_segments(spark, job.root).select(*want.columns), want)
+
+
+def test_objects_after_the_moment_are_not_opened(spark, log):
+    job = object_backup(spark, log)
+    moment = log.where("topic = 'a' AND partition = 0").agg(F.percentile_approx("timestamp", 0.5)).first()[0]
+    asked = RestoreJob("x", job.root, "b", layout="objects", backup_timestamp=moment)
+    opened = restore.open_objects(spark, asked, "b")
+    named = read_segments(spark, job.root)
+    assert 0 < segmentfiles.named_facts(opened).count() == named.where(F.col("first_time") <= F.lit(moment)).count() < named.count()
+    want = log.where(F.col("timestamp") <= F.lit(moment))
+    assert same_rows(restored(spark, job.root, layout="objects", backup_timestamp=moment), want)
+
+
 # Facts.
 
 

@@ -1,5 +1,7 @@
 """Queries on whole runs: facts, snapshots, restores by manifest, streams with state, replays."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from logkeep.functions.patterns import TopicSelector
@@ -276,3 +278,22 @@ def archive_same(spark, sf_dir):
     one, two = (hashtree.leaves(read_archive(spark, root, name), 256) for name in ("one", "two"))
     differing = hashtree.differing_ranges(one, two).count()
     return one.agg(F.sum("messages").alias("messages")).withColumn("differing", F.lit(differing).cast("bigint"))
+
+
+@query("point_in_time_pruned", f"""WITH {sql.EVENTS}, segmented AS (SELECT *, {sql.count_segment_sql(25)} AS segment FROM events_log),
+objects AS (SELECT topic, "partition", segment, min("timestamp") AS first_time FROM segmented GROUP BY topic, "partition", segment),
+opened AS (SELECT topic, count(*) AS opened FROM objects WHERE first_time <= TIMESTAMP '2024-01-10 12:00:00' GROUP BY topic)
+SELECT topic, count(DISTINCT "partition") AS partitions_total, count(DISTINCT "partition") AS partitions_completed,
+  CAST(count_if("timestamp" <= TIMESTAMP '2024-01-10 12:00:00') AS BIGINT) AS messages, coalesce(any_value(opened), 0) AS opened
+FROM events_log LEFT JOIN opened USING (topic) GROUP BY topic""")
+def point_in_time_pruned(spark, sf_dir):
+    """A restore up to a time opens only objects that can hold messages before it."""
+    job = BackupJob("nightly", scratch_path(spark, "moment"), EVERY, batch_size=25, layout="objects")
+    run_backup(logs.log(spark, sf_dir, "events"), job)
+    moment = dt.datetime(2024, 1, 10, 12, tzinfo=dt.timezone.utc)
+    rows = restore.run_restore(
+        spark, RestoreJob("r", job.root, "nightly", backup_timestamp=moment, layout="objects"), scratch_path(spark, "out"))
+    opened = read_facts(spark, job.root, "r").where("operation = 'get'").groupBy("topic").agg(
+        F.count(F.lit(1)).alias("opened"))
+    return rows.join(opened, "topic", "left").na.fill({"opened": 0}).select(
+        "topic", "partitions_total", "partitions_completed", "messages", "opened")
