@@ -225,7 +225,11 @@ def _facts(job, files, outcomes, opened, started):
 
 def verify_archive(spark, root, backup_id):
     """Rows per segment whose stored hash is not that of their fields."""
-    rows = read_archive(spark, root, backup_id)
+    return verify_rows(read_archive(spark, root, backup_id))
+
+
+def verify_rows(rows):
+    """The same for archived rows from anywhere."""
     wrong = F.sum((row_hash() != F.col("row_hash")).cast("long")).alias("damaged")
     return rows.groupBy("topic", "partition", "segment").agg(F.count(F.lit(1)).alias("messages"), wrong)
 

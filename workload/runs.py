@@ -297,3 +297,19 @@ def point_in_time_pruned(spark, sf_dir):
         F.count(F.lit(1)).alias("opened"))
     return rows.join(opened, "topic", "left").na.fill({"opened": 0}).select(
         "topic", "partitions_total", "partitions_completed", "messages", "opened")
+
+
+@query("archive_damaged", f"""WITH {sql.EVENTS}, segmented AS (SELECT *, {sql.count_segment_sql(50)} AS segment FROM events_log)
+SELECT topic, "partition", segment, count(*) AS messages,
+  CAST(count_if("offset" % 7 = 1 OR "offset" % 7 = 3 OR ("offset" % 7 = 5 AND "value" IS NOT NULL)) AS BIGINT) AS damaged
+FROM segmented GROUP BY topic, "partition", segment""")
+def archive_damaged(spark, sf_dir):
+    """Stored hashes tell which messages were changed in the archive: key, time, a value lost."""
+    job = BackupJob("nightly", scratch_path(spark, "damage"), EVERY, batch_size=50)
+    run_backup(logs.log(spark, sf_dir, "events"), job)
+    place = F.col("offset") % 7
+    rows = read_archive(spark, job.root, "nightly").withColumn(
+        "key", F.when(place == 1, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("key"))).withColumn(
+        "timestamp", F.when(place == 3, F.col("timestamp") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("timestamp"))).withColumn(
+        "value", F.when(place == 5, F.lit(None)).otherwise(F.col("value")))
+    return restore.verify_rows(rows)
