@@ -49,14 +49,14 @@ def test_whole_table(spark, sf_dir, all_docs):
     assert rows(got) == want and {r[2] for r in want} == {"pair", "term"}
 
 
-@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("folder", ["sf0.001"])
 def test_sql_twin(spark, folder):
     folder = f"/root/testdata/{folder}"
     found, _ = differences(spark, folder, QUERIES[NAME], ORACLES[NAME], duck(folder))
     assert found == ""
 
 
-@pytest.mark.parametrize(("bits", "min_docs", "top"), [(0, 2, 3), (2, 3, 50), (5, 30, 4), (64, 1, 1)])
+@pytest.mark.parametrize(("bits", "min_docs", "top"), [(0, 2, 3), (3, 3, 50), (64, 1, 1)])
 def test_digests_that_terms_share_are_split(spark, all_docs, bits, min_docs, top):
     docs = all_docs.where("n_chars < 1500").limit(60).cache()
     got = D.source_divergence(docs, min_docs, top, bits)
