@@ -58,6 +58,20 @@ def number_within(df, keys, order, out, width=BUCKET_ROWS, buckets=None):
     )
 
 
+def total_before(df, keys, order, value, out, width=BUCKET_ROWS):
+    """Sum of an integer ``value`` over the rows before each row, inside its key.
+
+    ``order`` is an integer column, unique inside a key.
+    """
+    df = df.withColumn("_bucket", bucket_of(order, width))
+    group = [*keys, "_bucket"]
+    bases = df.groupBy(*group).agg(F.sum(value).alias("_sum")).withColumn(
+        "_base", F.coalesce(F.sum("_sum").over(_before(keys, ["_bucket"])), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(value).over(_before(group, [order])), F.lit(0))
+    return df.withColumn("_inside", inside).join(bases, group).withColumn(
+        out, (F.col("_base") + F.col("_inside")).cast("bigint")).drop("_inside", "_base", "_bucket")
+
+
 def previous_within(df, keys, order, columns, prefix="prev_", width=BUCKET_ROWS):
     """Values of the row before, inside each key, as ``prev_<column>``."""
     df = df.withColumn("_bucket", bucket_of(order, width))

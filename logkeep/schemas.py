@@ -54,10 +54,11 @@ PIECES_SCHEMA = (
     "size_bytes bigint, checksum bigint, first_time timestamp, last_time timestamp, file string, closed_at timestamp, started_at timestamp"
 )
 # A committed state of a backup: its number, the id of its catalog rows, where its rows lie, and
-# its entry in the catalog of backups.
+# its entry in the catalog of backups. Of a stream the batches behind ``after`` up to
+# ``last_batch`` count; those before were compacted into another stream.
 SNAPSHOTS_SCHEMA = (
     "backup_id string, number bigint, snapshot string, layout string, prefix string, "
-    "streams array<struct<stream:string,last_batch:bigint>>, timestamp timestamp, version string, "
+    "streams array<struct<stream:string,last_batch:bigint,after:bigint>>, timestamp timestamp, version string, "
     "compression boolean, config map<string,string>, topics array<string>"
 )
 TOPICS_SCHEMA = (

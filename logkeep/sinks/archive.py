@@ -19,7 +19,7 @@ from logkeep.operators.ordering import BUCKET_ROWS, bucket_of
 from logkeep.schemas import ARCHIVE_SCHEMA, SEGMENTS_SCHEMA
 from logkeep.sinks import commits
 from logkeep.sources.archive import (
-    backup_path, data_path, once, overlaps, read_pieces, snapshots_path)
+    backup_path, data_path, once, overlaps, read_pieces, rows_of_streams, snapshot_of, snapshots_path)
 
 FOLDERS = ("backup_id", "stream", "batch")
 #: Stream name of backups that are not streamed.
@@ -131,6 +131,12 @@ def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compresse
     pieces, place = read_pieces(spark, root, backup_id), ["topic", "partition", "segment"]
     covered = [{"stream": r.stream, "last_batch": r.last_batch} for r in pieces.groupBy("stream").agg(
         F.max("batch").alias("last_batch")).collect()]
+    # what a compaction replaced stays replaced, whether or not its stream goes on
+    earlier = (snapshot_of(spark, root, backup_id) or {"streams": []})["streams"]
+    after = {s["stream"]: s["after"] for s in earlier if s.get("after") is not None}
+    ended = {s["stream"]: s["last_batch"] for s in covered}
+    covered = [{"stream": s, "last_batch": ended.get(s, after.get(s)), "after": after.get(s)}
+               for s in sorted({*ended, *after})]
     pieces = up_to_batches(pieces, covered)
     twice = overlaps(pieces)
     copied = bool(twice.take(1))
@@ -138,7 +144,7 @@ def write_pieced_manifest(spark, root, backup_id, snapshot, prefix="", compresse
     whole = added_up(once_only).withColumn("backup_id", F.lit(backup_id)).withColumn("storage_key", storage_key(
         F.col("backup_id"), *map(F.col, place), prefix, compressed))
     if copied:
-        rows = _named(spark, root, backup_id, covered)
+        rows = rows_of_streams(spark, root, backup_id, covered)
         again = full_manifest(once(rows.join(twice, place, "left_semi"), twice), prefix, compressed)
         whole = whole.unionByName(again)
     store_manifest(whole, root, backup_id, snapshot)
@@ -153,12 +159,6 @@ def up_to_batches(rows, streams, beyond=False):
     return rows.where(~known if beyond else known)
 
 
-def _named(spark, root, backup_id, streams):
-    rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(
-        *[f"{backup_path(root, backup_id)}/stream={s['stream']}" for s in streams])
-    return up_to_batches(rows, streams)
-
-
 def new_snapshot():
     """Id under which a run writes its catalog rows before they count."""
     return uuid.uuid4().hex
@@ -176,11 +176,13 @@ def entry_of(timestamp, compression, config, topics=(), version="1"):
             "config": {str(k): str(v) for k, v in config.items()}, "topics": list(topics)}
 
 
-def commit(spark, root, backup_id, base, snapshot, entry, layout="archive", prefix="", streams=()):
+def commit(spark, root, backup_id, base, snapshot, entry, layout="archive", prefix="", streams=(),
+           only=None):
     """Make a snapshot the newest one of its backup, if ``base`` still is.
 
     Until then readers see the snapshot before, whatever was written. Two runs that started
-    from the same snapshot cannot both commit. What no snapshot names any more is removed.
+    from the same snapshot cannot both commit. What no snapshot names any more is removed, of
+    the streams in ``only`` if that is given.
     """
     number = base + 1
     record = {"number": number, "snapshot": snapshot, "layout": layout, "prefix": prefix,
@@ -188,7 +190,7 @@ def commit(spark, root, backup_id, base, snapshot, entry, layout="archive", pref
     folder = f"{snapshots_path(root)}/backup_id={checked_id(backup_id)}"
     if not commits.create_if_absent(spark, f"{folder}/{commits.file_name(number)}", json.dumps(record)):
         raise RuntimeError(f"another run of {backup_id} committed first")
-    _sweep(spark, root, backup_id, record)
+    _sweep(spark, root, backup_id, record, only)
     return record
 
 
@@ -197,12 +199,17 @@ def base_of(spark, root, backup_id):
     return commits.newest(spark, f"{snapshots_path(root)}/backup_id={checked_id(backup_id)}")
 
 
-def _sweep(spark, root, backup_id, record):
+def _sweep(spark, root, backup_id, record, only=None):
     """Remove rows and catalog rows of superseded and unfinished runs; folders only are listed."""
     kept = {f"stream={s['stream']}" for s in record["streams"]}
     own = f"backup_id={backup_id}"
-    _keep(spark, f"{data_path(root)}/{own}", kept)
-    _keep(spark, f"{root}/catalog/pieces/{own}", kept)
+    for home in (f"{data_path(root)}/{own}", f"{root}/catalog/pieces/{own}"):
+        _keep(spark, home, kept, only if only is None else {f"stream={s}" for s in only})
+        for s in record["streams"]:
+            if s.get("after") is not None:
+                folder = f"{home}/stream={s['stream']}"
+                _keep(spark, folder, {n for n, _ in commits.children(spark, folder) if (
+                    not n.startswith("batch=") or int(n.split("=")[1]) > s["after"])})
     for table in ("segments", "topics", "pages"):
         _keep(spark, f"{root}/catalog/{table}/{own}", {f"snapshot={record['snapshot']}"})
     if record["layout"] == "objects":
@@ -211,9 +218,9 @@ def _sweep(spark, root, backup_id, record):
             commits.delete(spark, f"{root}/backups/{backup_id}/topics")
 
 
-def _keep(spark, folder, kept):
+def _keep(spark, folder, kept, only=None):
     for name, _ in commits.children(spark, folder):
-        if name not in kept:
+        if name not in kept and (only is None or name in only):
             commits.delete(spark, f"{folder}/{name}")
 
 

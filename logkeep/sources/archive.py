@@ -11,6 +11,10 @@ from logkeep.schemas import (
 from logkeep.sinks import commits
 
 
+#: First letters of the names of streams that compactions write.
+COMPACTED = "compact-"
+
+
 def data_path(root):
     return f"{root}/data"
 
@@ -28,6 +32,22 @@ def snapshot_of(spark, root, backup_id):
     return commits.newest(spark, f"{snapshots_path(root)}/backup_id={backup_id}")[1]
 
 
+def of_streams(rows, streams):
+    """Without batches that a snapshot's streams do not hold: later ones, and compacted ones."""
+    for s in streams:
+        if s["last_batch"] is not None:
+            rows = rows.where(~((F.col("stream") == s["stream"]) & (F.col("batch") > s["last_batch"])))
+        if s.get("after") is not None:
+            rows = rows.where(~((F.col("stream") == s["stream"]) & (F.col("batch") <= s["after"])))
+    return rows
+
+
+def holds_rows(stream):
+    """Whether a stream of a snapshot record still has batches of its own."""
+    after = stream.get("after")
+    return after is None or stream["last_batch"] > after
+
+
 def read_snapshots(spark, root):
     """Newest snapshot record of each backup."""
     records = read_below(spark, SNAPSHOTS_SCHEMA, snapshots_path(root), "json")
@@ -60,18 +80,11 @@ def read_archive(spark, root, backup_id=None, deduplicate=False):
             raise ValueError("name the backup whose copies are to be dropped")
         return _all_current(spark, root)
     record = snapshot_of(spark, root, backup_id)
-    home, schema = backup_path(root, backup_id), ARCHIVE_SCHEMA
     if record is None:
-        rows = spark.read.schema(schema).option("basePath", data_path(root)).parquet(home)
-    elif not record["streams"]:
-        rows = spark.createDataFrame([], schema)
+        home = backup_path(root, backup_id)
+        rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(home)
     else:
-        folders = [f"{home}/stream={s['stream']}" for s in record["streams"]]
-        rows = spark.read.schema(schema).option("basePath", data_path(root)).parquet(*folders)
-        late = [(F.col("stream") == s["stream"]) & (F.col("batch") > s["last_batch"])
-                for s in record["streams"] if s["last_batch"] is not None]
-        for beyond in late:
-            rows = rows.where(~beyond)
+        rows = rows_of_streams(spark, root, backup_id, record["streams"])
     streamed = record is None or any(s["last_batch"] is not None for s in record["streams"])
     if not deduplicate or not streamed:
         return rows
@@ -81,17 +94,28 @@ def read_archive(spark, root, backup_id=None, deduplicate=False):
     return once(rows, twice)
 
 
+def rows_of_streams(spark, root, backup_id, streams):
+    """Rows of the batches of a backup that a list of streams names."""
+    folders = [f"{backup_path(root, backup_id)}/stream={s['stream']}" for s in streams if holds_rows(s)]
+    if not folders:
+        return spark.createDataFrame([], ARCHIVE_SCHEMA)
+    rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(*folders)
+    return of_streams(rows, streams)
+
+
 def _all_current(spark, root):
     rows = spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(data_path(root))
     known = read_snapshots(spark, root)
     if known.isEmpty():
         return rows
     named = known.select("backup_id", F.explode_outer("streams").alias("_s")).select(
-        "backup_id", F.col("_s.stream").alias("_stream"), F.col("_s.last_batch").alias("_last"))
+        "backup_id", F.col("_s.stream").alias("_stream"), F.col("_s.last_batch").alias("_last"),
+        F.coalesce("_s.after", F.lit(-1)).alias("_after"))
     # one small row for each stream of a backup
     found = rows.join(named, (rows["backup_id"] == named["backup_id"]), "left").where(
         named["backup_id"].isNull() | (
-            (F.col("stream") == F.col("_stream")) & (F.col("_last").isNull() | (F.col("batch") <= F.col("_last")))))
+            (F.col("stream") == F.col("_stream")) & (F.col("batch") > F.col("_after"))
+            & (F.col("_last").isNull() | (F.col("batch") <= F.col("_last")))))
     return found.select(*[rows[c] for c in rows.columns])
 
 
@@ -107,9 +131,18 @@ def once(rows, twice):
 
 
 def read_pieces(spark, root, backup_id):
-    """What each micro-batch added to each segment; empty for backups that were not streamed."""
+    """What each micro-batch added to each segment; empty for backups that were not streamed.
+
+    Batches that were compacted have their pieces in the stream that replaced them; pieces of a
+    compaction that no snapshot names do not count.
+    """
     path = f"{root}/catalog/pieces"
-    return read_below(spark, PIECES_SCHEMA, f"{path}/backup_id={backup_id}", basePath=path)
+    pieces = read_below(spark, PIECES_SCHEMA, f"{path}/backup_id={backup_id}", basePath=path)
+    streams = (snapshot_of(spark, root, backup_id) or {"streams": []})["streams"]
+    replaced = [{**s, "last_batch": None} for s in streams if s.get("after") is not None]
+    named = [s["stream"] for s in streams]
+    foreign = F.col("stream").startswith(COMPACTED) & ~F.col("stream").isin(named)
+    return of_streams(pieces, replaced).where(~foreign)
 
 
 def overlaps(pieces):

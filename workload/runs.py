@@ -13,9 +13,10 @@ from logkeep.sinks import catalog as job_log
 from logkeep.sinks.facts import read_facts
 from logkeep.sinks.segmentfiles import write_objects
 from logkeep.operators import hashtree, segments, status
-from logkeep.sources.archive import read_archive
+from logkeep.sources.archive import read_archive, read_segments
 from logkeep.sources.filelog import read_log, stream_log
 from logkeep.streaming.backup import run_scheduled
+from logkeep.streaming.compaction import compact
 from workload import logs
 from workload import sqlparts as sql
 from workload.jobs import restored, run_stream
@@ -181,7 +182,7 @@ def backup_raced(spark, sf_dir):
         events.withColumn("answer", F.lit("events")))
 
 
-def in_three_runs(spark, sf_dir, name, cuts, job):
+def in_three_runs(spark, sf_dir, name, cuts, job, after_run=None):
     """A log that grows between three scheduled runs on one checkpoint."""
     source, checkpoint = scratch_path(spark, "growing"), scratch_path(spark, "checkpoint")
     whole = logs.log(spark, sf_dir, name)
@@ -190,6 +191,8 @@ def in_three_runs(spark, sf_dir, name, cuts, job):
     for part in (moment < first, (moment >= first) & (moment < second), moment >= second):
         whole.where(part).write.mode("append").parquet(source)
         run_scheduled(stream_log(spark, source), job, checkpoint, timestamp="2024-02-01 00:00:00")
+        if after_run is not None:
+            after_run(spark, job.root, job.backup_id)
     return job
 
 
@@ -201,6 +204,17 @@ def stream_by_count(spark, sf_dir):
     return as_text(read_archive(spark, job.root), "segment")
 
 
+@query("stream_compacted", f"""WITH {sql.ORDERS}, segmented AS (SELECT *, {sql.count_segment_sql(100)} AS segment FROM orders_log)
+SELECT {ROWS_SQL}, segment, count(*) OVER (PARTITION BY topic, "partition", segment) AS message_count FROM segmented""")
+def stream_compacted(spark, sf_dir):
+    """Three runs, each followed by a compaction: rows, segments and manifest stay those of one bounded run."""
+    job = BackupJob("packed", scratch_path(spark, "packed"), EVERY, batch_size=100)
+    in_three_runs(spark, sf_dir, "orders", ("1994-06-01", "1997-02-03"), job, after_run=compact)
+    manifest = read_segments(spark, job.root, "packed").select("topic", "partition", "segment", "message_count")
+    rows = read_archive(spark, job.root, "packed").join(manifest, ["topic", "partition", "segment"])
+    return as_text(rows, "segment", "message_count")
+
+
 @query("stream_by_interval", f"{WALK_SQL} SELECT topic, \"partition\", \"offset\", segment FROM walk")
 def stream_by_interval(spark, sf_dir):
     """Segments by size and elapsed time over three runs are those of one bounded run."""
