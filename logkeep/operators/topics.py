@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logkeep.functions.hashing import seeded_bucket
 from logkeep.functions.patterns import matches_any
+from logkeep.operators import selectors as long_lists
 from logkeep.operators.joins import join_small, local_if_small
 
 
@@ -43,11 +44,15 @@ def describe(log, topics):
 
 def select_for_backup(df, selectors):
     """A backup without selectors selects nothing."""
+    if len(selectors) > long_lists.MANY:
+        return long_lists.select(df, selectors)
     return df.where(matches_any(F.col("topic"), selectors, when_empty=False))
 
 
 def select_for_restore(df, selectors):
     """A restore without selectors takes everything."""
+    if len(selectors) > long_lists.MANY:
+        return long_lists.select(df, selectors)
     return df.where(matches_any(F.col("topic"), selectors, when_empty=True))
 
 
@@ -55,8 +60,10 @@ def selector_coverage(topics, selectors):
     """One row per selector with the number of topics it matches.
 
     Each selector is one conditional count in a single pass, so topics and
-    selectors are never paired up.
+    selectors are never paired up. Long lists go through keys instead.
     """
+    if len(selectors) > long_lists.MANY:
+        return long_lists.coverage(topics, selectors)
     counts = topics.agg(
         *[
             F.count_if(s.matches(F.col("topic"))).alias(f"n{i}")

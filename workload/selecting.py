@@ -103,6 +103,40 @@ def selector_coverage(spark, sf_dir):
     return topics.selector_coverage(logs.customer_topics(spark, sf_dir), COVERAGE)
 
 
+#: (type, text before a number, text after it, how many numbers): the selectors of a long list.
+LONG_LIST = (
+    ("exact", "cust.", "1", 1000), ("exact", "none.", "", 100), ("glob", "cust.", "*", 500), ("glob", "*.", "?", 100),
+    ("glob", "*", "5", 200), ("glob", "cust.[!1]", "", 200), ("regex", "^cust[.]", "[0-9]$", 500),
+    ("regex", "", "[13]$", 200), ("regex", "^(cust|none)[.]", "$", 100),
+)
+LONG_LIST_SQL = "selectors AS (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS type, '{before}' || i || '{after}' AS pattern FROM range({n}) t(i)"
+    for kind, before, after, n in LONG_LIST) + """),
+hits AS (SELECT s.type, s.pattern, t.topic FROM selectors s JOIN customer_topics t ON CASE s.type
+  WHEN 'exact' THEN t.topic = s.pattern WHEN 'glob' THEN t.topic GLOB s.pattern
+  ELSE regexp_matches(t.topic, s.pattern) END)"""
+
+
+def long_list():
+    return [TopicSelector(kind, f"{before}{i}{after}") for kind, before, after, n in LONG_LIST for i in range(n)]
+
+
+@query("selector_coverage_long", f"""WITH {sql.CUSTOMER_TOPICS}, {LONG_LIST_SQL}
+SELECT s.type, s.pattern, count(h.topic) AS topics_matched FROM selectors s
+LEFT JOIN hits h ON s.type = h.type AND s.pattern = h.pattern GROUP BY s.type, s.pattern""")
+def selector_coverage_long(spark, sf_dir):
+    """2,900 selectors against one topic per customer."""
+    return topics.selector_coverage(logs.customer_topics(spark, sf_dir), long_list())
+
+
+@query("select_long", f"""WITH {sql.CUSTOMER_TOPICS}, {LONG_LIST_SQL}
+SELECT topic, partitions FROM customer_topics WHERE topic IN (SELECT topic FROM hits WHERE pattern NOT IN ('[13]$', '0[13]$'))""")
+def select_long(spark, sf_dir):
+    """Topics that a long list of selectors takes into a backup."""
+    chosen = [s for s in long_list() if s.pattern != "0[13]$"]
+    return topics.select_for_backup(logs.customer_topics(spark, sf_dir), chosen).select("topic", "partitions")
+
+
 FNV32_SQL = (
     "list_reduce(list_transform(range(1, octet_length(encode({x})) + 1), "
     "lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::UBIGINT), "
