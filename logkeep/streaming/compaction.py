@@ -2,7 +2,8 @@
 
 Every micro-batch leaves a file for each topic-partition that it holds, so a long stream is read
 through as many files as it had batches. A compaction writes the rows of those batches again, in
-files of about a given size, each an offset range of one topic-partition, and leaves copies out.
+files of about a given size, each an offset range of one topic-partition, and leaves copies out
+(those of older compacted rows stay until both are written again; reads drop them meanwhile).
 It is committed like any run, as the next snapshot record: the same segments, other folders.
 Readers see either all of it or nothing.
 
