@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logkeep.functions.messages import message_size, row_hash
 from logkeep.operators import replay, status, topics
 from logkeep.operators.catalog import live_backups
+from logkeep.operators.ordering import BUCKET_ROWS
 from logkeep.schemas import LOG_SCHEMA
 from logkeep.session import scratch_path, sized_shuffles, stored
 from logkeep.sinks import catalog, commits
@@ -113,10 +114,30 @@ def _write_files(ordered, folder):
     ).write.mode("overwrite").parquet(folder)
 
 
+#: Waves are taken as asked up to this number; many more small ones would cost a job and a journal
+#: record for every few messages. Messages of one topic-partition that a joined wave may hold.
+WAVES, WAVE_ROWS = 64, BUCKET_ROWS
+
+
+def _wave_segments(rows, asked):
+    """Segments of one wave: as many as asked, or a multiple of that where there are many waves.
+
+    So many go together that ``WAVES`` are left, but no more than have ``WAVE_ROWS`` messages of
+    one topic-partition: what a task holds stays bounded, and waves grow with messages, not segments.
+    """
+    sizes = rows.groupBy("topic", "partition", "segment").agg(F.count(F.lit(1)).alias("n"))
+    seen = sizes.agg(F.min("segment"), F.max("segment"), F.max("n")).first()
+    if seen[0] is None:
+        return asked
+    wanted = -(-(seen[1] // asked - seen[0] // asked + 1) // WAVES)
+    return asked * max(1, min(wanted, WAVE_ROWS // (asked * seen[2])))
+
+
 def replay_in_waves(spark, root, restore_id, rows, write, segments_per_wave, start=None):
     """Replay waves of consecutive segments one after another, ``write(rows, wave)`` each.
 
-    The rows are stored once, a folder for each wave, and a journal in the archive's catalog
+    A wave has ``segments_per_wave`` segments of each topic-partition; where that would make
+    more than ``WAVES`` waves, consecutive small ones are joined (see ``_wave_segments``). The rows are stored once, a folder for each wave, and a journal in the archive's catalog
     notes every finished wave. A replay that was broken off goes on behind the last finished
     one when it is started again under its id, with the rows stored then. ``start`` is called
     before the first wave of a new replay only.
@@ -126,7 +147,8 @@ def replay_in_waves(spark, root, restore_id, rows, write, segments_per_wave, sta
     if last is None or last["finished"] or not commits.children(spark, last["path"]):
         if start is not None:
             start()
-        wave = F.expr(f"segment div {int(segments_per_wave)}").alias("wave")
+        together = _wave_segments(rows, int(segments_per_wave))
+        wave = F.expr(f"segment div {together}").alias("wave")
         path = scratch_path(spark, "waves")
         rows.select("*", wave).write.partitionBy("wave").parquet(path)
         last = {"path": path, "done": -1, "finished": False}

@@ -349,6 +349,39 @@ def test_restore_in_waves_goes_on_where_it_broke_off(spark, log, monkeypatch):
     assert same_rows(read_log(spark, path), log) and calls[5:] == [f"wave-{n:09d}" for n in range(4)]
 
 
+def many_segments(spark, segments, messages):
+    """Rows of one topic-partition, so many messages in each segment."""
+    return spark.range(segments * messages, numPartitions=1).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
+        F.expr(f"id div {messages}").alias("segment"))
+
+
+@pytest.mark.parametrize("largest, together", [(1 << 18, 4), (4, 2), (1, 1)])
+def test_many_small_waves_are_joined(spark, monkeypatch, largest, together):
+    monkeypatch.setattr(restore, "WAVES", 5, raising=False)
+    monkeypatch.setattr(restore, "WAVE_ROWS", largest, raising=False)
+    seen, rows = [], many_segments(spark, 20, 2)
+    restore.replay_in_waves(
+        spark, scratch_path(spark, "root"), "r", rows, lambda wave, n: seen.append({r.segment for r in wave.collect()}), 1)
+    assert seen == [set(range(n, n + together)) for n in range(0, 20, together)]
+
+
+def test_joined_waves_go_on_where_they_broke_off(spark, monkeypatch):
+    monkeypatch.setattr(restore, "WAVES", 5, raising=False)
+    root, rows, sent = scratch_path(spark, "root"), many_segments(spark, 20, 2), []
+
+    def write(wave, number):
+        if len(sent) == 2:
+            sent.append([])
+            raise ConnectionError("target is gone")
+        sent.append([r.offset for r in wave.collect()])
+
+    with pytest.raises(ConnectionError):
+        restore.replay_in_waves(spark, root, "r", rows, write, 1)
+    restore.replay_in_waves(spark, root, "r", rows, write, 1)
+    assert len(sent) == 6 and sorted(sum(sent, [])) == list(range(40))
+
+
 def test_kafka_restore_names_missing_topics(spark, log, monkeypatch):
     from logkeep.sources.kafka import Cluster
     root, made, sent = scratch_path(spark, "root"), [], []
