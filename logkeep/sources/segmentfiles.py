@@ -24,11 +24,6 @@ from logkeep.schemas import MESSAGE_JSON_SCHEMA
 from logkeep.session import stored
 from logkeep.sinks.segmentfiles import address_of, attempt_id, filesystem_of
 
-_READ_SCHEMA = T.StructType(
-    [*MESSAGE_JSON_SCHEMA.fields, T.StructField("_broken", T.StringType())]
-)
-
-
 SCANNED = (
     "path string, backup_id string, topic string, partition int, segment bigint, compressed boolean, "
     "broken boolean, offset bigint, key binary, value binary, timestamp timestamp, "
@@ -36,52 +31,54 @@ SCANNED = (
 )
 
 
-def scan(spark, paths):
-    """All objects below ``paths`` with broken ones kept as marked rows.
-
-    ``paths`` may be one root or topic folders; reading only the wanted topic
-    folders keeps the listing small. No folders give no rows.
-    """
-    if not paths:
-        return spark.createDataFrame([], SCANNED)
+def _objects(spark, paths, mode):
+    """Messages as Spark's reader gives them, with path; which damaged ones depends on ``mode``."""
     rows = (
-        spark.read.schema(_READ_SCHEMA)
+        spark.read.schema(MESSAGE_JSON_SCHEMA)
         .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
+        .option("mode", mode)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "segment-*.json*")
         .json(paths)
     )
-    # The reader checks only the fields a query needs. This needs all of them and is never true.
-    fields = [F.col(f.name).isNull() for f in MESSAGE_JSON_SCHEMA.fields]
-    all_read = F.size(F.array(*fields)) < 0
-    headers = F.col("Headers").cast("array<struct<key:string,value:binary>>")
-    return (
-        rows.select(
-            F.col("_metadata.file_path").alias("path"),
-            parse_key(F.col("_metadata.file_path")).alias("_key"),
-            # The reader wants a data column next to its marker of broken objects.
-            (F.col("_broken").isNotNull() | F.col("Offset").isNull() | all_read).alias("broken"),
-            F.col("Offset").alias("offset"),
-            F.col("Key").alias("key"),
-            F.col("Value").alias("value"),
-            F.col("Timestamp").alias("timestamp"),
-            headers.alias("headers"),
-        )
-        .where(F.col("_key").isNotNull())
-        .select("path", "_key.*", "broken", "offset", "key", "value", "timestamp", "headers")
-    )
+    return rows.withColumn("path", F.col("_metadata.file_path")).where(parse_key(F.col("path")).isNotNull())
+
 
+def scan(spark, paths):
+    """Messages of all good objects below ``paths``, and one marked row for each broken object.
 
-def broken_paths(scanned):
-    return scanned.where("broken").select("path").distinct()
+    One damaged message condemns its whole object. ``paths`` may be one root or topic folders;
+    reading only the wanted topic folders keeps the listing small. No folders give no rows.
+
+    A reader that keeps the text of broken records opens an object anew for each message in it.
+    So damaged objects are dropped whole, and found as those that are not empty and yet give no
+    message; these, and those with a message without offset, are looked for at once.
+    """
+    if not paths:
+        return spark.createDataFrame([], SCANNED)
+    whole = _objects(spark, paths, "DROPMALFORMED")
+    # The reader checks only the fields a query needs. This needs all of them and is never true.
+    all_read = F.size(F.array(*[F.col(f.name).isNull() for f in MESSAGE_JSON_SCHEMA.fields])) < 0
+    whole = whole.withColumn("unplaced", F.col("Offset").isNull() | all_read)
+    read = whole.groupBy("path").agg(F.max("unplaced").alias("unplaced"))
+    seen = _objects(spark, paths, "PERMISSIVE").select("path", F.isnull("Offset").alias("_")).groupBy("path").agg(
+        F.max("_").alias("_"))
+    found = stored(seen.join(read, "path", "left").where("unplaced is null or unplaced").select("path", "unplaced"),
+                   "broken-objects")
+    good = join_small(whole, found.where("unplaced").select("path"), ["path"], spread="Offset", how="left_anti").where(
+        ~F.col("unplaced"))
+    headers = F.col("Headers").cast("array<struct<key:string,value:binary>>")
+    rows = good.select(
+        "path", F.lit(False).alias("broken"), F.col("Offset").alias("offset"), F.col("Key").alias("key"),
+        F.col("Value").alias("value"), F.col("Timestamp").alias("timestamp"), headers.alias("headers"))
+    marked = rows.unionByName(found.select("path", F.lit(True).alias("broken")), allowMissingColumns=True)
+    return marked.withColumn("_key", parse_key(F.col("path"))).select(
+        "path", "_key.*", "broken", "offset", "key", "value", "timestamp", "headers")
 
 
 def messages(scanned):
-    """Rows of good objects; one damaged message condemns its whole object."""
-    good = join_small(scanned, broken_paths(scanned), ["path"], spread="offset", how="left_anti")
-    return good.drop("broken", "path", "compressed")
+    """Rows of good objects."""
+    return scanned.where("NOT broken").drop("broken", "path", "compressed")
 
 
 def quarantine(scanned):
@@ -89,7 +86,7 @@ def quarantine(scanned):
     return scanned.where("broken").select(
         "path", "backup_id", "topic", "partition", "segment",
         F.lit("unreadable segment").alias("error"),
-    ).distinct()
+    )
 
 
 def topic_folders(root, backup_id, topics):

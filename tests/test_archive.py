@@ -313,6 +313,25 @@ def test_foreign_object_forms(spark):
     assert [(r.topic, r.partition, r.segment) for r in bad] == [("t", 3, 1)]
 
 
+def test_reading_a_broken_object_takes_no_pass_for_each_message(spark):
+    """An object of 4,000 messages with one of a wrong type, and one whose message lacks its offset."""
+    root = scratch_path(spark, "broken")
+    folder = f"{root}/backups/b/topics/t/partition-0"
+    os.makedirs(folder)
+    rows = [{"Offset": n, "Partition": 0, "Key": None, "Value": None, "Timestamp": None, "Headers": []} for n in range(4000)]
+    for number, change in enumerate(({}, {"Value": [1]}, {"Offset": None})):
+        with gzip.open(f"{folder}/segment-{number:06d}.json.gz", "wt") as f:
+            json.dump([*rows[:-1], {**rows[-1], **change}], f)
+    for number, text in ((3, ""), (4, "[]"), (5, "["), (6, "[1]"), (7, json.dumps(rows[0]))):
+        with open(f"{folder}/segment-{number:06d}.json", "w") as f:
+            f.write(text)
+    scanned = segmentfiles.scan(spark, f"{root}/backups")
+    assert scanned.where("broken").count() == 4  # one row for each object, not for each message
+    assert sorted(r.segment for r in segmentfiles.quarantine(scanned).collect()) == [1, 2, 5, 6]
+    got = segmentfiles.messages(scanned).groupBy("segment").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 4000), (7, 1)]
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("a.segment-1", 10, 7), ("t", 0, 1234567)],
                                "topic string, partition int, segment bigint")
