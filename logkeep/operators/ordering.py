@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logkeep.operators.joins import join_small, local_if_small
-from logkeep.session import scratch_path, sized_shuffles, stored
+from logkeep.session import scratch_path, sized_partitions, sized_shuffles, stored
 
 # About 256 MB of messages of 1 KB: one sort group, and one file of the archive.
 BUCKET_ROWS = 1 << 18
@@ -50,6 +50,9 @@ def number_within(df, keys, order, out, width=BUCKET_ROWS, buckets=None):
         .drop("_n")
     )
     inside = Window.partitionBy(*group).orderBy(*order)
+    partitions = sized_partitions(df)
+    if partitions > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(partitions, *group)  # the window and the join keep it
     return (
         df.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(bases, group)
@@ -171,7 +174,8 @@ def number_rows(df, keys, order, out, path=None):
     The rows are range-partitioned once on (keys, order) and written, so that a
     hot key spans many slices of even size. A position inside its slice plus the
     slice's base, taken from a small table, is the number: no window over rows.
-    ``order`` must be unique inside a key.
+    ``order`` must be unique inside a key. What follows from other columns is better added
+    afterwards: all columns of ``df`` are shuffled and written.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "numbered")
@@ -180,7 +184,7 @@ def number_rows(df, keys, order, out, path=None):
             df.repartitionByRange(partitions, *keys, *order)
             .sortWithinPartitions(*keys, *order)
             .withColumn("_position", F.monotonically_increasing_id())
-            .write.parquet(path)
+            .write.option("compression", "zstd").parquet(path)
         )
     placed = spark.read.parquet(path).withColumn("_slice", F.shiftright("_position", 33))
     group = [*keys, "_slice"]

@@ -55,18 +55,31 @@ def input_bytes(df):
     return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
+#: Bytes of files for one shuffle partition. Packed files grow some 20 times as rows of a sort, so
+#: this is about 300 MB there: what a task of a small executor sorts without spilling.
+TARGET_BYTES = 16 << 20
+
+
+def sized_partitions(df, target_bytes=TARGET_BYTES):
+    """Partitions for a shuffle of all rows of ``df``: the session's setting, or more by size.
+
+    A source of unknown size keeps the session's setting: land it first if it is large.
+    """
+    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(setting, -(-(input_bytes(df) or 0) // target_bytes))
+
+
 @contextlib.contextmanager
-def sized_shuffles(df, target_bytes=128 << 20):
+def sized_shuffles(df, target_bytes=TARGET_BYTES):
     """Shuffles of all rows of ``df`` have enough partitions inside; gives their number.
 
-    The size is that of the files, which are compressed, hence the small target. A source
-    of unknown size keeps the session's setting, which is never lowered: land it first if it
-    is large. The setting is put back afterwards, so what is planned inside must also run
+    The size is that of the files, which are compressed, hence the small target. The session's
+    setting is never lowered, and put back afterwards, so what is planned inside must also run
     inside.
     """
-    size, conf = input_bytes(df) or 0, df.sparkSession.conf
+    conf = df.sparkSession.conf
     before = conf.get("spark.sql.shuffle.partitions")
-    wanted = max(int(before), -(-size // target_bytes))
+    wanted = sized_partitions(df, target_bytes)
     conf.set("spark.sql.shuffle.partitions", str(wanted))
     try:
         yield wanted

@@ -95,3 +95,13 @@ def test_no_unchecked_broadcast_of_the_salted_side(spark):
     small = big.select("k").distinct()
     plan = joins.join_small(big, small, ["k"], spread="seq", max_rows=2)
     assert "ResolvedHint" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_sorts_of_large_tables_fit_their_tasks(spark):
+    """800 MB of files are several GB as rows: some 40 tasks, whatever the session has."""
+    df = spark.range(100_000_000)
+    with sized_shuffles(df) as partitions:
+        assert partitions >= 40
+    rows = df.select((F.col("id") % 3).alias("k"), F.col("id").alias("offset"))
+    plan = number_within(rows, ["k"], ["offset"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert f"{partitions}), REPARTITION_BY_NUM" in plan

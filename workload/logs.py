@@ -36,47 +36,52 @@ def _events(spark, sf_dir):
     header = F.array(
         F.struct(F.lit("type").alias("key"), _text(F.col("event_type")).alias("value"))
     )
-    return e.select(
+    rows = e.select(
         F.concat(F.lit("events."), "event_type").alias("topic"),
         (F.col("user_id") % 4).cast("int").alias("partition"),
-        _text(F.col("user_id")).alias("key"),
-        value.alias("value"),
         F.col("ts").cast("timestamp").alias("timestamp"),
-        F.when(F.col("event_id") % 2 == 0, header).otherwise(_no_headers()).alias("headers"),
-        F.col("event_id").alias("event_id"),
-        F.col("value").alias("amount"),
-    ), ["timestamp", "event_id"]
+        "event_id", "event_type", "user_id", "props", "value",
+    )
+    return rows, ["timestamp", "event_id"], {
+        "amount": F.col("value"),
+        "key": _text(F.col("user_id")),
+        "value": value,
+        "headers": F.when(F.col("event_id") % 2 == 0, header).otherwise(_no_headers()),
+    }
 
 
 def _orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.select(
+    rows = o.select(
         F.concat(F.lit("orders."), F.lower("o_orderstatus")).alias("topic"),
         (F.col("o_custkey") % 8).cast("int").alias("partition"),
-        _text(F.col("o_orderkey")).alias("key"),
-        _text(F.col("o_orderpriority")).alias("value"),
         F.col("o_orderdate").cast("timestamp").alias("timestamp"),
-        _no_headers().alias("headers"),
-        "o_orderkey",
-    ), ["timestamp", "o_orderkey"]
+        "o_orderkey", "o_orderpriority",
+    )
+    return rows, ["timestamp", "o_orderkey"], {
+        "key": _text(F.col("o_orderkey")),
+        "value": _text(F.col("o_orderpriority")),
+        "headers": _no_headers(),
+    }
 
 
 def _lineitem(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    rows = li.select(
         F.concat(F.lit("lineitem."), F.lower("l_returnflag")).alias("topic"),
         (F.col("l_orderkey") % 12).cast("int").alias("partition"),
-        _text(F.col("l_orderkey")).alias("key"),
-        _text(F.col("l_partkey")).alias("value"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
-        _no_headers().alias("headers"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-    ), ["timestamp", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    )
+    return rows, ["timestamp", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], {
+        "key": _text(F.col("l_orderkey")),
+        "value": _text(F.col("l_partkey")),
+        "headers": _no_headers(),
+    }
 
 
+#: Each gives rows with all that orders them, their order, and what is made of them once they are
+#: numbered: keys, values and headers are not shuffled.
 _SOURCES = {"events": _events, "orders": _orders, "lineitem": _lineitem}
 
 
@@ -84,11 +89,11 @@ def log_path(spark, sf_dir, name):
     """Path of a derived log, built on first use in this session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        rows, order = _SOURCES[name](spark, sf_dir)
+        rows, order, message = _SOURCES[name](spark, sf_dir)
         path = scratch_path(spark, f"log-{name}")
         numbered = number_rows(rows, ["topic", "partition"], order, "offset")
-        extra = [c for c in ("amount",) if c in rows.columns]
-        numbered.select(*LOG_COLUMNS, *extra).write.parquet(path)
+        extra = [c for c in ("amount",) if c in message]
+        numbered.withColumns(message).select(*LOG_COLUMNS, *extra).write.parquet(path)
         _BUILT[key] = path
     return _BUILT[key]
 
