@@ -73,7 +73,7 @@ def _write(spark, log, job, topic_facts, timestamp, started):
             sink.write_rows(rows, job.root, job.backup_id, cluster=job.segmentation == "offset",
                             stream=streams[0]["stream"])
             files = stored(sink.file_totals(
-                sink.read_batch(spark, job.root, job.backup_id, streams[0]["stream"], 0)), "files")
+                sink.read_batch(spark, job.root, job.backup_id, streams[0]["stream"], 0), offsets=False), "files")
             sink.write_manifest(spark, job.root, job.backup_id, snapshot, files, compressed=job.compression)
             written = facts.of_files(files, job.backup_id, started)
     facts.write(facts.by_worker(written, job.workers, job.seed), job.root, job.backup_id, snapshot)

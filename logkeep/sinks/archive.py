@@ -75,9 +75,12 @@ def read_batch(spark, root, backup_id, stream, batch):
     return spark.read.schema(ARCHIVE_SCHEMA).option("basePath", data_path(root)).parquet(folder)
 
 
-def file_totals(rows):
+def file_totals(rows, offsets=True):
     """Totals of each segment in each file that holds a part of it.
 
+    Distinct ``offsets`` tell whether a stream read a range twice; counting them shuffles every
+    row, so a bounded run, of which nothing is read again, leaves them out.
+
     One aggregation over stored sizes and hashes gives the manifest and, by file, the facts of
     the tasks that wrote them: a file's time is when its task closed it.
     """
@@ -88,7 +91,7 @@ def file_totals(rows):
         F.min("offset").alias("start_offset"),
         F.max("offset").alias("end_offset"),
         F.count(F.lit(1)).alias("message_count"),
-        F.count_distinct("offset").alias("offsets"),
+        *([F.count_distinct("offset").alias("offsets")] if offsets else []),
         F.sum("size_bytes").alias("size_bytes"),
         F.bit_xor("row_hash").alias("checksum"),
         F.min("timestamp").alias("first_time"),

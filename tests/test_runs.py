@@ -322,6 +322,21 @@ def test_report_of_an_archive_without_facts(spark):
     assert (row.job_id, row.phase, row.messages, row.errors) == ("b", "Pending", 0, 0)
 
 
+def test_totals_of_a_bounded_run_shuffle_no_rows(spark, log, monkeypatch):
+    """Distinct offsets of each segment would be shuffled row by row; only streams need them."""
+    real, plans, root = sink.file_totals, [], scratch_path(spark, "root")
+
+    def totals(*args, **more):
+        found = real(*args, **more)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(sink, "file_totals", totals)
+    run_backup(log, BackupJob("b", root, ALL, batch_size=7))
+    assert len(plans) == 1 and "distinct" not in plans[0]
+    assert read_segments(spark, root, "b").agg(F.sum("message_count")).first()[0] == log.count()
+
+
 # Replay in waves.
 
 
