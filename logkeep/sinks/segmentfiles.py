@@ -42,7 +42,9 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None, storag
     result is lazy: an action on it writes. A repeated task writes the same bytes to the same key.
     """
     checked_id(backup_id)
-    rows = segmented.select(
+    group = ["topic", "partition", "segment"]
+    # JSON and keys are made of rows in their place: they are longer than what they are made of.
+    rows = segmented.repartition(*group).sortWithinPartitions(*group, "offset").select(
         F.lit(backup_id).alias("backup_id"), "topic", "partition", "segment", "offset", "timestamp",
         (message_json() if json is None else json).alias("json"),
         storage_key(
@@ -50,17 +52,12 @@ def write_objects(segmented, root, backup_id, compressed=True, json=None, storag
             prefix, compressed,
         ).alias("storage_key"),
     )
-    group = ["topic", "partition", "segment"]
     address, options = address_of(root), storage.arrow_options() if storage else {}
 
     def write(batches):
         return _write(batches, filesystem_of(address, options), compressed)
 
-    return (
-        rows.repartition(*group)
-        .sortWithinPartitions(*group, "offset")
-        .mapInArrow(write, RESULT)
-    )
+    return rows.mapInArrow(write, RESULT)
 
 
 def address_of(root):

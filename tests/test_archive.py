@@ -284,6 +284,11 @@ def test_object_manifest(spark, objects):
     assert list_objects(spark, f"{root}/backups", "segment-*").count() == manifest.count()
 
 
+def test_rows_and_not_their_json_are_shuffled(log):
+    plan = write_objects(segments.by_count(log, 2), "/none", "b1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("AS json#") < plan.index("Exchange")  # printed from the top
+
+
 def test_foreign_object_forms(spark):
     """Offset times, nanoseconds, null headers, as other writers give them."""
     root = scratch_path(spark, "foreign")
