@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logkeep.operators.joins import join_small, local_if_small
-from logkeep.session import scratch_path, sized_partitions, sized_shuffles, stored
+from logkeep.session import scratch_path, sized_shuffles, spread_by_size, stored
 
 # About 256 MB of messages of 1 KB: one sort group, and one file of the archive.
 BUCKET_ROWS = 1 << 18
@@ -50,9 +50,7 @@ def number_within(df, keys, order, out, width=BUCKET_ROWS, buckets=None):
         .drop("_n")
     )
     inside = Window.partitionBy(*group).orderBy(*order)
-    partitions = sized_partitions(df)
-    if partitions > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        df = df.repartition(partitions, *group)  # the window and the join keep it
+    df = spread_by_size(df, *group)  # the window and the join keep it
     return (
         df.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(bases, group)

@@ -69,6 +69,18 @@ def sized_partitions(df, target_bytes=TARGET_BYTES):
     return max(setting, -(-(input_bytes(df) or 0) // target_bytes))
 
 
+def spread_by_size(df, *columns):
+    """``df`` by the hash of columns, in pieces that adaptive execution does not merge, if it is large.
+
+    Adaptive execution merges down to as many pieces as there are cores, however large they are.
+    A small ``df`` is given back as it is.
+    """
+    needed = -(-(input_bytes(df) or 0) // TARGET_BYTES)
+    if needed <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(sized_partitions(df), *columns)
+
+
 @contextlib.contextmanager
 def sized_shuffles(df, target_bytes=TARGET_BYTES):
     """Shuffles of all rows of ``df`` have enough partitions inside; gives their number.
