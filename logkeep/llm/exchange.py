@@ -25,12 +25,12 @@ BUCKET_WORDS = 1 << 21
 NO_ID = (1 << 63) - 1
 
 
-def make_blocks(docs, doc_id="doc_id", text="text", lower=False, block_words=BLOCK_WORDS):
+def make_blocks(docs, doc_id="doc_id", text="text", lower=False, block_words=BLOCK_WORDS, keep=stored):
     """Stored table of blocks: (block, ids, counts, n_words, words).
 
     ``ids`` and ``counts`` are the documents' ids (NO_ID for null) and numbers of words,
     ``words`` the compressed words, one space between words and one line per document.
-    Words stand between ASCII white space.
+    Words stand between ASCII white space. ``keep`` stores the rows.
     """
     def blocks(batches):
         place, number = TaskContext.get().partitionId() << 32, itertools.count()
@@ -59,7 +59,7 @@ def make_blocks(docs, doc_id="doc_id", text="text", lower=False, block_words=BLO
             yield full()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(
+    return keep(rows.mapInArrow(
         blocks, "block long, ids binary, counts binary, n_words long, words binary"), "blocks")
 
 

@@ -132,3 +132,13 @@ def test_a_phrase_counts_the_same_in_a_larger_corpus(spark):
          brute(docs[:5] + filler))
     low, high = next(r[5:] for r in brute(docs[:5] + filler) if r[0] == 1)
     assert high > low + 5
+
+
+@pytest.mark.parametrize("heavy", [5, 40, 1 << 19])
+def test_words_dealt_to_several_tasks(spark, sf_dir, all_docs, odd_docs, monkeypatch, heavy):
+    monkeypatch.setattr(S, "RUN_TOKENS", 3_000)
+    monkeypatch.setattr(S, "BUCKET_TOKENS", 10_000)
+    monkeypatch.setattr(S, "HEAVY", heavy)
+    docs = all_docs.select("doc_id", "text").where("doc_id % 4 = 0").unionAll(odd_docs.select("doc_id", "text"))
+    docs = docs.where("length(coalesce(text, '')) < 20000").repartition(3)
+    same(S.score_texts(docs), brute([(r.doc_id, r.text) for r in docs.collect()]))
