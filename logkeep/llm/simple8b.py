@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from logkeep.llm.bpe import WordEncoder, read_definition
+from logkeep.llm.bpe import KEPT_PIECES, MARKS, WordEncoder, read_definition
 from logkeep.llm.texts import per_process
 from logkeep.llm.wordtokens import WordTokens
 from logkeep.session import stored
@@ -34,6 +34,8 @@ BLOCK = 1024
 FILE_IDS = 1 << 20
 #: Text bytes that one range of the sort aims at.
 RANGE_BYTES = 32 << 20
+#: Distinct words whose ids a task keeps: about those of one range, whose words would be learned twice.
+KEPT_WORDS = 500_000
 #: Ids of a word and their width, by selector; the selector after them is the escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
           (4, 15), (3, 20), (2, 30), (1, 60))
@@ -151,9 +153,39 @@ def unpack_block(data, k):
 class LibraryWords(WordEncoder):
     """Words split beforehand, their pieces merged by the tokenizers library."""
 
+    def __init__(self, definition):
+        super().__init__(definition)
+        self.marks = {}
+
     def encode_piece(self, piece):
         return [t.id for t in self.library.model.tokenize(piece)]
 
+    def encode_words(self, words):
+        """Words of ASCII letters are one piece, with a mark behind them two; others are split."""
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        tokenize, known, marks, out = self.library.model.tokenize, self.known, self.marks, []
+        for word in words:
+            if word.isalpha():
+                out.append([t.id for t in tokenize(word.decode().lower())])
+                continue
+            letters, mark = word[:-1], word[-1:].decode("latin-1")
+            if letters.isalpha() and mark in MARKS:
+                piece = letters.decode().lower()
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = [t.id for t in tokenize(piece)]
+                if mark not in marks:
+                    marks[mark] = self.encode_piece(mark)
+                out.append(ids + marks[mark])
+            else:
+                out.append(self.encode_word(word))
+        return out
+
+
+def _coder(definition):
+    return WordTokens(LibraryWords(definition).encode_words, KEPT_WORDS)
+
 
 def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END_ID,
                       range_bytes=RANGE_BYTES, file_ids=FILE_IDS):
@@ -169,7 +201,7 @@ def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END
 
     def write(batches):
         place, file = TaskContext.get().partitionId(), 0
-        coder = per_process(("files", hash(definition)), lambda: WordTokens(LibraryWords(definition).encode_words))
+        coder = per_process(("files", hash(definition)), lambda: _coder(definition))
         ids, doc_ids, counts, held, before = [], [], [], 0, 0
 
         def full():

@@ -7,6 +7,8 @@ words off before merging; A-Z may be lower-cased first where the tokenizer does
 import itertools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct words whose tokens a task keeps; beyond it the most frequent half stays.
 KEPT_WORDS = 300_000
@@ -44,17 +46,22 @@ class WordTokens:
         """
         if len(self.numbers) > self.kept:
             self._trim()
-        lists = [(t if special in t else t.lower()).split() for t in texts]
-        words = list(itertools.chain.from_iterable(lists))
-        fresh = set(words).difference(self.numbers)
-        if fresh:
-            self._learn(list(fresh))
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        texts = [t if special in t else t.lower() for t in texts]
+        # a word is a Python object once a batch, however often it stands there
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        number = map(self.numbers.get, distinct.tolist(), itertools.repeat(-1))
+        number = np.fromiter(number, np.int64, len(distinct))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = len(self.numbers) + np.arange(len(fresh))
+            self._learn(distinct[fresh].tolist())
+        number = number[words.indices.to_numpy()]
         self.seen += np.bincount(number, minlength=len(self.seen))
         firsts = np.cumsum(self.sizes) - self.sizes
         each = self.sizes[number]
         ends = np.cumsum(each)
         flat = self.ids[np.arange(each.sum()) + np.repeat(firsts[number] - ends + each, each)]
-        bounds = np.cumsum([len(one) for one in lists]) if lists else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], ends])[bounds]
-        return flat, np.diff(np.concatenate([[0], upto]))
+        bounds = lists.offsets.to_numpy()
+        return flat, np.diff(np.concatenate([[0], ends])[bounds - bounds[0]])

@@ -31,6 +31,30 @@ def test_all_ones_and_foreign_bytes():
         S.unpack(b"x" * 40)
 
 
+def test_words_of_a_range_are_learned_once():
+    coder = S._coder(S.read_definition())
+    encode, learned = coder.encode_words, []
+
+    def count(words):
+        learned.append(len(words))
+        return encode(words)
+
+    coder.encode_words = count
+    # rare words, each twice, more than 300,000 different ones
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in alphabet for b in alphabet for c in alphabet for d in alphabet[:20]]
+    texts = [" ".join(words[k::400]).encode() for k in range(400)]
+    first = [coder.batch(texts[k : k + 100])[0] for k in range(0, 400, 100)]
+    again = [coder.batch(texts[k : k + 100])[0] for k in range(0, 400, 100)]
+    assert sum(learned) == len(words) and all((a == b).all() for a, b in zip(first, again))
+
+
+@pytest.mark.parametrize("word", ["Straße", "ABC", "abc.", "ABC,", "x...", "\u00a0a", "<|endoftext|>", "a\x1cb", "", " "])
+def test_short_path_of_words(word):
+    text = f" {word}\t{word}x {word} "
+    assert S._coder(S.read_definition()).batch([text.encode()])[0].tolist() == library_ids(text)
+
+
 def brute(docs):
     def key(row):
         h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
