@@ -24,18 +24,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from logkeep.llm.bpe import KEPT_PIECES, MARKS, WordEncoder, read_definition
-from logkeep.llm.texts import per_process
+from logkeep.llm.bpe import MARKS, STABLE, WordEncoder, read_definition
+from logkeep.llm.texts import per_process, small_batches, text_runs
 from logkeep.llm.wordtokens import WordTokens
 from logkeep.session import stored
 
 END_ID = 2
 BLOCK = 1024
+#: Blocks that are packed or decoded at once.
+PASS = 256
 FILE_IDS = 1 << 20
 #: Text bytes that one range of the sort aims at.
 RANGE_BYTES = 32 << 20
+#: Text bytes that are split and looked up at once.
+TEXT_BYTES = 1 << 20
 #: Distinct words whose ids a task keeps: about those of one range, whose words would be learned twice.
 KEPT_WORDS = 500_000
+#: Pieces whose ids a task keeps for words that add a mark to them; beyond it starts anew.
+KEPT_PIECES = 50_000
 #: Ids of a word and their width, by selector; the selector after them is the escape.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
           (4, 15), (3, 20), (2, 30), (1, 60))
@@ -52,21 +58,21 @@ def _selectors(ids, ends):
     length = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     ends = ends.astype(np.int16)[:, None]
     best = np.full(ids.shape, ESCAPE, np.int8)
-    for selector in reversed(range(len(WIDTHS))):
+    # of the widths that hold all ids only the narrowest can be best
+    fitting = sum(bits >= int(length.max()) for _, bits in WIDTHS)
+    for selector in reversed(range(min(len(WIDTHS), len(WIDTHS) - fitting + 1))):
         count, bits = WIDTHS[selector]
         wide = np.where(length > bits, places, block)
         following = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        best[following >= np.minimum(places + np.int16(count), ends)] = selector
+        np.copyto(best, np.int8(selector), where=following >= np.minimum(places + np.int16(count), ends))
     return best
 
 
-def pack(ids):
-    """File bytes of a sequence of ids below 2^64."""
-    ids = np.asarray(ids, np.uint64)
+def _pack_blocks(ids):
+    """(words of ids below 2^64, place of each block's first word)."""
     blocks = -(-len(ids) // BLOCK)
     ends = np.full(blocks, BLOCK)
-    if blocks:
-        ends[-1] = len(ids) - (blocks - 1) * BLOCK
+    ends[-1] = len(ids) - (blocks - 1) * BLOCK
     padded = np.zeros(blocks * BLOCK, np.uint64)
     padded[: len(ids)] = ids
     table = padded.reshape(blocks, BLOCK)
@@ -76,7 +82,7 @@ def pack(ids):
         starts.append(live * BLOCK + at[live])
         at[live] += _COUNTS[best[live, at[live]]]
         live = live[at[live] < ends[live]]
-    starts = np.sort(np.concatenate([np.zeros(0, np.int64), *starts]))
+    starts = np.sort(np.concatenate(starts))
     chosen = best.reshape(-1)[starts].astype(np.int64)
     escaped = chosen == ESCAPE
     # an escaped id takes the word after its own
@@ -93,9 +99,20 @@ def pack(ids):
             value |= np.where(inside, padded[starts[mine] + k], 0) << np.uint64(k * bits)
         words[place[mine]] = value
     words[place] |= chosen.astype(np.uint64) << np.uint64(60)
-    firsts = place[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
-    offsets = np.concatenate([firsts, [len(words)]]).astype("<u8")
-    return struct.pack(_HEAD, b"S8B1", BLOCK, len(ids)) + offsets.tobytes() + words.astype("<u8").tobytes()
+    return words, place[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
+
+
+def pack(ids):
+    """File bytes of a sequence of ids below 2^64."""
+    ids = np.asarray(ids, np.uint64)
+    words, offsets, held = [], [], 0
+    for at in range(0, len(ids), PASS * BLOCK):
+        some, firsts = _pack_blocks(ids[at : at + PASS * BLOCK])
+        words.append(some.astype("<u8"))
+        offsets.append(held + firsts)
+        held += len(some)
+    offsets = np.concatenate([*offsets, [held]]).astype("<u8")
+    return b"".join([struct.pack(_HEAD, b"S8B1", BLOCK, len(ids)), offsets, *words])
 
 
 def _words(data):
@@ -136,11 +153,14 @@ def _decode(words, owner, sizes):
 def unpack(data):
     """All ids of a file."""
     block, count, offsets, words = _words(data)
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    held = np.full(len(sizes), block)
-    held[-1:] = count - block * (len(sizes) - 1)
-    return _decode(words, owner, held)
+    ids = np.empty(count, np.uint64)
+    for at in range(0, len(offsets) - 1, PASS):
+        some = offsets[at : at + PASS + 1]
+        first, last = at * block, min((at + PASS) * block, count)
+        sizes = np.diff(np.minimum(np.arange(first, last + block, block), last))
+        owner = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        ids[first:last] = _decode(words[some[0] : some[-1]], owner, sizes)
+    return ids
 
 
 def unpack_block(data, k):
@@ -161,25 +181,31 @@ class LibraryWords(WordEncoder):
         return [t.id for t in self.library.model.tokenize(piece)]
 
     def encode_words(self, words):
-        """Words of ASCII letters are one piece, with a mark behind them two; others are split."""
+        """Stable words of letters are one piece, with a mark behind them two; others are split."""
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
-        tokenize, known, marks, out = self.library.model.tokenize, self.known, self.marks, []
+        tokenize, symbols, known, marks, out = self.library.model.tokenize, self.symbols, self.known, self.marks, []
         for word in words:
-            if word.isalpha():
-                out.append([t.id for t in tokenize(word.decode().lower())])
+            letters, mark = word.decode(), ""
+            if not letters.isalpha():
+                letters, mark = letters[:-1], letters[-1:]
+                if mark not in MARKS or not letters.isalpha():
+                    out.append(self.encode_word(word))
+                    continue
+            if not (letters.isascii() or STABLE(letters)):
+                out.append(self.encode_word(word))
                 continue
-            letters, mark = word[:-1], word[-1:].decode("latin-1")
-            if letters.isalpha() and mark in MARKS:
-                piece = letters.decode().lower()
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = [t.id for t in tokenize(piece)]
+            piece = letters.lower()
+            ids = known.get(piece) if mark else None
+            if ids is None:
+                mapped = piece if piece.isascii() else "".join(map(symbols.__getitem__, piece.encode()))
+                ids = [t.id for t in tokenize(mapped)]
+            if mark:
+                known[piece] = ids
                 if mark not in marks:
                     marks[mark] = self.encode_piece(mark)
-                out.append(ids + marks[mark])
-            else:
-                out.append(self.encode_word(word))
+                ids = ids + marks[mark]
+            out.append(ids)
         return out
 
 
@@ -195,6 +221,7 @@ def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END
     lengths, the ids of the range before the file, its own number of ids and its bytes.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("text")]
     dealt = rows.repartitionByRange(max(1, -(-size // range_bytes)), *order[:2]).sortWithinPartitions(*order)
@@ -202,6 +229,7 @@ def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END
     def write(batches):
         place, file = TaskContext.get().partitionId(), 0
         coder = per_process(("files", hash(definition)), lambda: _coder(definition))
+        end = np.array([end_id])
         ids, doc_ids, counts, held, before = [], [], [], 0, 0
 
         def full():
@@ -215,15 +243,15 @@ def write_token_files(docs, definition, doc_id="doc_id", text="text", end_id=END
                            ("counts", pa.list_(pa.int64())), ("before", pa.int64()), ("n_ids", pa.int64()),
                            ("data", pa.binary())])
         for batch in batches:
-            texts, names = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 1000):
-                flat, sizes = coder.batch(texts[at : at + 1000])
+            names = batch.column("doc_id").to_pylist()
+            for at, texts in text_runs(batch.column("text"), TEXT_BYTES):
+                flat, sizes = coder.batch(texts)
                 for name, piece in zip(names[at:], np.split(flat, np.cumsum(sizes)[:-1])):
                     if held and held + len(piece) + 1 > file_ids:
                         yield full()
                         before, file = before + held, file + 1
                         ids, doc_ids, counts, held = [], [], [], 0
-                    ids += [piece, np.array([end_id])]
+                    ids += [piece, end]
                     doc_ids.append(name)
                     counts.append(len(piece) + 1)
                     held += len(piece) + 1
@@ -247,14 +275,16 @@ def read_token_files(files):
         total += totals.get(r, 0)
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):
+                # a batch holds many files: one at a time is made Python's
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = unpack(row["data"]).astype("<u4")
                 cuts = np.concatenate([[0], np.cumsum(row["counts"])]).tolist()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array([firsts[row["range"]] + row["before"] + c for c in cuts[:-1]], pa.int64()),
                     pa.array(row["counts"], pa.int64()),
-                    pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.int64()),
+                    pa.array([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -18,6 +19,22 @@ def as_bytes(column):
     return [b"" if v is None else v for v in column.cast(kind).to_pylist()]
 
 
+def text_runs(column, most):
+    """(first row, UTF-8 bytes of the texts) of runs that hold at most ``most`` bytes or one text.
+
+    Null counts as empty.
+    """
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > first and held + size > most:
+            yield first, as_bytes(column.slice(first, at - first))
+            first, held = at, 0
+        held += size
+    if len(sizes) > first:
+        yield first, as_bytes(column.slice(first))
+
+
 def lower_words(text):
     """Words between ASCII white space, A-Z lower-cased (bytes)."""
     return text.lower().split()

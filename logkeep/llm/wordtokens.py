@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Distinct words whose tokens a task keeps; beyond it the most frequent half stays.
 KEPT_WORDS = 300_000
+#: Words encoded at once, whose lists of ids are objects for so long.
+LEARNED = 8_000
 
 
 class WordTokens:
@@ -20,7 +22,8 @@ class WordTokens:
     def __init__(self, encode_words, kept=KEPT_WORDS):
         self.encode_words, self.kept = encode_words, kept
         self.numbers = {}
-        self.sizes = self.ids = self.seen = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
+        self.sizes = self.ids = np.zeros(0, np.int32)
 
     def _trim(self):
         stay = np.sort(np.argsort(-self.seen, kind="stable")[: self.kept // 2])
@@ -32,11 +35,13 @@ class WordTokens:
         self.numbers = {words[i]: k for k, i in enumerate(stay.tolist())}
 
     def _learn(self, fresh):
-        found = self.encode_words(fresh)
+        sizes, ids = [self.sizes], [self.ids]
+        for at in range(0, len(fresh), LEARNED):
+            found = self.encode_words(fresh[at : at + LEARNED])
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
         self.numbers.update(zip(fresh, itertools.count(len(self.numbers))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.sizes, self.ids = np.concatenate(sizes), np.concatenate(ids)
         self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int64)])
 
     def batch(self, texts, special=b"<|"):
@@ -57,8 +62,9 @@ class WordTokens:
         if len(fresh):
             number[fresh] = len(self.numbers) + np.arange(len(fresh))
             self._learn(distinct[fresh].tolist())
-        number = number[words.indices.to_numpy()]
-        self.seen += np.bincount(number, minlength=len(self.seen))
+        places = words.indices.to_numpy()
+        self.seen[number] += np.bincount(places, minlength=len(number))
+        number = number[places]
         firsts = np.cumsum(self.sizes) - self.sizes
         each = self.sizes[number]
         ends = np.cumsum(each)

@@ -1,11 +1,14 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from logkeep.llm import simple8b as S
 from logkeep.llm.queries import QUERIES
+from logkeep.llm.texts import text_runs
 from tests.llm.conftest import save_tables
 from tests.llm.test_bpe import library_ids
 from tests.llm.test_graydedup import rows
@@ -31,6 +34,53 @@ def test_all_ones_and_foreign_bytes():
         S.unpack(b"x" * 40)
 
 
+@pytest.mark.parametrize("top, passes", [(1 << 16, 2.5), (3, 1), (1 << 63, 0.1)])
+@pytest.mark.parametrize("more", [-1, 0, 1])
+def test_blocks_of_several_passes(top, passes, more):
+    size = int(passes * S.PASS * S.BLOCK) + more
+    ids = np.random.default_rng(2).integers(0, top, size, dtype=np.uint64)
+    data = S.pack(ids)
+    assert (S.unpack(data) == ids).all() and len(S.unpack(data)) == size
+    for k in {0, S.PASS - 1, S.PASS, -(-size // S.BLOCK) - 1} & set(range(-(-size // S.BLOCK))):
+        assert (S.unpack_block(data, k) == ids[k * S.BLOCK : (k + 1) * S.BLOCK]).all()
+
+
+def test_memory_of_a_file_is_that_of_a_pass():
+    ids = np.random.default_rng(3).integers(0, 49_152, S.FILE_IDS)
+    tracemalloc.start()
+    try:
+        data = S.pack(ids)
+        packing = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        assert (S.unpack(data) == ids).all()
+        unpacking = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert packing < 48 << 20 and unpacking < 48 << 20
+
+
+def test_pieces_kept_for_marks_are_bounded():
+    coder = S._coder(S.read_definition())
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d + "," for a in alphabet for b in alphabet for c in alphabet for d in alphabet[:4]]
+    text = " ".join(words)
+    ids = coder.batch([text.encode()])[0]
+    assert len(words) > S.KEPT_PIECES + 10_000 > len(coder.encode_words.__self__.known)
+    assert ids.tolist() == library_ids(text)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_runs_of_texts(kind):
+    texts = ["ab", None, "", "\u00e9\u00e9", "x" * 9, "c", "d", "e" * 4, "fg"]
+    column = pa.array(["cut", *texts], kind).slice(1)
+    found = list(text_runs(column, 5))
+    assert [at for at, _ in found] == [0, 3, 4, 5, 7, 8]
+    assert [t for _, run in found for t in run] == [(t or "").encode() for t in texts]
+    assert all(len(run) == 1 or sum(map(len, run)) <= 5 for _, run in found)
+    assert not list(text_runs(column.slice(0, 0), 5)) and list(text_runs(column.slice(1, 2), 5)) == [(0, [b"", b""])]
+
+
 def test_words_of_a_range_are_learned_once():
     coder = S._coder(S.read_definition())
     encode, learned = coder.encode_words, []
@@ -49,7 +99,8 @@ def test_words_of_a_range_are_learned_once():
     assert sum(learned) == len(words) and all((a == b).all() for a, b in zip(first, again))
 
 
-@pytest.mark.parametrize("word", ["Straße", "ABC", "abc.", "ABC,", "x...", "\u00a0a", "<|endoftext|>", "a\x1cb", "", " "])
+@pytest.mark.parametrize("word", ["Straße", "ABC", "abc.", "ABC,", "x...", "\u00a0a", "<|endoftext|>", "a\x1cb", "", " ",
+                                  "\u00c9t\u00c9", "\u00c9t\u00e9!", "\u00aa", "\u00b5\u00b5.", "\u0130x", "\u0130x,", "a<", "7.", "."])
 def test_short_path_of_words(word):
     text = f" {word}\t{word}x {word} "
     assert S._coder(S.read_definition()).batch([text.encode()])[0].tolist() == library_ids(text)
